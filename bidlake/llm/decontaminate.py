@@ -50,29 +50,37 @@ def template(marked_text: Column) -> Column:
     return F.regexp_replace(marked_text, rf"({MARK}[nup])[^ ]*", "$1")
 
 
-def window_hashes(canonical: Column) -> Column:
-    """Hashes of all windows of five words, in order, from hashes of one, two and four words."""
-    one = F.transform(F.split(canonical, " "), lambda w: F.xxhash64(w))
-    pair = lambda a, b: F.xxhash64(a, b)
+def with_windows(rows: DataFrame, canonical: str = "c") -> DataFrame:
+    """rows with hs, the hashes of all windows of five words in order, from hashes of one, two and four words.
+
+    Each step is a projection of its own that uses the one before more than once, which keeps Catalyst from computing it twice.
+    """
+    keep = [c for c in rows.columns if c != canonical]
     shift = lambda a, n: F.slice(a, n + 1, F.greatest(F.size(a) - n, F.lit(0)))
     cut = lambda a, n: F.slice(a, 1, F.greatest(F.size(a) - n, F.lit(0)))
-    two = F.zip_with(cut(one, 1), shift(one, 1), pair)
-    four = F.zip_with(cut(two, 2), shift(two, 2), pair)
-    return F.zip_with(cut(four, 1), shift(one, 4), pair)
+    pair = lambda a, b: F.xxhash64(a, b)
+    rows = rows.select(*keep, F.split(canonical, " ").alias("ws"))
+    rows = rows.select(*keep, F.transform("ws", lambda w: F.xxhash64(w)).alias("one"))
+    rows = rows.select(*keep, "one", F.zip_with(cut("one", 1), shift("one", 1), pair).alias("two"))
+    rows = rows.select(*keep, "one", F.zip_with(cut("two", 2), shift("two", 2), pair).alias("four"))
+    return rows.select(*keep, F.zip_with(cut("four", 1), shift("one", 4), pair).alias("hs"))
 
 
 def document_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, h) of each window; a stage of the plan for each step, so that no step is computed twice."""
+    """(doc_id, at, h) of each window, h null for texts without any.
+
+    The outer form: for the plain one Spark infers a filter on the array's size, which it pushes to the scan with every step copied into it.
+    """
     rows = docs.where("text is not null").select("doc_id", template(marked(F.col("text"))).alias("c"))
-    return rows.select("doc_id", F.posexplode(window_hashes(F.col("c"))).alias("at", "h"))
+    return with_windows(rows).select("doc_id", F.posexplode_outer("hs").alias("at", "h"))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, i, h, slots): the telling windows of each class of items with equal windows; slots has (place, value) of its placeholders."""
     rows = benchmark.where("text is not null and item_id is not null").select("item_id", marked(F.col("text")).alias("m"))
-    rows = rows.select("item_id", words(F.col("m")).alias("w"), window_hashes(template(F.col("m"))).alias("hs")).where(F.size("hs") > 0)
+    rows = with_windows(rows.select("item_id", words(F.col("m")).alias("w"), template(F.col("m")).alias("c")))
     rows = rows.groupBy(F.xxhash64("hs").alias("same"), "hs").agg(F.min_by("w", "item_id").alias("w"), F.min("item_id").alias("item_id"))
-    out = rows.select("item_id", "w", F.posexplode("hs").alias("i", "h"))
+    out = rows.select("item_id", "w", F.posexplode_outer("hs").alias("i", "h")).where("h is not null")
     window = F.slice("w", F.col("i") + 1, WINDOW)
     slots = F.filter(F.transform(window, lambda w, k: F.struct((F.col("i") + k).alias("place"), w.alias("value"))), lambda s: s["value"].startswith(MARK))
     return out.select("item_id", "i", "h", slots.alias("slots")).where(F.size("slots") < WINDOW)
