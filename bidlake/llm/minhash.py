@@ -6,7 +6,8 @@ sequence as one; without words (or with null text) it is empty and linked with n
 1. Equal sets become one class (its smallest doc_id stands for it), so copies never meet as pairs.
 2. Classes that share a band of their signatures are candidates. In each bucket all members meet the member with the most neighbours;
    from the confirmed links components are made. Only where members other than that one are still in different components do they meet
-   each other, in blocks of bounded size. No link between components is lost this way, and no bucket's pairs are written out.
+   each other, in blocks of bounded size that carry signatures and sets and give back only links that connect components. No link
+   between components is lost this way, and no bucket's pairs are written out.
 3. Signatures of candidates are compared batch by batch; a pair goes once the posterior chance that its similarity reaches the threshold
    is below `miss`. Survivors are compared exactly on their full sets.
 
@@ -31,7 +32,7 @@ BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
 BATCH = 20
 #: Members of a bucket that meet in one block.
-BLOCK = 1024
+BLOCK = 256
 UPPER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _drawn = np.random.default_rng(20240611)
 MULTIPLY = _drawn.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -132,8 +133,8 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
 def signature(s: np.ndarray) -> np.ndarray:
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     low = (s >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(s), BLOCK):
-        part = low[at : at + BLOCK, None] * MULTIPLY
+    for at in range(0, len(s), 1024):
+        part = low[at : at + 1024, None] * MULTIPLY
         part += ADD
         np.minimum(out, part.min(0), out=out)
     return out
@@ -159,18 +160,26 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_column(batch, "rep"), pa.array(sets, pa.binary())], names=["rep", "items"])
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each signature and band."""
+    sig = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * M1, sig.shape[:2])
+    for k in range(ROWS):
+        h = mixed(h * M2 + sig[:, :, k])
+    return h.view(np.int64)
+
+
+def signatures(data: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(data), np.uint32).reshape(len(data), HASHES)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, bucket): a 64-bit key of each band."""
-    tag = np.arange(1, BANDS + 1, dtype=np.uint64) * M1
+    """(rep, bucket) of each band."""
     for batch in batches:
-        if not len(batch):
-            continue
-        sig = np.frombuffer(b"".join(_column(batch, "sig").to_pylist()), np.uint32).reshape(len(batch), BANDS, ROWS).astype(np.uint64)
-        h = np.broadcast_to(tag, sig.shape[:2])
-        for k in range(ROWS):
-            h = mixed(h * M2 + sig[:, :, k])
-        rep = np.repeat(_column(batch, "rep").to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(h.ravel().view(np.int64))], names=["rep", "bucket"])
+        if len(batch):
+            keys = band_keys(signatures(_column(batch, "sig").to_pylist()))
+            rep = np.repeat(_column(batch, "rep").to_numpy(zero_copy_only=False), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(keys.ravel())], names=["rep", "bucket"])
 
 
 def least_matches(threshold: float, miss: float) -> list[int]:
@@ -207,46 +216,64 @@ def _pruner(least: list[int]):
         for batch in batches:
             if not len(batch):
                 continue
-            a, b = (np.frombuffer(b"".join(_column(batch, c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
+            a, b = (signatures(_column(batch, c).to_pylist()) for c in ("sig_a", "sig_b"))
             alive = pa.array(surviving(a, b, least))
             yield pa.RecordBatch.from_arrays([_column(batch, c).take(alive) for c in "ab"], names=["a", "b"])
 
     return prune
 
 
-def _blocks(least: list[int]):
-    """Pairs of different components of a bucket that survive, block by block."""
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-    def meet(rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool):
-        for i in left:
-            other = right[(right > i) if same else slice(None)]
-            other = other[comp[other] != comp[i]]
-            if len(other):
-                kept = other[surviving(np.broadcast_to(sig[i], (len(other), HASHES)), sig[other], least)]
-                for j in kept:
-                    yield (rep[i], rep[j]) if rep[i] < rep[j] else (rep[j], rep[i])
+
+def _blocks(least: list[int], percent: int):
+    """Links between different components of a bucket, block by block, enough to connect what is linked.
+
+    A pair is looked at in the first band that brings it together, and only while its ends are not yet connected in this block.
+    """
 
     def of(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))  # two blocks at most
         rep, comp, block = (table[c].to_numpy() for c in ("rep", "component", "block"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, HASHES)
-        i, j = key[1].as_py(), key[2].as_py()
-        found = sorted(set(meet(rep, comp, sig, np.flatnonzero(block == i), np.flatnonzero(block == j), i == j)))
+        sig = signatures(table["sig"].to_pylist())
+        keys, bucket, i, j = band_keys(sig), *(k.as_py() for k in key)
+        band = int((keys == bucket).sum(0).argmax())
+        sets = table["items"]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        found = []
+        right = np.flatnonzero(block == j)
+        for x in np.flatnonzero(block == i).tolist():
+            others = right[right > x] if i == j else right
+            others = others[(comp[others] != comp[x]) & ~(keys[others, :band] == keys[x, :band]).any(1)]
+            if not len(others):
+                continue
+            own = None
+            for y in others[surviving(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], least)].tolist():
+                a, b = find(int(comp[x])), find(int(comp[y]))
+                if a == b:
+                    continue
+                own = np.frombuffer(sets[x].as_buffer(), np.uint64) if own is None else own
+                if linked(own, np.frombuffer(sets[y].as_buffer(), np.uint64), percent):
+                    root[a] = b
+                    found.append((rep[x], rep[y]))
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return of
 
 
-def _exact(numerator: int, denominator: int):
+def _exact(percent: int):
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(_column(batch, "set_a"), _column(batch, "set_b"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if denominator * both >= numerator * (len(x) + len(y) - both):
-                    keep.append(i)
-            keep = pa.array(keep, pa.int64())
+            pairs = enumerate(zip(_column(batch, "set_a"), _column(batch, "set_b"), strict=True))
+            keep = pa.array([i for i, (x, y) in pairs if linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)], pa.int64())
             yield pa.RecordBatch.from_arrays([_column(batch, c).take(keep) for c in "ab"], names=["a", "b"])
 
     return exact
@@ -272,17 +299,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> D
     def with_sigs(pairs: DataFrame) -> DataFrame:
         return pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        ends = scratch.keep(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), f"{name}-ends")
+    def sets_of(ends: DataFrame, name: str) -> DataFrame:
+        ends = scratch.keep(ends.distinct(), f"{name}-ends")
         texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(broadcast_if_small(ends, 40), "rep")
-        sets = scratch.keep(texts.mapInArrow(_sets, "rep long, items binary").dropDuplicates(["rep"]), f"{name}-sets")
-        both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("items").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-        links = scratch.keep(both.mapInArrow(_exact(percent, 100), "a long, b long"), f"{name}-links")
-        scratch.drop(ends, sets)
-        return links
+        return scratch.keep(texts.mapInArrow(_sets, "rep long, items binary").dropDuplicates(["rep"]), f"{name}-sets")
 
     first = scratch.keep(with_sigs(stars).mapInArrow(_pruner(least), "a long, b long"), "star-pairs")
-    links = confirmed(first, "star")
+    sets = sets_of(first.select(F.col("a").alias("rep")).union(first.select(F.col("b").alias("rep"))), "star")
+    both = first.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("items").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    links = scratch.keep(both.mapInArrow(_exact(percent), "a long, b long"), "star-links")
     labels = components(scratch, links)
 
     # Members that their bucket's head did not bring together. A bucket in one component, but for its head, has nothing left.
@@ -290,16 +315,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> D
     mixed_buckets = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low != high").select("bucket", "members")
     left = placed.join(mixed_buckets, "bucket").withColumn("n_blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     left = left.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    left = left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component").join(sigs, "rep")
-    rest = scratch.keep(left.groupBy("bucket", "i", "j").applyInArrow(_blocks(least), "a long, b long").distinct(), "rest-pairs")
-    more = confirmed(rest, "rest")
+    left = scratch.keep(left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component"), "rest")
+    rest_sets = sets_of(left.select("rep"), "rest")
+    rest = left.join(sigs, "rep").join(rest_sets, "rep")
+    more = scratch.keep(rest.groupBy("bucket", "i", "j").applyInArrow(_blocks(least, percent), "a long, b long"), "rest-links")
     if not more.isEmpty():
         scratch.drop(labels)
         labels = components(scratch, links.union(more))
 
     classes = reps.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     classes = scratch.keep(classes, "components")
-    scratch.drop(buckets, headed, first, rest)
+    scratch.drop(buckets, headed, first, sets, left, rest_sets)
     slim = sketch.select("doc_id", "n_shingles", "set_key")
     linked = slim.where("set_key is not null").join(classes, "set_key", "left").select("doc_id", "n_shingles", "component_id")
     alone = slim.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
