@@ -255,17 +255,20 @@ class Encoder:
 
     def stream(self, parts: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of one text without special strings that comes in parts. The last pre-tokens of what has come wait for what follows."""
-        wait, stretch, open_kind = "", None, None
+        wait, held, stretch, open_kind = "", "", None, None
         for part in parts:
             if stretch is not None:  # a long pre-token is open: its class goes on, or it ends here
+                part, held = held + part, ""
                 c = np.frombuffer(part.encode("utf-32-le"), np.uint32)
                 other = np.flatnonzero(self.kinds[c] != open_kind)
                 cut = int(other[0]) if len(other) else len(part)
-                yield np.array(stretch.feed(part[:cut].encode()), np.uint32)
+                end = cut - (open_kind == SPACE)  # the last white space may belong to what follows
+                yield np.array(stretch.feed(part[:end].encode()), np.uint32)
                 if cut == len(part):
+                    held = part[end:]
                     continue
                 yield np.array(stretch.finish(), np.uint32)
-                part, stretch = part[cut:], None
+                part, stretch = part[end:], None
             wait += part
             c = np.frombuffer((wait + chr(MARK)).encode("utf-32-le", "surrogatepass"), np.uint32)
             begin = np.flatnonzero(self.starts(c, self.kinds[c]))
@@ -275,14 +278,15 @@ class Encoder:
                 wait = wait[cut:]
             if len(wait) > PIECE and len(begin) <= 5:
                 kind, head = int(self.kinds[ord(wait[-1])]), int(begin[-2])
-                if kind != SPACE and len(wait) - head > PIECE // 2:
+                if len(wait) - head > PIECE // 2:
                     if head:
                         yield self._spaced(wait, head)
                     stretch, open_kind = Stretch(self.v), kind
-                    yield np.array(stretch.feed(wait[head:].encode()), np.uint32)
-                    wait = ""
+                    end = len(wait) - (kind == SPACE)
+                    yield np.array(stretch.feed(wait[head:end].encode()), np.uint32)
+                    wait, held = "", wait[end:]
         if stretch is not None:
-            yield np.array(stretch.finish(), np.uint32)
+            yield np.array(stretch.feed(held.encode()) + stretch.finish(), np.uint32)
         if wait:
             yield self.together([wait])[0]
 
