@@ -2,9 +2,40 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+EITHER = re.compile(r"<<(.*?)\|\|(.*?)>>", re.DOTALL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def statement(name: str, sql: str) -> None:
+    """One statement for both engines. {table} names a table; <<a||b>> is a in Spark and b in the other engine."""
+    used = [t for t in TABLES if f"{{{t}}}" in sql]
+    here = EITHER.sub(lambda m: m[1], sql)
+    ORACLE_SQL[name] = re.sub(r"\{(\w+)\}", r"\1", EITHER.sub(lambda m: m[2], sql))
+    QUERIES[name] = lambda spark, sf_dir: spark.sql(here, **{t: table(spark, sf_dir, t) for t in used})
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a function of (spark, sf_dir); oracle is the statement for the other engine."""
+
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = re.sub(r"\{(\w+)\}", r"\1", oracle)
+        return f
+
+    return add
+
+
+from . import census, documents, market, matching, streams  # noqa: E402, F401
