@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 LETTER, NUMBER, OTHER, SPACE, END = range(5)
 #: Letters and numbers of Unicode 16 that the interpreter's tables may not have yet.
 LATE_LETTERS = (
@@ -35,7 +37,7 @@ LATE_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x1
 #: What may follow an apostrophe in a contraction.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Characters of text taken at once, slots of the table of pre-tokens, its ids at most, and bytes of the longest pre-token in it.
-PIECE, SLOTS, TABLE_IDS, LONGEST = 1 << 20, 1 << 20, 1 << 23, 256
+PIECE, SLOTS, TABLE_IDS, LONGEST = 1 << 18, 1 << 19, 1 << 22, 256
 #: Between texts that are encoded together; a surrogate, which no text has.
 MARK = 0xD800
 
@@ -359,10 +361,10 @@ def _digests(path: str):
         vocabulary = Vocabulary(path)
         encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = batch.column(batch.schema.get_field_index("text"))
             n, ids_hash, text_hash = [], [], []
             for at in range(0, len(texts), 512):
-                for ids in encoder.encode(texts[at : at + 512]):
+                for ids in encoder.encode(texts.slice(at, 512).to_pylist()):
                     n.append(len(ids))
                     ids_hash.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     digest = hashlib.sha256()
@@ -396,6 +398,7 @@ def _texts(path: str):
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (array of int) of each whole text. The vocabulary file's path is the same on all machines."""
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_ids(path), "doc_id long, ids array<int>")
 
 
@@ -406,4 +409,5 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: each whole text is encoded, and its ids are decoded."""
+    bounded_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

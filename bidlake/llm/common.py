@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,10 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """From now on the session hands Python workers batches of no more than size bytes (or one row, if that is longer)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)[bB]?", str(spark.conf.get(key, "")))
+    if not now or int(now[1]) > size:
+        spark.conf.set(key, str(size))
+
+
 class Scratch:
     """Parquet tables under the shared folder. keep() cuts lineage; what is lost with an executor is read again from there."""
 
     def __init__(self, spark: SparkSession, label: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/bidlake/{label}-{uuid.uuid4().hex}"
         self.n = 0

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import bounded_batches
+
 #: Families of closely related languages. A language not listed is a family of its own.
 FAMILIES = {
     "germanic": ("da", "de", "en", "nl", "no", "sv"),
@@ -27,7 +29,7 @@ BUCKETS = 1 << 12
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that stand for a gap between words: all of ASCII but the lower-case letters.
 GAPS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 def cleaned(text: str) -> bytes:
@@ -200,6 +202,7 @@ def train(docs: DataFrame, per_lang: int = 400, max_chars: int = 20_000) -> Mode
     The bounds are parameters of training alone: about per_lang rows of each language (drawn by a hash of the id at a rate from the
     language's count), of each its first max_chars characters. Prediction always reads whole texts.
     """
+    bounded_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:

@@ -41,7 +41,7 @@ M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 #: Bytes of text hashed at once; a longer text is cut into pieces at white space.
-PIECE = 1 << 21
+PIECE = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BYTE_VALUE = _drawn.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
