@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """From now on the session hands Python workers batches of no more than size bytes (or one row, if that is longer)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)[bB]?", str(spark.conf.get(key, "")))
+    now = re.fullmatch(r"(\d+)[bB]?", str(spark.conf.get(key)))
     if not now or int(now[1]) > size:
         spark.conf.set(key, str(size))
 
