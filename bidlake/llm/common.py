@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its measured rows times this many bytes a row stay under BROADCAST_BYTES.
 BROADCAST_BYTES = 32 << 20
+FILES_A_CORE = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,8 +46,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+        """narrow: rows of a few numbers from a light last step, which go to no more than FILES_A_CORE files a core."""
         self.n += 1
+        if narrow:
+            df = df.coalesce(FILES_A_CORE * self.spark.sparkContext.defaultParallelism)
         path = self.path(f"{self.n:03d}-{name}")
         df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
@@ -74,14 +78,14 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
     Each round takes the smallest label among a node's neighbours and itself, then jumps to that label's own label; labels of a
     component become equal after about the logarithm of its diameter. Labels are written after each round.
     """
-    both = scratch.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
-    labels = scratch.keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    both = scratch.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges", narrow=True)
+    labels = scratch.keep(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels", narrow=True)
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         step = labels.join(near, "id").select("id", F.least("component", "m").alias("m"), F.col("component").alias("was"))
         jump = labels.select(F.col("id").alias("m"), F.col("component").alias("far"))
         new = step.join(jump, "m", "left").select("id", F.least("m", F.coalesce("far", "m")).alias("component"), "was")
-        new = scratch.keep(new, "labels")
+        new = scratch.keep(new, "labels", narrow=True)
         changed = new.where("component != was").limit(1).count()
         scratch.drop(labels)
         labels = new.select("id", "component")

@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> D
         return pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
 
     def sets_of(ends: DataFrame, name: str) -> DataFrame:
-        ends = scratch.keep(ends.distinct(), f"{name}-ends")
+        ends = scratch.keep(ends.distinct(), f"{name}-ends", narrow=True)
         texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(broadcast_if_small(ends, 40), "rep")
         return scratch.keep(texts.mapInArrow(_sets, "rep long, items binary").dropDuplicates(["rep"]), f"{name}-sets")
 
