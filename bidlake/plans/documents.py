@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,19 @@ def text_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(fold(F.col("text")).cast("binary")).alias("folded"))
 
 
-# Every quote against every page is a stated, small query set against all rows; pages are folded once, before the join.
+#: Bytes of quotes that go to all machines at once; more are matched in as many blocks as it takes.
+QUOTE_BLOCK = 8 << 20
+
+
+# Every quote against every page is a stated query set against all rows, in blocks; pages are folded once a block, before the join.
 @query("quote_verify", "WITH found AS (SELECT b.item_id, min(d.doc_id) AS doc_id, count(*) AS pages FROM {benchmark} b JOIN {documents} d ON contains(lower(d.text), lower(b.text)) GROUP BY b.item_id) SELECT b.item_id, f.doc_id, coalesce(f.pages, 0) AS pages, f.doc_id IS NOT NULL AS verified FROM {benchmark} b LEFT JOIN found f ON f.item_id = b.item_id")
 def quote_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("quote"))
     pages = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("page")).repartition(8 * max(1, spark.sparkContext.defaultParallelism // 8))
-    found = pages.join(F.broadcast(quotes.limit(100_000)), F.col("page").contains(F.col("quote"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("pages"))
+    blocks = 1 + (quotes.agg(F.sum(F.octet_length("quote") + 16)).first()[0] or 0) // QUOTE_BLOCK
+    parts = [quotes.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) for k in range(blocks)]
+    found = reduce(DataFrame.union, [pages.join(F.broadcast(part), F.col("page").contains(F.col("quote"))).select("item_id", "doc_id") for part in parts])
+    found = found.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("pages"))
     return quotes.join(found, "item_id", "left").select("item_id", "doc_id", F.coalesce("pages", F.lit(0)).alias("pages"), F.col("doc_id").isNotNull().alias("verified"))
 
 

@@ -63,7 +63,7 @@ test AS (SELECT firm_id, count(*) AS n_test FROM interactions WHERE day >= DATE
 statement("temporal_split", f"WITH {SPLIT} SELECT t.firm_id, t.n_train, e.n_test FROM train t JOIN test e ON t.firm_id = e.firm_id")
 RANKED = f"""{SPLIT},
 pool AS (SELECT ocid, min(category) AS category, min(buyer_id) AS buyer_id FROM interactions WHERE day >= DATE '1999-01-01' AND day < DATE '1999-07-01' GROUP BY ocid),
-eligible AS (SELECT t.firm_id, t.n_train FROM train t JOIN test e ON t.firm_id = e.firm_id WHERE t.firm_id % 10 = 1),
+eligible AS (SELECT t.firm_id, t.n_train FROM train t JOIN test e ON t.firm_id = e.firm_id),
 likes AS (SELECT firm_id, category, CAST(count(*) AS DOUBLE) AS n FROM interactions WHERE day < DATE '1999-01-01' GROUP BY firm_id, category),
 pairs AS (SELECT e.firm_id, e.n_train, p.ocid, round(coalesce(l.n, 0.0) / e.n_train, 6) AS score, CASE WHEN i.ocid IS NULL THEN 0 ELSE 1 END AS label
           FROM eligible e CROSS JOIN pool p LEFT JOIN likes l ON l.firm_id = e.firm_id AND l.category = p.category LEFT JOIN interactions i ON i.firm_id = e.firm_id AND i.ocid = p.ocid),

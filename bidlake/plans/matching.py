@@ -147,10 +147,11 @@ def firm_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", firm_name(F.concat("s_name", ends)).alias("name"))
 
 
+# The names asked for are those of every customer whose id is divisible by 20, as a stated query set.
 statement(
     "firm_lookup",
     """WITH names AS (SELECT c_custkey AS firm_id, lower(concat(c_mktsegment, ' ', CAST(c_custkey % 40 AS <<STRING||VARCHAR>>))) AS name FROM {customer}),
-asked AS (SELECT DISTINCT lower(concat(c_mktsegment, ' ', CAST(c_custkey % 4 AS <<STRING||VARCHAR>>))) AS asked FROM {customer} WHERE c_custkey <= 40),
+asked AS (SELECT DISTINCT lower(concat(c_mktsegment, ' ', CAST(CAST(floor(c_custkey / 20.0) AS BIGINT) % 4 AS <<STRING||VARCHAR>>))) AS asked FROM {customer} WHERE c_custkey % 20 = 0),
 exact AS (SELECT a.asked, min(n.firm_id) AS firm_id, count(*) AS n FROM asked a JOIN names n ON n.name = a.asked GROUP BY a.asked),
 known AS (SELECT DISTINCT name FROM names),
 begins AS (SELECT a.asked, min(n.name) AS name, count(*) AS n FROM asked a JOIN known n ON <<startswith||starts_with>>(n.name, a.asked) AND n.name <> a.asked GROUP BY a.asked)
