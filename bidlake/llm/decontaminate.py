@@ -1,14 +1,16 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Texts become templates: numbers, units after numbers, and names (a capitalised word inside a sentence) become typed placeholders that keep
-their value; case and punctuation go. Windows of five template words are hashed and joined with the benchmark's windows. A document holds
-an item if at least `coverage` of the item's distinct window places are found in it, and the slots of the matched windows are filled
-consistently: at one alignment, equal values of the item meet equal values of the document. So an item whose numbers and names were
-exchanged is caught, and a document that merely shares its form, with values that do not fit together, is not.
-
-Windows of placeholders alone say nothing and are left out of the benchmark's side. Items with fewer words than a window, or with no
-telling window, match nothing; so do null and empty texts. Items with equal windows share one number, the smallest item_id. Repeated rows
-of a document share a verdict if they share doc_id. An empty benchmark contaminates nothing.
+Each text is read in two forms, and a document holds an item if either form covers it. The plain form has the words alone: case, white
+space and punctuation go. In the template, numbers, units after numbers, and names (a capitalised word inside a sentence) become typed
+placeholders that keep their value. Windows of five words are hashed and joined with the benchmark's windows of the same form. A document
+covers an item if at least `coverage` of the item's distinct window places are found in it, and, in the template, the slots of the matched
+windows are filled consistently: at one alignment, equal values of the item meet equal values of the document. So an item whose numbers
+and names were exchanged is caught, and a document that merely shares its form, with values that do not fit together, is not.
+
+Template windows of placeholders alone say nothing and are left out of the benchmark's side. Items with fewer words than a window are
+looked for as one whole sequence of plain words; items without any word, null and empty texts match nothing. Items of equal plain words
+share one number, the smallest item_id, and so do items of equal templates that repeat values at the same places. Repeated rows of a
+document share a verdict if they share doc_id. An empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
@@ -32,11 +34,20 @@ UNITS = (
 MARK = "\u0001"
 
 
-def marked(text: Column) -> Column:
+def spaced(text: Column) -> Column:
+    """The text with single blanks for all white space, numbers in one piece."""
+    c = F.regexp_replace(F.translate(text, MARK, " "), r"[\s\p{Z}]+", " ")
+    return F.regexp_replace(c, r"(?<=[0-9])[.,:/](?=[0-9])", "")
+
+
+def plain(spaced_text: Column) -> Column:
+    """Case-folded words, parted by blanks."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(spaced_text), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]+", " "))
+
+
+def marked(spaced_text: Column) -> Column:
     """The template with values: words in lower case, parted by blanks; n, u and p after a mark begin a number, a unit and a name."""
-    c = F.translate(text, MARK, " ")
-    c = F.regexp_replace(c, r"(?<=[0-9])[.,:/](?=[0-9])", "")
-    c = F.regexp_replace(c, r"(?<=[\p{L}\p{N},;]\s)(?=\p{Lu}\p{Ll})", MARK + "p")
+    c = F.regexp_replace(spaced_text, r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})", MARK + "p")
     c = F.regexp_replace(F.lower(c), rf"[^\p{{L}}\p{{N}}{MARK}]+", " ")
     c = F.regexp_replace(c, r"(?<![^ ])(?=[0-9]+(?: |$))", MARK + "n")
     return F.trim(F.regexp_replace(c, rf"({MARK}n[0-9]+) (?=(?:{'|'.join(UNITS)})(?: |$))", rf"$1 {MARK}u"))
@@ -50,70 +61,101 @@ def template(marked_text: Column) -> Column:
     return F.regexp_replace(marked_text, rf"({MARK}[nup])[^ ]*", "$1")
 
 
-def with_windows(rows: DataFrame, canonical: str = "c") -> DataFrame:
-    """rows with hs, the hashes of all windows of five words in order, from hashes of one, two and four words.
+def with_windows(rows: DataFrame, sizes: tuple[int, ...] = (WINDOW,)) -> DataFrame:
+    """rows with hs, the hashes of all windows of c's words in order, from hashes of one, two and four words; a row for each of sizes.
 
     Each step is a projection of its own that uses the one before more than once, which keeps Catalyst from computing it twice.
     """
-    keep = [c for c in rows.columns if c != canonical]
+    keep = [c for c in rows.columns if c != "c"]
     shift = lambda a, n: F.slice(a, n + 1, F.greatest(F.size(a) - n, F.lit(0)))
     cut = lambda a, n: F.slice(a, 1, F.greatest(F.size(a) - n, F.lit(0)))
     pair = lambda a, b: F.xxhash64(a, b)
-    rows = rows.select(*keep, F.split(canonical, " ").alias("ws"))
+    rows = rows.select(*keep, F.split("c", " ").alias("ws"))
     rows = rows.select(*keep, F.transform("ws", lambda w: F.xxhash64(w)).alias("one"))
     rows = rows.select(*keep, "one", F.zip_with(cut("one", 1), shift("one", 1), pair).alias("two"))
-    rows = rows.select(*keep, "one", F.zip_with(cut("two", 2), shift("two", 2), pair).alias("four"))
-    return rows.select(*keep, F.zip_with(cut("four", 1), shift("one", 4), pair).alias("hs"))
+    rows = rows.select(*keep, "one", "two", F.zip_with(cut("two", 2), shift("two", 2), pair).alias("four"))
+    of = {1: F.col("one"), 2: F.col("two"), 3: F.zip_with(cut("two", 1), shift("one", 2), pair), 4: F.col("four"), WINDOW: F.zip_with(cut("four", 1), shift("one", 4), pair)}
+    if len(sizes) == 1:
+        return rows.select(*keep, of[sizes[0]].alias("hs"))
+    return rows.select(*keep, F.explode(F.array(*(of[n] for n in sizes))).alias("hs"))
 
 
-def document_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, h) of each window, h null for texts without any.
+def both_forms(rows: DataFrame) -> DataFrame:
+    """A row for each form of s: kind 0 with its plain words, kind 1 with its template, in c."""
+    keep = [c for c in rows.columns if c != "s"]
+    forms = F.array(F.struct(F.lit(0).alias("kind"), plain(F.col("s")).alias("c")), F.struct(F.lit(1).alias("kind"), template(marked(F.col("s"))).alias("c")))
+    return rows.select(*keep, F.explode(forms).alias("f")).select(*keep, "f.kind", "f.c")
 
-    The outer form: for the plain one Spark infers a filter on the array's size, which it pushes to the scan with every step copied into it.
-    """
-    rows = docs.where("text is not null").select("doc_id", template(marked(F.col("text"))).alias("c"))
-    return with_windows(rows).select("doc_id", F.posexplode_outer("hs").alias("at", "h"))
 
+def document_windows(docs: DataFrame, sizes: tuple[int, ...] = (WINDOW,)) -> DataFrame:
+    """(doc_id, kind, at, h) of each window, h null for texts without any.
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, i, h, slots): the telling windows of each class of items with equal windows; slots has (place, value) of its placeholders."""
-    rows = benchmark.where("text is not null and item_id is not null").select("item_id", marked(F.col("text")).alias("m"))
-    rows = with_windows(rows.select("item_id", words(F.col("m")).alias("w"), template(F.col("m")).alias("c")))
-    rows = rows.groupBy(F.xxhash64("hs").alias("same"), "hs").agg(F.min_by("w", "item_id").alias("w"), F.min("item_id").alias("item_id"))
+    The outer form: for the plain one Spark infers a filter on the array's size, which it pushes to the scan with every step copied into it.
+    """
+    rows = both_forms(docs.where("text is not null").select("doc_id", spaced(F.col("text")).alias("s")))
+    return with_windows(rows, sizes).select("doc_id", "kind", F.posexplode_outer("hs").alias("at", "h"))
+
+
+def plain_windows(rows: DataFrame) -> DataFrame:
+    """(item_id, kind 0, i, h, slots, size): the windows of each class of items with equal plain words; shorter items are one window."""
+    rows = rows.select("item_id", plain(F.col("s")).alias("c")).where("c != ''").groupBy("c").agg(F.min("item_id").alias("item_id"))
+    rows = rows.withColumn("size", F.least(F.size(F.split("c", " ")), F.lit(WINDOW)))
+    none = F.array().cast("array<struct<place:int,value:string>>")
+    out = [with_windows(rows.where(F.col("size") == n), (n,)) for n in range(1, WINDOW + 1)]
+    return reduce(DataFrame.union, out).select("item_id", F.lit(0).alias("kind"), F.posexplode("hs").alias("i", "h"), none.alias("slots"), "size")
+
+
+def template_windows(rows: DataFrame) -> DataFrame:
+    """(item_id, kind 1, i, h, slots, size): the telling windows of each class of items with equal templates, whose placeholders repeat
+    their values at the same places; slots has (place, value) of a window's placeholders."""
+    rows = rows.select("item_id", marked(F.col("s")).alias("m")).select("item_id", words(F.col("m")).alias("w"), template(F.col("m")).alias("c"))
+    again = F.transform("w", lambda x: F.when(x.startswith(MARK), F.array_position("w", x)))
+    rows = rows.groupBy("c", again.alias("again")).agg(F.min_by("w", "item_id").alias("w"), F.min("item_id").alias("item_id"))
+    rows = with_windows(rows.select("item_id", "w", "c"))
     out = rows.select("item_id", "w", F.posexplode_outer("hs").alias("i", "h")).where("h is not null")
     window = F.slice("w", F.col("i") + 1, WINDOW)
     slots = F.filter(F.transform(window, lambda w, k: F.struct((F.col("i") + k).alias("place"), w.alias("value"))), lambda s: s["value"].startswith(MARK))
-    return out.select("item_id", "i", "h", slots.alias("slots")).where(F.size("slots") < WINDOW)
+    return out.select("item_id", F.lit(1).alias("kind"), "i", "h", slots.alias("slots"), F.lit(WINDOW).alias("size")).where(F.size("slots") < WINDOW)
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    rows = benchmark.where("text is not null and item_id is not null").select("item_id", spaced(F.col("text")).alias("s"))
+    return plain_windows(rows).union(template_windows(rows))
+
+
+KEY = ["doc_id", "item_id", "kind"]
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, consistency: float = 0.8) -> DataFrame:
     """(doc_id, item_id, coverage, consistency) of the documents that hold an item."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = scratch.keep(item_windows(benchmark), "item-windows")
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("n"), F.sum(F.size("slots")).alias("n_slots"))
+    counts = items.groupBy("item_id", "kind").agg(F.count("*").alias("n"), F.sum(F.size("slots")).alias("n_slots"))
+    short = sorted(r["size"] for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect())
     total = items.count()
     parts = max(1, -(-total // PART_WINDOWS))
     found = []
     for k in range(parts):
-        some = items.select("item_id", "i", "h").where(F.pmod("h", F.lit(parts)) == k)  # PART_WINDOWS or so
-        found.append(document_windows(docs).join(F.broadcast(some), "h").select("doc_id", "item_id", "at", "i"))
+        some = items.select("item_id", "kind", "i", "h").where(F.pmod("h", F.lit(parts)) == k)  # PART_WINDOWS or so
+        found.append(document_windows(docs, (*short, WINDOW)).join(F.broadcast(some), ["kind", "h"]).select(*KEY, "at", "i"))
     matched = scratch.keep(reduce(DataFrame.union, found).distinct(), "matched")
-    covered = matched.select("doc_id", "item_id", "i").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("k"))
-    covered = covered.join(sizes, "item_id").withColumn("coverage", F.col("k") / F.col("n")).where(F.col("coverage") >= coverage)
+    covered = matched.select(*KEY, "i").distinct().groupBy(*KEY).agg(F.count("*").alias("k"))
+    covered = covered.join(counts, ["item_id", "kind"]).withColumn("coverage", F.col("k") / F.col("n")).where(F.col("coverage") >= coverage)
     covered = scratch.keep(covered, "covered")
 
     # Slots are read from the documents that hold items with slots alone.
-    asked = covered.where("n_slots > 0").select("doc_id", "item_id")
+    asked = covered.where("n_slots > 0").select(*KEY)
     texts = docs.select("doc_id", "text").join(broadcast_if_small(asked.select("doc_id").distinct(), 40), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = texts.select("doc_id", words(marked(F.col("text"))).alias("w"))
-    slots = matched.join(asked, ["doc_id", "item_id"]).join(items.select("item_id", "i", F.explode("slots").alias("s")), ["item_id", "i"])
-    slots = slots.select("doc_id", "item_id", (F.col("at") - F.col("i")).alias("shift"), "s.place", "s.value").distinct()
-    filled = slots.join(texts, "doc_id").select("doc_id", "item_id", "shift", "value", F.element_at("w", (F.col("shift") + F.col("place") + 1).cast("int")).alias("other"))
-    each = filled.groupBy("doc_id", "item_id", "shift", "value", "other").agg(F.count("*").alias("k"))
-    each = each.groupBy("doc_id", "item_id", "shift", "value").agg(F.max("k").alias("most"), F.sum("k").alias("all"))
-    each = each.groupBy("doc_id", "item_id").agg((F.sum("most") / F.sum("all")).alias("consistency"))
-    out = covered.join(each, ["doc_id", "item_id"], "left").select("doc_id", "item_id", "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
-    return scratch.keep(out.where(F.col("consistency") >= consistency), "verdicts")
+    texts = texts.select("doc_id", words(marked(spaced(F.col("text")))).alias("w"))
+    slots = matched.join(asked, KEY).join(items.select("item_id", "kind", "i", F.explode("slots").alias("s")), ["item_id", "kind", "i"])
+    slots = slots.select(*KEY, (F.col("at") - F.col("i")).alias("shift"), "s.place", "s.value").distinct()
+    filled = slots.join(texts, "doc_id").select(*KEY, "shift", "value", F.element_at("w", (F.col("shift") + F.col("place") + 1).cast("int")).alias("other"))
+    each = filled.groupBy(*KEY, "shift", "value", "other").agg(F.count("*").alias("k"))
+    each = each.groupBy(*KEY, "shift", "value").agg(F.max("k").alias("most"), F.sum("k").alias("all"))
+    each = each.groupBy(*KEY).agg((F.sum("most") / F.sum("all")).alias("consistency"))
+    out = covered.join(each, KEY, "left").select(*KEY, "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
+    out = out.where(F.col("consistency") >= consistency).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("consistency").alias("consistency"))
+    return scratch.keep(out, "verdicts")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8) -> DataFrame:

@@ -293,6 +293,20 @@ def test_decontamination_in_parts_and_native(spark, monkeypatch):
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
 
 
+def held(spark, items, texts):
+    """The items found in each text."""
+    benchmark = spark.createDataFrame(list(enumerate(items, 1)), "item_id long, text string")
+    return [r.items for r in decontaminate.contamination(docs_of(spark, texts), benchmark).orderBy("doc_id").collect()]
+
+
+TRAIN = "A train leaves Paris at 9 and travels 120 km to Berlin, so how long until the train from Paris reaches Berlin?"
+
+
+def test_decontamination_case_white_space_and_short_items(spark):
+    texts = [TRAIN.upper(), TRAIN.lower(), TRAIN.replace(" ", "  "), TRAIN.replace(" ", "\n\t"), "he said: NAME three  Noble gases", "name three gases", "two noble ones"]
+    assert held(spark, [TRAIN, "Name three noble gases."], texts) == ["1"] * 4 + ["2", None, None]
+
+
 # 8
 
 
