@@ -3,8 +3,9 @@
 Each text is read in two forms, and a document holds an item if either form covers it. The plain form has the words alone: case, white
 space and punctuation go. In the template, numbers, units after numbers, and names (a capitalised word inside a sentence) become typed
 placeholders that keep their value. Windows of five words are hashed and joined with the benchmark's windows of the same form. A document
-covers an item if at least `coverage` of the item's distinct window places are found in it, and, in the template, the slots of the matched
-windows are filled consistently: at one alignment, equal values of the item meet equal values of the document. So an item whose numbers
+covers an item if at one alignment at least `coverage` of the item's distinct window places are found, and, in the template, the slots of
+these windows are filled consistently: equal values of the item meet equal values of the document. An alignment is one distance between
+places of the item and of the document, or a narrow band of distances, for passages with insertions. So an item whose numbers
 and names were exchanged is caught, and a document that merely shares its form, with values that do not fit together, is not.
 
 Template windows of placeholders alone say nothing and are left out of the benchmark's side. Items with fewer words than a window are
@@ -126,6 +127,17 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 KEY = ["doc_id", "item_id", "kind"]
 
 
+def alignments(shift: Column, n: Column) -> Column:
+    """(start, width) of the runs of shifts that a match counts in: its own shift, and two of overlapping bands for insertions.
+
+    Shifts that differ by a quarter of the item's windows at most are in one band together; copies that lie side by side never are.
+    """
+    step = F.greatest(F.lit(1), F.floor(n / 4)).cast("int")
+    start = (shift - F.pmod(shift, step)).cast("int")
+    run = lambda at, width: F.struct(at.cast("int").alias("start"), width.cast("int").alias("width"))
+    return F.array(run(shift, F.lit(1)), run(start, 2 * step), run(start - step, 2 * step))
+
+
 def verdicts(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, consistency: float = 0.8) -> DataFrame:
     """(doc_id, item_id, coverage, consistency) of the documents that hold an item."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
@@ -139,21 +151,27 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, consi
         some = items.select("item_id", "kind", "i", "h").where(F.pmod("h", F.lit(parts)) == k)  # PART_WINDOWS or so
         found.append(document_windows(docs, (*short, WINDOW)).join(F.broadcast(some), ["kind", "h"]).select(*KEY, "at", "i"))
     matched = scratch.keep(reduce(DataFrame.union, found).distinct(), "matched")
-    covered = matched.select(*KEY, "i").distinct().groupBy(*KEY).agg(F.count("*").alias("k"))
-    covered = covered.join(counts, ["item_id", "kind"]).withColumn("coverage", F.col("k") / F.col("n")).where(F.col("coverage") >= coverage)
-    covered = scratch.keep(covered, "covered")
+    # A first sieve, which no alignment passes that fails it: windows of all alignments together.
+    near = matched.select(*KEY, "i").distinct().groupBy(*KEY).agg(F.count("*").alias("k")).join(counts, ["item_id", "kind"])
+    near = scratch.keep(near.where(F.col("k") / F.col("n") >= coverage).select(*KEY, "n", "n_slots"), "near")
+    placed = matched.join(near, KEY).withColumn("shift", F.col("at") - F.col("i")).withColumn("a", F.explode(alignments(F.col("shift"), F.col("n"))))
+    placed = placed.select(*KEY, "n", "n_slots", "a", "shift", "i")
+    covered = placed.select(*KEY, "n", "n_slots", "a", "i").distinct().groupBy(*KEY, "n", "n_slots", "a").agg(F.count("*").alias("k"))
+    covered = covered.withColumn("coverage", F.col("k") / F.col("n")).where(F.col("coverage") >= coverage)
+    covered = scratch.keep(covered.select(*KEY, "n_slots", "a", "coverage"), "covered")
 
     # Slots are read from the documents that hold items with slots alone.
-    asked = covered.where("n_slots > 0").select(*KEY)
+    asked = covered.where("n_slots > 0").select(*KEY, "a")
     texts = docs.select("doc_id", "text").join(broadcast_if_small(asked.select("doc_id").distinct(), 40), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = texts.select("doc_id", words(marked(spaced(F.col("text")))).alias("w"))
-    slots = matched.join(asked, KEY).join(items.select("item_id", "kind", "i", F.explode("slots").alias("s")), ["item_id", "kind", "i"])
-    slots = slots.select(*KEY, (F.col("at") - F.col("i")).alias("shift"), "s.place", "s.value").distinct()
-    filled = slots.join(texts, "doc_id").select(*KEY, "shift", "value", F.element_at("w", (F.col("shift") + F.col("place") + 1).cast("int")).alias("other"))
-    each = filled.groupBy(*KEY, "shift", "value", "other").agg(F.count("*").alias("k"))
-    each = each.groupBy(*KEY, "shift", "value").agg(F.max("k").alias("most"), F.sum("k").alias("all"))
-    each = each.groupBy(*KEY).agg((F.sum("most") / F.sum("all")).alias("consistency"))
-    out = covered.join(each, KEY, "left").select(*KEY, "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
+    slots = placed.select(*KEY, "a", "shift", "i").join(asked, [*KEY, "a"]).join(items.select("item_id", "kind", "i", F.explode("slots").alias("s")), ["item_id", "kind", "i"])
+    slots = slots.select(*KEY, "a", "shift", "s.place", "s.value").distinct()
+    filled = slots.join(texts, "doc_id").select(*KEY, "a", "place", "value", F.element_at("w", (F.col("shift") + F.col("place") + 1).cast("int")).alias("other")).distinct()
+    most = filled.groupBy(*KEY, "a", "value", "other").agg(F.count("*").alias("k")).groupBy(*KEY, "a", "value").agg(F.max("k").alias("most"))
+    most = most.groupBy(*KEY, "a").agg(F.sum("most").alias("most"))
+    places = filled.select(*KEY, "a", "place").distinct().groupBy(*KEY, "a").agg(F.count("*").alias("all"))
+    each = most.join(places, [*KEY, "a"]).select(*KEY, "a", (F.col("most") / F.col("all")).alias("consistency"))
+    out = covered.join(each, [*KEY, "a"], "left").select(*KEY, "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
     out = out.where(F.col("consistency") >= consistency).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("consistency").alias("consistency"))
     return scratch.keep(out, "verdicts")
 

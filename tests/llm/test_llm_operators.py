@@ -307,6 +307,16 @@ def test_decontamination_case_white_space_and_short_items(spark):
     assert held(spark, [TRAIN, "Name three noble gases."], texts) == ["1"] * 4 + ["2", None, None]
 
 
+def test_decontamination_judges_each_alignment(spark):
+    alike = "A train leaves London at 7 and travels 300 km to Madrid, so how long until the train from Lisbon reaches Oslo?"
+    other = "A train leaves Rome at 4 and travels 50 km to Vienna, so how long until the train from Rome reaches Vienna?"
+    long_item = " ".join(near_copies(1, 60, 0, 6)).split()
+    scattered = " and then came quite different things with many other words of no use at all ".join(" ".join(long_item[k : k + 12]) for k in range(0, 60, 8))
+    inserted = " ".join([*long_item[:30], "page", "twelve", *long_item[30:]])
+    texts = [f"{alike} {alike} {other} {alike}", " ".join([alike] * 3), scattered, inserted, f"{alike} {TRAIN} {alike} {alike}"]
+    assert held(spark, [TRAIN, " ".join(long_item)], texts) == ["1", None, None, "2", "1"]
+
+
 # 8
 
 
