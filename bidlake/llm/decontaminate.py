@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Each text is read in two forms, and a document holds an item if either form covers it. The plain form has the words alone: case, white
-space and punctuation go. In the template, numbers, units after numbers, and names (a capitalised word inside a sentence) become typed
-placeholders that keep their value. Windows of five words are hashed and joined with the benchmark's windows of the same form. A document
+space and punctuation go. In the template, numbers, units after numbers, and names (runs of capitalised words) become typed placeholders
+that keep their value. A capitalised word at a start is a word of its own, not a name or part of one, if the benchmark begins sentences
+with it and has it in lower case too, unless the text has it capitalised inside a sentence and never in lower case. Windows of five words are hashed and joined with the benchmark's windows of the same form. A document
 covers an item if at one alignment at least `coverage` of the item's distinct window places are found, and, in the template, the slots of
 these windows are filled consistently: equal values of the item meet equal values of the document. An alignment is one distance between
 places of the item and of the document, or a narrow band of distances, for passages with insertions. So an item whose numbers
@@ -32,13 +33,15 @@ UNITS = (
     " ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years"
     " hz khz mhz ghz w kw mw v kv a j kj cal kcal pa kpa bar c f k usd eur gbp dollars dollar euros euro cents cent pounds percent pct"
 ).split()
-MARK = "\u0001"
+#: What begins a placeholder, and what joins the words of a name.
+MARK, JOIN = "\u0001", "\u0002"
 
 
 def spaced(text: Column) -> Column:
-    """The text with single blanks for all white space, numbers in one piece."""
-    c = F.regexp_replace(F.translate(text, MARK, " "), r"[\s\p{Z}]+", " ")
-    return F.regexp_replace(c, r"(?<=[0-9])[.,:/](?=[0-9])", "")
+    """The text with single blanks for all white space, numbers in one piece and apart from letters glued to their end."""
+    c = F.regexp_replace(F.translate(text, MARK + JOIN, "  "), r"[\s\p{Z}]+", " ")
+    c = F.regexp_replace(c, r"(?<=[0-9])[.,:/](?=[0-9])", "")
+    return F.regexp_replace(c, r"(?=[0-9])(?<![\p{L}\p{N}])([0-9]+)(?=\p{L})", "$1 ")
 
 
 def plain(spaced_text: Column) -> Column:
@@ -47,13 +50,47 @@ def plain(spaced_text: Column) -> Column:
 
 
 def marked(spaced_text: Column) -> Column:
-    """The template with values: words in lower case, parted by blanks; n, u and p after a mark begin a number, a unit and a name."""
-    c = F.regexp_replace(spaced_text, r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{Ll})", MARK + "p")
-    c = F.regexp_replace(F.lower(c), rf"[^\p{{L}}\p{{N}}{MARK}]+", " ")
-    c = F.regexp_replace(c, r"(?<![^ ])(?=[0-9]+(?: |$))", MARK + "n")
+    """The template with values: words in lower case, parted by blanks; n, u, p and q after a mark begin a number, a unit, a name and
+    capitalised words at a start, which named() decides on. Words of a run are joined."""
+    c = F.regexp_replace(spaced_text, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}])", MARK + "q")
+    c = F.replace(F.regexp_replace(c, rf"({MARK}q[\p{{L}}\p{{N}}]+)[ -](?={MARK}q)", "$1" + JOIN), F.lit(JOIN + MARK + "q"), F.lit(JOIN))
+    c = F.regexp_replace(c, rf"{MARK}q(?<=[\p{{L}}\p{{N}},;] {MARK}q)", MARK + "p")
+    c = F.regexp_replace(F.lower(c), rf"[^\p{{L}}\p{{N}}{MARK}{JOIN}]+", " ")
+    c = F.regexp_replace(c, r"(?=[0-9]+(?: |$))(?<![^ ])", MARK + "n")
     return F.trim(F.regexp_replace(c, rf"({MARK}n[0-9]+) (?=(?:{'|'.join(UNITS)})(?: |$))", rf"$1 {MARK}u"))
 
 
+def first_word(run: Column) -> Column:
+    return F.substring_index(run.substr(3, 1 << 30), JOIN, 1)
+
+
+def named(rows: DataFrame, openers: list[str], text: str = "m") -> DataFrame:
+    """rows with the marked text decided: capitalised words at a start are a name, or a plain word and, if more follow, a name.
+
+    The first word is plain if it is one of openers, unless this text has it capitalised inside a sentence and never in lower case.
+    """
+    keep = [c for c in rows.columns if c != text]
+    rows = rows.select(*keep, words(F.col(text)).alias("all"))
+    inside = F.split(F.array_join(F.transform(F.filter("all", lambda w: w.startswith(MARK + "p")), lambda w: w.substr(3, 1 << 30)), JOIN), JOIN)
+    rows = rows.select(*keep, "all", F.when(F.exists("all", lambda w: w.startswith(MARK + "p")), F.array_except(inside, "all")).alias("names"))
+
+    def decided(run: Column) -> Column:
+        first = first_word(run)
+        plain_first = first.isin(openers) & ~F.coalesce(F.col("names").isNotNull() & F.array_contains("names", first), F.lit(False))
+        rest = F.regexp_replace(run.substr(F.lit(3), F.lit(1 << 30)), f"^[^{JOIN}]*{JOIN}?", "")
+        return F.when(~plain_first, F.concat(F.lit(MARK + "p"), run.substr(3, 1 << 30))).when(rest == "", first).otherwise(F.concat(first, F.lit(" " + MARK + "p"), rest))
+
+    return rows.select(*keep, F.array_join(F.transform("all", lambda w: F.when(w.startswith(MARK + "q"), decided(w)).otherwise(w)), " ").alias(text))
+
+
+def opening_words(benchmark: DataFrame) -> list[str]:
+    """The words with which sentences of the benchmark begin that it also has in lower case."""
+    rows = benchmark.where("text is not null and item_id is not null").select(spaced(F.col("text")).alias("s"))
+    starts = rows.select(F.explode(words(marked(F.col("s")))).alias("w")).where(F.col("w").startswith(MARK + "q")).select(first_word(F.col("w")).alias("w"))
+    lower = rows.select(F.explode(F.regexp_extract_all("s", F.lit(r"(?<![\p{L}\p{N}])(\p{Ll}[\p{L}\p{N}]*)"), F.lit(1))).alias("w"))
+    return sorted(r["w"] for r in starts.distinct().join(lower.distinct(), "w", "left_semi").collect())
+
+
 def words(marked_text: Column) -> Column:
     return F.split(marked_text, " ")
 
@@ -81,19 +118,20 @@ def with_windows(rows: DataFrame, sizes: tuple[int, ...] = (WINDOW,)) -> DataFra
     return rows.select(*keep, F.explode(F.array(*(of[n] for n in sizes))).alias("hs"))
 
 
-def both_forms(rows: DataFrame) -> DataFrame:
+def both_forms(rows: DataFrame, openers: list[str]) -> DataFrame:
     """A row for each form of s: kind 0 with its plain words, kind 1 with its template, in c."""
     keep = [c for c in rows.columns if c != "s"]
-    forms = F.array(F.struct(F.lit(0).alias("kind"), plain(F.col("s")).alias("c")), F.struct(F.lit(1).alias("kind"), template(marked(F.col("s"))).alias("c")))
+    rows = named(rows.select(*keep, plain(F.col("s")).alias("plain"), marked(F.col("s")).alias("m")), openers)
+    forms = F.array(F.struct(F.lit(0).alias("kind"), F.col("plain").alias("c")), F.struct(F.lit(1).alias("kind"), template(F.col("m")).alias("c")))
     return rows.select(*keep, F.explode(forms).alias("f")).select(*keep, "f.kind", "f.c")
 
 
-def document_windows(docs: DataFrame, sizes: tuple[int, ...] = (WINDOW,)) -> DataFrame:
+def document_windows(docs: DataFrame, openers: list[str], sizes: tuple[int, ...] = (WINDOW,)) -> DataFrame:
     """(doc_id, kind, at, h) of each window, h null for texts without any.
 
     The outer form: for the plain one Spark infers a filter on the array's size, which it pushes to the scan with every step copied into it.
     """
-    rows = both_forms(docs.where("text is not null").select("doc_id", spaced(F.col("text")).alias("s")))
+    rows = both_forms(docs.where("text is not null").select("doc_id", spaced(F.col("text")).alias("s")), openers)
     return with_windows(rows, sizes).select("doc_id", "kind", F.posexplode_outer("hs").alias("at", "h"))
 
 
@@ -106,10 +144,10 @@ def plain_windows(rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, out).select("item_id", F.lit(0).alias("kind"), F.posexplode("hs").alias("i", "h"), none.alias("slots"), "size")
 
 
-def template_windows(rows: DataFrame) -> DataFrame:
+def template_windows(rows: DataFrame, openers: list[str]) -> DataFrame:
     """(item_id, kind 1, i, h, slots, size): the telling windows of each class of items with equal templates, whose placeholders repeat
     their values at the same places; slots has (place, value) of a window's placeholders."""
-    rows = rows.select("item_id", marked(F.col("s")).alias("m")).select("item_id", words(F.col("m")).alias("w"), template(F.col("m")).alias("c"))
+    rows = named(rows.select("item_id", marked(F.col("s")).alias("m")), openers).select("item_id", words(F.col("m")).alias("w"), template(F.col("m")).alias("c"))
     again = F.transform("w", lambda x: F.when(x.startswith(MARK), F.array_position("w", x)))
     rows = rows.groupBy("c", again.alias("again")).agg(F.min_by("w", "item_id").alias("w"), F.min("item_id").alias("item_id"))
     rows = with_windows(rows.select("item_id", "w", "c"))
@@ -119,9 +157,9 @@ def template_windows(rows: DataFrame) -> DataFrame:
     return out.select("item_id", F.lit(1).alias("kind"), "i", "h", slots.alias("slots"), F.lit(WINDOW).alias("size")).where(F.size("slots") < WINDOW)
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
+def item_windows(benchmark: DataFrame, openers: list[str]) -> DataFrame:
     rows = benchmark.where("text is not null and item_id is not null").select("item_id", spaced(F.col("text")).alias("s"))
-    return plain_windows(rows).union(template_windows(rows))
+    return plain_windows(rows).union(template_windows(rows, openers))
 
 
 KEY = ["doc_id", "item_id", "kind"]
@@ -141,7 +179,8 @@ def alignments(shift: Column, n: Column) -> Column:
 def verdicts(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, consistency: float = 0.8) -> DataFrame:
     """(doc_id, item_id, coverage, consistency) of the documents that hold an item."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    items = scratch.keep(item_windows(benchmark), "item-windows")
+    openers = opening_words(benchmark)
+    items = scratch.keep(item_windows(benchmark, openers), "item-windows")
     counts = items.groupBy("item_id", "kind").agg(F.count("*").alias("n"), F.sum(F.size("slots")).alias("n_slots"))
     short = sorted(r["size"] for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect())
     total = items.count()
@@ -149,7 +188,7 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, consi
     found = []
     for k in range(parts):
         some = items.select("item_id", "kind", "i", "h").where(F.pmod("h", F.lit(parts)) == k)  # PART_WINDOWS or so
-        found.append(document_windows(docs, (*short, WINDOW)).join(F.broadcast(some), ["kind", "h"]).select(*KEY, "at", "i"))
+        found.append(document_windows(docs, openers, (*short, WINDOW)).join(F.broadcast(some), ["kind", "h"]).select(*KEY, "at", "i"))
     matched = scratch.keep(reduce(DataFrame.union, found).distinct(), "matched")
     # A first sieve, which no alignment passes that fails it: windows of all alignments together.
     near = matched.select(*KEY, "i").distinct().groupBy(*KEY).agg(F.count("*").alias("k")).join(counts, ["item_id", "kind"])
@@ -163,7 +202,7 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, consi
     # Slots are read from the documents that hold items with slots alone.
     asked = covered.where("n_slots > 0").select(*KEY, "a")
     texts = docs.select("doc_id", "text").join(broadcast_if_small(asked.select("doc_id").distinct(), 40), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = texts.select("doc_id", words(marked(spaced(F.col("text")))).alias("w"))
+    texts = named(texts.select("doc_id", marked(spaced(F.col("text"))).alias("m")), openers).select("doc_id", words(F.col("m")).alias("w"))
     slots = placed.select(*KEY, "a", "shift", "i").join(asked, [*KEY, "a"]).join(items.select("item_id", "kind", "i", F.explode("slots").alias("s")), ["item_id", "kind", "i"])
     slots = slots.select(*KEY, "a", "shift", "s.place", "s.value").distinct()
     filled = slots.join(texts, "doc_id").select(*KEY, "a", "place", "value", F.element_at("w", (F.col("shift") + F.col("place") + 1).cast("int")).alias("other")).distinct()

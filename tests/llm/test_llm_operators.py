@@ -317,6 +317,25 @@ def test_decontamination_judges_each_alignment(spark):
     assert held(spark, [TRAIN, " ".join(long_item)], texts) == ["1", None, None, "2", "1"]
 
 
+def test_decontamination_of_exchanged_names_and_glued_units(spark):
+    items = [
+        "Alice has 12 apples. Bob gives Alice 5 more and she eats 3. How many apples does Alice have now?",
+        "The farmer Anna sold 30 eggs to Peter, then Peter paid Anna 6 coins. How much did each egg cost the buyer?",
+        "A sack of flour weighs 5kg and the box around it weighs 12kg, so how much do they weigh together?",
+        "What is the name of the river that flows through Paris and how long is it?",
+        "Which way is it, and what would the two of them say when asked which is right?",
+    ]
+    texts = [
+        "Mary has 7 apples. Tom gives Mary 9 more and she eats 2. How many apples does Mary have now?",
+        "Read on. The farmer Anna Maria sold 50 eggs to John Paul, then John Paul paid Anna Maria 9 coins. How much did each egg cost the buyer?",
+        "A sack of flour weighs 7kg and the box around it weighs 15 kg, so how much do they weigh together?",
+        "Mary has 7 apples. Tom gives Jane 9 more and she eats 2. How many apples does Bill have now?",
+        "What is the name of the river that flows through New Delhi and how long is it?",
+    ]
+    assert held(spark, items, texts) == ["1", "2", "3", None, "4"]
+    assert decontaminate.opening_words(spark.createDataFrame(list(enumerate(items)), "item_id long, text string")) == ["how", "the", "what", "which"]
+
+
 # 8
 
 
