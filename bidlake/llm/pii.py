@@ -1,10 +1,12 @@
 """Personal data, with information-theoretic sanitisation.
 
-Base spans are found by patterns in each whole text. Then the corpus says which other terms disclose a protected entity (a base value):
-for a term in an entity's context, n_te is the number of distinct texts in which they are together and n_t that in which the term occurs
-at all; n_te / n_t estimates the chance of the entity given the term, and its ratio to the entity's own chance, in bits, is the pointwise
-information. Terms with n_te, the chance and the information all at their thresholds disclose the entity; their occurrences in its
-contexts become spans of kind `term`. Sanitised text has each span replaced by its kind in capitals, in brackets.
+Base spans are found by patterns in each whole text. Then the corpus says which other terms disclose a protected entity (a base value, or
+the domain of an email): for a term in a text with the entity, n_te is the number of distinct texts that hold both and n_t that in which
+the term occurs at all; n_te / n_t estimates the chance of the entity given the term, and its ratio to the entity's own chance, in bits, is
+the pointwise information. Terms with n_te, the chance and the information all at their thresholds disclose the entity; each of their
+occurrences, in every text, becomes a span of kind `term`, whether or not the entity is written there. Sanitised text has each span
+replaced by its kind in capitals, in brackets. Terms are words of letters and digits of any length. An entity in fewer than TOGETHER
+distinct texts is too rare for the statistics: it is protected by its own span, and an email by its domain's terms.
 
 Null and empty texts have no spans. Texts that occur many times count once in the statistics. Statistics cover all documents; counts are
 combined per task before they are shuffled. Repeated rows and null doc_ids are each judged on their own text.
@@ -18,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -25,8 +28,10 @@ from pyspark.sql.functions import arrow_udf
 from .common import Scratch, broadcast_if_small
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity that are its context; distinct texts together, chance and bits at least.
-CONTEXT, TOGETHER, CHANCE, BITS = 8, 3, 0.9, 5.0
+#: Distinct texts together, chance and bits at least.
+TOGETHER, CHANCE, BITS = 3, 0.9, 5.0
+#: Disclosing terms that go to all machines at once, in as many parts as it takes.
+PART_TERMS = 200_000
 #: Terms that a task counts before it passes them on.
 HELD_TERMS = 200_000
 
@@ -37,7 +42,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TERM = re.compile(r"[^\W\d_]{4,}")
+TERM = re.compile(r"[^\W_]+")
 
 Span = tuple[str, int, int]
 
@@ -80,22 +85,22 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def entity(text: str, span: Span) -> str:
+def entities(text: str, span: Span) -> list[str]:
+    """The value, and the group that it belongs to: the domain of an email."""
     value = text[span[1] : span[2]].lower() if span[0] in ("email", "ip") else re.sub(r"[^0-9]", "", text[span[1] : span[2]])
-    return hashlib.blake2b(f"{span[0]}:{value}".encode(), digest_size=8).hexdigest()
+    names = [f"{span[0]}:{value}", *([f"domain:{value.rpartition('@')[2]}"] if span[0] == "email" else [])]
+    return [hashlib.blake2b(n.encode(), digest_size=8).hexdigest() for n in names]
 
 
-def context_terms(text: str, spans: list[Span]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words within CONTEXT words of each entity, other than those in base spans."""
-    out = []
-    for span in spans:
-        name = entity(text, span)
-        reach = 40 * CONTEXT
-        before = list(TERM.finditer(text, max(0, span[1] - reach), span[1]))
-        before = [m for m in before if m.start() > max(0, span[1] - reach) or m.start() == 0][-CONTEXT:]
-        after = [m for m in TERM.finditer(text, span[2], min(len(text), span[2] + reach)) if m.end() < span[2] + reach or m.end() == len(text)][:CONTEXT]
-        out += [(name, m[0].lower(), m.start(), m.end()) for m in [*before, *after] if not any(a < m.end() and m.start() < b for _, a, b in spans)]
-    return sorted(set(out))
+def outside(text: str, spans: list[Span]) -> Iterator[re.Match]:
+    """The terms of the text that do not overlap a span."""
+    order, k, reach = sorted((a, b) for _, a, b in spans), 0, 0
+    for m in TERM.finditer(text):
+        while k < len(order) and order[k][0] < m.end():
+            reach = max(reach, order[k][1])
+            k += 1
+        if m.start() >= reach:
+            yield m
 
 
 def joined(spans: list[Span]) -> str:
@@ -106,14 +111,13 @@ def text_key(text: str) -> bytes:
     return hashlib.blake2b(text.encode(), digest_size=16).digest()
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, text_key binary, context array<struct<entity:string,term:string,start:int,end:int>>"
-CONTEXT_TYPE = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, text_key binary, entities array<string>, words array<string>"
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: list[list[int]] = [[] for _ in KINDS]
-        base, digest, keys, contexts = [], [], [], []
+        base, digest, keys, names, terms = [], [], [], [], []
         for value in batch.column(batch.schema.get_field_index("text")):
             text = value.as_py() or ""
             spans = base_spans(text)
@@ -122,15 +126,22 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[k].append(tally[kind])
             base.append(joined(spans))
             digest.append(hashlib.sha256(base[-1].encode()).hexdigest())
-            near = context_terms(text, spans) if spans else []
-            contexts.append([dict(zip(("entity", "term", "start", "end"), c, strict=True)) for c in near] or None)
+            names.append(sorted({e for s in spans for e in entities(text, s)}) or None)
+            terms.append(sorted({m[0].lower() for m in outside(text, spans)}) if spans else None)
             keys.append(text_key(text) if spans else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index("doc_id")), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(digest, pa.string()), pa.array(keys, pa.binary()), pa.array(contexts, CONTEXT_TYPE)],
-            names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "text_key", "context"],
+            [batch.column(batch.schema.get_field_index("doc_id")), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(digest, pa.string()), pa.array(keys, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))],
+            names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "text_key", "entities", "words"],
         )
 
 
+def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What _found gives, with the terms beside it."""
+    for batch in batches:
+        out = next(_found(iter([batch])))
+        yield pa.RecordBatch.from_arrays([*out.columns, batch.column(batch.schema.get_field_index("terms"))], names=[*out.schema.names, "terms"])
+
+
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, n) of the texts of a task, each counted once a text; passed on whenever HELD_TERMS are held. A row with a null term counts texts."""
     held: Counter = Counter()
@@ -145,7 +156,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for value in batch.column(0):
             text = value.as_py() or ""
             texts += 1
-            held.update(set(TERM.findall(text.lower())))
+            held.update({t.lower() for t in set(TERM.findall(text))})
             if len(held) >= HELD_TERMS:
                 yield passed()
                 texts = 0
@@ -154,9 +165,13 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """(entity, term) pairs at the thresholds."""
-    near = found.where("context is not null").select("text_key", F.explode("context").alias("c")).select("text_key", "c.entity", "c.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= TOGETHER)
-    owners = found.where("context is not null").select("text_key", F.explode("context.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    holds = found.where("entities is not null").select("text_key", F.explode("entities").alias("entity")).distinct()
+    owners = scratch.keep(holds.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= TOGETHER), "owners", narrow=True)
+    if owners.isEmpty():
+        return owners.select("entity", F.lit("").alias("term"))
+    asked = holds.join(broadcast_if_small(owners.select("entity"), 60), "entity", "left_semi")
+    said = found.where("entities is not null").select("text_key", F.explode("words").alias("term")).distinct()
+    pairs = asked.join(said, "text_key").groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= TOGETHER)
     # Texts are told apart by two checksums; the first row of each, by id, stands for it.
     sums = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.crc32("text").alias("h2"))
     once = sums.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
@@ -170,17 +185,46 @@ def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame
     return scratch.keep(scored.where((chance >= CHANCE) & (bits >= BITS)).select("entity", "term"), "disclosing")
 
 
+def told_terms(docs: DataFrame, found: DataFrame, scratch: Scratch) -> list[Broadcast]:
+    """The disclosing terms as sets of PART_TERMS or so."""
+    terms = scratch.keep(disclosing(docs, found, scratch).select("term").distinct(), "told", narrow=True)
+    parts = -(-terms.count() // PART_TERMS)
+    sets = (terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).collect() for k in range(parts))
+    return [docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in rows)) for rows in sets]
+
+
+def spots(text: Column, parts: list[Broadcast]) -> Column:
+    """Start and end of each occurrence of the terms in parts outside base spans, by place; null for none."""
+    kind = "array<struct<start:int,end:int>>"
+    out = F.lit(None).cast(kind)
+
+    def add(told: Broadcast):
+        @arrow_udf(kind)
+        def of(texts: pa.Array, before: pa.Array) -> pa.Array:
+            new = []
+            for value, old in zip(texts, before, strict=True):
+                value, old = value.as_py() or "", old.as_py() or []
+                if any(m[0].lower() in told.value for m in TERM.finditer(value)):
+                    old += [{"start": m.start(), "end": m.end()} for m in outside(value, base_spans(value)) if m[0].lower() in told.value]
+                new.append(sorted(old, key=lambda s: s["start"]) or None)
+            return pa.array(new, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+        return of
+
+    for told in parts:
+        out = add(told)(text, out)
+    return out
+
+
 def analysed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base, text_key, terms (array of start and end, null if none) for every row of docs."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base, terms (array of start and end, null if none) for every row of docs."""
     scratch = Scratch(docs.sparkSession, "pii")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = scratch.keep(docs.mapInArrow(_found, FOUND), "found")
-    told = disclosing(docs, found, scratch)
-    spots = found.where("context is not null").select("text_key", F.explode("context").alias("c")).select("text_key", "c.entity", "c.term", "c.start", "c.end").distinct()
-    terms = spots.join(told, ["entity", "term"], "left_semi").groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    terms = scratch.keep(terms, "spans")
-    with_context = found.where("context is not null").drop("context").join(terms, "text_key", "left")
-    return with_context.unionByName(found.where("context is null").drop("context"), allowMissingColumns=True)
+    parts = told_terms(docs, found, scratch)
+    if not parts:
+        return found.drop("entities", "words", "text_key").withColumn("terms", spots(F.lit(None), []))
+    return docs.withColumn("terms", spots(F.col("text"), parts)).mapInArrow(_with_terms, f"{FOUND}, terms array<struct<start:int,end:int>>").drop("entities", "words", "text_key")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -218,13 +262,11 @@ def _sanitised(text: Column, terms: Column) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs, all rows and columns, with personal data and disclosing terms replaced in text; other texts as they are."""
     scratch = Scratch(docs.sparkSession, "sanitise")
-    spans = analysed(docs).where("size(terms) > 0").groupBy("doc_id").agg(F.first("terms").alias("_terms"))
-    spans = scratch.keep(spans, "terms")
-    size = spans.agg(F.sum(F.size("_terms") * 16 + 40)).first()[0] or 0
-    joined_docs = docs.join(broadcast_if_small(spans, max(40, size // max(1, spans.count()))), "doc_id", "left")
-    new = _sanitised(F.col("text"), F.col("_terms"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = scratch.keep(keyed.mapInArrow(_found, FOUND), "found")
+    new = _sanitised(F.col("text"), spots(F.col("text"), told_terms(keyed, found, scratch)))
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    texts = joined_docs.select(*rest, new.alias("text"), *(["n_chars"] if "n_chars" in docs.columns else []))
+    texts = docs.select(*rest, new.alias("text"), *(["n_chars"] if "n_chars" in docs.columns else []))
     if "n_chars" in docs.columns:
         texts = texts.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
     return texts.select(*docs.columns)

@@ -449,3 +449,17 @@ def test_disclosing_terms_are_found(spark):
     assert clean[10].text == texts[10] and clean[305].text is None and clean[307].text == "call [PHONE] now"
     assert clean[0].n_chars == len(clean[0].text)
     assert pii.personal_data(docs.limit(0)).count() == 0
+
+
+def test_disclosing_terms_go_everywhere(spark):
+    r = random.Random(5)
+    filler = lambda n: " ".join(f"common{r.choice('abcdefgh')}" for _ in range(n))
+    texts = [f"K7 {filler(40)} {i} jane.doe@mail.example {filler(40)} Zanzibarian Li" for i in range(19)]
+    texts += [f"{filler(20)} zanzibarian {filler(5)} li and k7"] + [f"user{i}@firm.example {filler(60)} quorum {i}" for i in range(4)]
+    texts += [f"{filler(30)} {i}" for i in range(800)]
+    docs = docs_of(spark, texts)
+    clean = {x.doc_id: x.text for x in pii.sanitise(docs).collect()}
+    spans = {x.doc_id: x.spans for x in pii.personal_data(docs).collect()}
+    assert not any(re.search("zanzibarian|\\bli\\b|\\bk7\\b|quorum", clean[i].lower()) for i in range(24))
+    assert clean[19].count("[TERM]") == 3 and spans[19].count("term:") == 3 and "common" in clean[19]
+    assert all(clean[i] == texts[i] for i in range(44, 800))
