@@ -40,8 +40,9 @@ MARK, JOIN = "\u0001", "\u0002"
 def spaced(text: Column) -> Column:
     """The text with single blanks for all white space, numbers in one piece and apart from letters glued to their end."""
     c = F.regexp_replace(F.translate(text, MARK + JOIN, "  "), r"[\s\p{Z}]+", " ")
-    c = F.regexp_replace(c, r"(?<=[0-9])[.,:/](?=[0-9])", "")
-    return F.regexp_replace(c, r"(?=[0-9])(?<![\p{L}\p{N}])([0-9]+)(?=\p{L})", "$1 ")
+    digits = F.regexp_replace(c, r"[.,:/](?=[0-9])(?<=[0-9].)", "")
+    digits = F.regexp_replace(digits, r"(?=[0-9])(?<![\p{L}\p{N}])([0-9]+)(?=\p{L})", "$1 ")
+    return F.when(text.rlike("[0-9]"), digits).otherwise(c)
 
 
 def plain(spaced_text: Column) -> Column:
@@ -56,8 +57,9 @@ def marked(spaced_text: Column) -> Column:
     c = F.replace(F.regexp_replace(c, rf"({MARK}q[\p{{L}}\p{{N}}]+)[ -](?={MARK}q)", "$1" + JOIN), F.lit(JOIN + MARK + "q"), F.lit(JOIN))
     c = F.regexp_replace(c, rf"{MARK}q(?<=[\p{{L}}\p{{N}},;] {MARK}q)", MARK + "p")
     c = F.regexp_replace(F.lower(c), rf"[^\p{{L}}\p{{N}}{MARK}{JOIN}]+", " ")
-    c = F.regexp_replace(c, r"(?=[0-9]+(?: |$))(?<![^ ])", MARK + "n")
-    return F.trim(F.regexp_replace(c, rf"({MARK}n[0-9]+) (?=(?:{'|'.join(UNITS)})(?: |$))", rf"$1 {MARK}u"))
+    digits = F.regexp_replace(c, r"(?=[0-9]+(?: |$))(?<![^ ])", MARK + "n")
+    digits = F.regexp_replace(digits, rf"({MARK}n[0-9]+) (?=(?:{'|'.join(UNITS)})(?: |$))", rf"$1 {MARK}u")
+    return F.trim(F.when(spaced_text.rlike("[0-9]"), digits).otherwise(c))
 
 
 def first_word(run: Column) -> Column:
@@ -72,7 +74,8 @@ def named(rows: DataFrame, openers: list[str], text: str = "m") -> DataFrame:
     keep = [c for c in rows.columns if c != text]
     rows = rows.select(*keep, words(F.col(text)).alias("all"))
     inside = F.split(F.array_join(F.transform(F.filter("all", lambda w: w.startswith(MARK + "p")), lambda w: w.substr(3, 1 << 30)), JOIN), JOIN)
-    rows = rows.select(*keep, "all", F.when(F.exists("all", lambda w: w.startswith(MARK + "p")), F.array_except(inside, "all")).alias("names"))
+    rows = rows.select(*keep, "all", F.filter(inside, lambda w: w.isin(openers)).alias("inside"))
+    rows = rows.select(*keep, "all", F.when(F.size("inside") > 0, F.array_except("inside", "all")).alias("names"))
 
     def decided(run: Column) -> Column:
         first = first_word(run)
@@ -127,12 +130,12 @@ def both_forms(rows: DataFrame, openers: list[str]) -> DataFrame:
 
 
 def document_windows(docs: DataFrame, openers: list[str], sizes: tuple[int, ...] = (WINDOW,)) -> DataFrame:
-    """(doc_id, kind, at, h) of each window, h null for texts without any.
+    """(doc_id, at, h) of each window, h null for texts without any; the form's kind is added to the hash, for a join on one number.
 
     The outer form: for the plain one Spark infers a filter on the array's size, which it pushes to the scan with every step copied into it.
     """
     rows = both_forms(docs.where("text is not null").select("doc_id", spaced(F.col("text")).alias("s")), openers)
-    return with_windows(rows, sizes).select("doc_id", "kind", F.posexplode_outer("hs").alias("at", "h"))
+    return with_windows(rows, sizes).select("doc_id", "kind", F.posexplode_outer("hs").alias("at", "h")).select("doc_id", "at", (F.col("h") + F.col("kind")).alias("h"))
 
 
 def plain_windows(rows: DataFrame) -> DataFrame:
@@ -187,8 +190,8 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, consi
     parts = max(1, -(-total // PART_WINDOWS))
     found = []
     for k in range(parts):
-        some = items.select("item_id", "kind", "i", "h").where(F.pmod("h", F.lit(parts)) == k)  # PART_WINDOWS or so
-        found.append(document_windows(docs, openers, (*short, WINDOW)).join(F.broadcast(some), ["kind", "h"]).select(*KEY, "at", "i"))
+        some = items.select("item_id", "kind", "i", (F.col("h") + F.col("kind")).alias("h")).where(F.pmod("h", F.lit(parts)) == k)  # PART_WINDOWS or so
+        found.append(document_windows(docs, openers, (*short, WINDOW)).join(F.broadcast(some), "h").select(*KEY, "at", "i"))
     matched = scratch.keep(reduce(DataFrame.union, found).distinct(), "matched")
     # A first sieve, which no alignment passes that fails it: windows of all alignments together.
     near = matched.select(*KEY, "i").distinct().groupBy(*KEY).agg(F.count("*").alias("k")).join(counts, ["item_id", "kind"])
