@@ -1,10 +1,12 @@
-"""Shared plumbing: scratch tables in the cluster's shared folder, size-checked broadcasts, connected components."""
+"""Shared plumbing: scratch tables in the cluster's shared folder, size-checked broadcasts, joins with hot keys, connected components."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,32 +17,57 @@ FILES_A_CORE = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one that is then set."""
+    """The folder named by spark.checkpoint.dir; where that is unset and Spark runs on one machine, a temporary one that is then set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = known.get() if known.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="bidlake-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
 def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """From now on the session hands Python workers batches of no more than size bytes (or one row, if that is longer)."""
+    """From now on the session hands Python workers batches of no more than size bytes (or one row, if that is longer).
+
+    Spark reads the setting when a plan runs, which is after an operator has returned it, so it stays set; it only ever gets smaller.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.fullmatch(r"(\d+)[bB]?", str(spark.conf.get(key)))
     if not now or int(now[1]) > size:
         spark.conf.set(key, str(size))
 
 
+#: Folders of the scratch tables that were made and not yet dropped, oldest first.
+_made: list[tuple[SparkSession, str]] = []
+
+
+@contextmanager
+def dropped_after() -> Iterator[None]:
+    """Scratch tables that are made inside are deleted at the end: the caller has written or collected all that reads them."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for spark, path in _made[before:]:
+            delete(spark, path)
+        del _made[before:]
+
+
 class Scratch:
-    """Parquet tables under the shared folder. keep() cuts lineage; what is lost with an executor is read again from there."""
+    """Parquet tables under the shared folder. keep() cuts lineage; what is lost with an executor is read again from there.
+
+    Tables that a lazy result still reads stay until the caller's dropped_after() ends.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/bidlake/{label}-{uuid.uuid4().hex}"
+        _made.append((spark, self.root))
         self.n = 0
 
     def path(self, name: str) -> str:
@@ -72,6 +99,30 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+#: A key is hot with more rows than this and than one in HOT_SHARE of all, so no table has more than HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 1000, 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], row_bytes: int, how: str = "inner") -> DataFrame:
+    """left joined with right, where keys of left may be hot; right has few rows a key.
+
+    Rows of hot keys stay where they are and meet right's rows of those keys, which are broadcast if their size allows; the other rows are
+    shuffled by their keys. Both sides are read more than once, so they should be written tables or cheap.
+    """
+    spark = left.sparkSession
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
+    big = counts.orderBy(F.desc("_n")).limit(HOT_SHARE).collect()
+    if big:
+        total = left.count()
+        big = [r for r in big if r["_n"] * HOT_SHARE > total]
+    if not big:
+        return left.join(right, keys, how)
+    schema = counts.select(*keys).schema
+    hot = F.broadcast(spark.createDataFrame([tuple(r[k] for k in keys) for r in big], schema))
+    few = broadcast_if_small(right.join(hot, keys, "left_semi"), row_bytes)
+    return left.join(hot, keys, "left_anti").join(right, keys, how).unionByName(left.join(hot, keys, "left_semi").join(few, keys, how))
+
+
 def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every end of edges (a, b): the smallest id reachable.
 
