@@ -1,12 +1,16 @@
 """Language identification: a language family first, then one-versus-one linear support vector machines within the family.
 
-Nulls and empty texts, and texts without a letter, are `und` with score 0. A null doc_id counts as the text '' in the fold. Repeated rows
-are predicted each on its own. Where no labelled row exists, all rows are `und`; where one language exists, it is predicted with score 1.
+Nulls and empty texts, and texts without a letter (Unicode category L), are `und` with score 0. A null doc_id counts as the text '' in the
+fold. Repeated rows are predicted each on its own. Where no labelled row exists, all rows are `und`; where one language exists, it is
+predicted with score 1. Equal votes go to the language or family that comes first in the alphabet. Texts of any length are read whole, in
+training too. An empty table gives no rows; columns other than doc_id, text and lang are ignored by identify() and kept by keep_known().
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,12 +30,17 @@ FAMILIES = {
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 12
-LETTER = re.compile(r"[^\W\d_]")
+WORD_SIGN = re.compile(r"[^\W\d_]")
 #: Bytes that stand for a gap between words: all of ASCII but the lower-case letters.
 GAPS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 PIECE = 1 << 19
 
 
+def has_letter(text: str) -> bool:
+    """Whether any sign is of category L; word signs are also number signs such as one half, which are not."""
+    return any(m[0].isalpha() for m in WORD_SIGN.finditer(text))
+
+
 def cleaned(text: str) -> bytes:
     return b" " + text.lower().encode().translate(GAPS) + b" "
 
@@ -55,7 +64,9 @@ def features(text: str) -> np.ndarray:
     """Shares of the buckets in the whole text, each order on its own."""
     data, x = np.frombuffer(cleaned(text), np.uint8), np.zeros(BUCKETS)
     for order in ORDERS:
-        counts = np.bincount(grams(data, order), minlength=BUCKETS)[:BUCKETS].astype(float)
+        counts = np.zeros(BUCKETS)
+        for at in range(0, len(data), PIECE):
+            counts += np.bincount(grams(data[at : at + PIECE + order - 1], order), minlength=BUCKETS)[:BUCKETS]
         counts[0] = 0
         x += counts / max(1.0, counts.sum())
     return x
@@ -88,18 +99,28 @@ class Model:
     pairs: list[tuple[str, str]] = field(default_factory=list)
     weights: np.ndarray | None = None
     bias: np.ndarray | None = None
+    letters: frozenset[str] = frozenset()
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
     """rows: (text, lang)."""
-    by_lang: dict[str, list[str]] = {}
-    for text, lang in rows:
-        by_lang.setdefault(lang, []).append(text)
+    return fit_features([(features(t), lang) for t, lang in rows], letters_of(t for t, _ in rows))
+
+
+def letters_of(texts: Iterable[str]) -> frozenset[str]:
+    return frozenset(c for c in set().union(*(t.lower() for t in texts)) if c.isalpha())
+
+
+def fit_features(rows: list[tuple[np.ndarray, str]], letters: frozenset[str]) -> Model:
+    """rows: (features, lang)."""
+    by_lang: dict[str, list[np.ndarray]] = {}
+    for vector, lang in rows:
+        by_lang.setdefault(lang, []).append(vector)
     langs: dict[str, list[str]] = {}
     for lang in sorted(by_lang):
         langs.setdefault(FAMILY_OF.get(lang, f"only-{lang}"), []).append(lang)
-    model = Model(sorted(langs), langs)
-    x = {lang: np.array([features(t) for t in texts], np.float32) for lang, texts in by_lang.items()}
+    model = Model(sorted(langs), langs, letters=letters)
+    x = {lang: np.array(vectors, np.float32) for lang, vectors in by_lang.items()}
     scale = 1 / np.sqrt(np.mean([m.mean(0) for m in x.values()], axis=0) + 1e-5) if x else None
     columns, biases = [], []
 
@@ -134,6 +155,9 @@ def margins(model: Model, texts: list[str]) -> np.ndarray:
             if len(data) < order:
                 continue
             buckets = grams(data, order)
+            for k in range(1, order):  # n-grams that reach into the next text
+                over = starts[1:] - k
+                buckets[over[(over >= 0) & (over < len(buckets))]] = 0
             at = np.minimum(starts, len(buckets) - 1)
             share = np.add.reduceat((buckets > 0).astype(np.float64), at)
             for k in range(len(model.pairs)):
@@ -163,7 +187,7 @@ def margins(model: Model, texts: list[str]) -> np.ndarray:
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-    use = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+    use = [i for i, t in enumerate(texts) if t and has_letter(t)]
     if not use or not model.families:
         return langs, scores
     m = margins(model, [texts[i] for i in use]) if model.pairs else np.zeros((len(use), 0))
@@ -196,26 +220,38 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5
 
 
-def train(docs: DataFrame, per_lang: int = 400, max_chars: int = 20_000) -> Model:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc_id, text, lang = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "lang"))
+        texts = text.to_pylist()
+        x = [features(t).astype(np.float32).tobytes() for t in texts]
+        letters = ["".join(sorted(letters_of([t]))) for t in texts]
+        yield pa.RecordBatch.from_arrays([doc_id, lang, pa.array(x, pa.binary()), pa.array(letters, pa.string())], names=["doc_id", "lang", "x", "letters"])
+
+
+def train(docs: DataFrame, per_lang: int = 400) -> Model:
     """Fits on rows whose fold is not 0 and whose text and lang are not null.
 
-    The bounds are parameters of training alone: about per_lang rows of each language (drawn by a hash of the id at a rate from the
-    language's count), of each its first max_chars characters. Prediction always reads whole texts.
+    per_lang bounds training alone: about so many rows of each language, drawn by a hash of the id at a rate from the language's count.
+    Their whole texts are reduced to features on the executors; the driver gets 16 KB a row.
     """
     bounded_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = known.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return fit([])
     rate = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.2 * per_lang / n))))
-    draw = (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1_000_003)) / 1_000_003.0) < F.element_at(rate, F.col("lang"))
+    draw = (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) / 1_000_003.0) < F.element_at(rate, F.col("lang"))
     taken: dict[str, int] = {}
-    rows = []
-    for r in sorted(known.where(draw).select("doc_id", F.substring("text", 1, max_chars).alias("text"), "lang").collect(), key=lambda r: (r["doc_id"], r["text"])):
+    rows, letters = [], set()
+    found = known.where(draw).mapInArrow(_features, "doc_id string, lang string, x binary, letters string").collect()
+    for r in sorted(found, key=lambda r: (r["doc_id"] or "", bytes(r["x"]))):
         if taken.setdefault(r["lang"], 0) < per_lang:
             taken[r["lang"]] += 1
-            rows.append((r["text"], r["lang"]))
-    return fit(rows)
+            rows.append((np.frombuffer(r["x"], np.float32), r["lang"]))
+            letters.update(r["letters"])
+    return fit_features(rows, frozenset(letters))
 
 
 def predicted(text: Column, model: Model) -> Column:
@@ -236,7 +272,31 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+#: A text of at least SURE_LETTERS letters whose score is under LEAST_SCORE is in no learned language.
+SURE_LETTERS, LEAST_SCORE = 200, 0.40
+
+
+def rejected(model: Model, texts: list[str | None]) -> list[bool]:
+    """Texts predicted `und`, texts most of whose letters are in no training text, and longer texts that the machines are unsure of."""
+    langs, scores = predict(model, texts)
+    out = []
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        no = lang == "und"
+        if not no:
+            count = Counter(text.lower())
+            letters = {c: n for c, n in count.items() if c.isalpha()}
+            every = sum(letters.values())
+            no = 2 * sum(n for c, n in letters.items() if c not in model.letters) > every or every >= SURE_LETTERS and score < LEAST_SCORE
+        out.append(no)
+    return out
+
+
 def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text is in a learned language; rows predicted `und` go."""
+    """The rows of docs, all columns as they are, whose text is in a learned language; rejected() says which go."""
     model = model or train(docs)
-    return docs.where(predicted(F.col("text"), model)["lang_pred"] != "und")
+
+    @arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        return pa.array([not r for r in rejected(model, texts.to_pylist())], pa.bool_())
+
+    return docs.where(known(F.col("text")))
