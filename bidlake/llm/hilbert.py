@@ -1,17 +1,20 @@
 """Sharding along a Hilbert curve: metadata is quantised to a cell, rows are put in the order of the cells' curve index, and the order is
 cut into runs, so each file spans a small box of the metadata and min/max statistics prune it.
 
-Law `rows`: counts of shards differ by one at most. Null text has size 1 and the checksum of '' (0); null lang or source is a value of its
-own. Ties of the curve index are ordered by checksum, size and doc_id, so equal texts of one source lie side by side, and repeated rows
-take neighbouring slots. An empty table gives no rows.
+Law `rows`: counts of shards differ by one at most. Equal texts are one group: all rows of a group take the smallest curve index among
+them and lie side by side, so a group is parted only where a cut between two shards falls inside it: no more than shards - 1 groups are,
+and a group that is larger than a shard must be. Null text has size 1 and the checksum of '' (0); null, empty and any other lang or source
+are values of their own. Ties of the curve index are ordered by checksum, size, a second hash and doc_id; repeated rows take neighbouring
+slots. Texts of any length are one row. An empty table gives no rows. Only doc_id, text, lang and source are read; columns of other names
+are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import BROADCAST_BYTES, Scratch, join_hot
 
 BITS, DIMS = 4, 3
 
@@ -50,13 +53,29 @@ def curve_table(bits: int = BITS, dims: int = DIMS) -> list[int]:
     return table
 
 
+def ordinal(value: Column) -> Column:
+    """A number for the first seven bytes of a string, in the order of strings."""
+    return F.conv(F.rpad(F.hex(F.substring(value.cast("string").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
 def quantised(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the axes: language and source by a 4-bit hash, size by its power of two (below 16 bytes 0, from 512 KiB 15)."""
-    axis = lambda name: F.when(F.col(name).isNull(), 0).otherwise(1 + F.crc32(F.col(name).cast("string")) % 15).cast("int")
+    """doc_id, size, text_crc32, text_hash and the axes, all in the order of their values, so min and max of a run bound them.
+
+    Language and source are cut at quantiles of the rows (0 for null), size by its power of two (below 16 bytes 0, from 512 KiB 15).
+    """
+    cells = (1 << BITS) - 1
+    at = F.array(*(F.lit(k / cells) for k in range(1, cells)))
+    bounds = docs.select(*(F.percentile_approx(ordinal(F.col(c)), at, F.lit(1000)).alias(c) for c in ("lang", "source"))).first()
+
+    def axis(name: str) -> Column:
+        value = ordinal(F.col(name))
+        below = sum(((value > b).cast("int") for b in bounds[name] or []), F.lit(0))
+        return F.when(F.col(name).isNull(), 0).otherwise(below + 1).cast("int")
+
     body = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(body) + 1).cast("long")
     power = F.least(F.greatest(F.floor(F.log2(size.cast("double"))) - 4, F.lit(0)), F.lit(15)).cast("int")
-    return docs.select("doc_id", size.alias("size"), F.crc32(body).alias("text_crc32"), axis("lang").alias("axis_lang"), axis("source").alias("axis_source"), power.alias("axis_size"))
+    return docs.select("doc_id", size.alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("text_hash"), axis("lang").alias("axis_lang"), axis("source").alias("axis_source"), power.alias("axis_size"))
 
 
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -69,8 +88,14 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     scratch = Scratch(spark, "hilbert")
     table = F.array(*(F.lit(v) for v in curve_table()))
     cell = F.col("axis_lang") * 256 + F.col("axis_source") * 16 + F.col("axis_size")
-    keyed = quantised(docs).select("doc_id", "size", "text_crc32", F.element_at(table, cell + 1).alias("curve"))
-    order = ["curve", "text_crc32", "size", "doc_id"]
+    group = ["text_crc32", "size", "text_hash"]
+    keyed = scratch.keep(quantised(docs).select("doc_id", *group, F.element_at(table, cell + 1).alias("own")), "cells")
+    spread = keyed.groupBy(*group).agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select(*group, "low")
+    spread = scratch.keep(spread, "groups", narrow=True)
+    small = spread.count() * 48 <= BROADCAST_BYTES
+    keyed = keyed.join(F.broadcast(spread), group, "left") if small else join_hot(keyed, spread, group, 48, "left")
+    keyed = keyed.select("doc_id", *group, F.coalesce("low", "own").alias("curve"))
+    order = ["curve", *group, "doc_id"]
     run = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("at"))
     run = scratch.keep(run, "sorted")
     counts = {r["part"]: r["n"] for r in run.groupBy("part").agg(F.count("*").alias("n")).collect()}
