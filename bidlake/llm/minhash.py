@@ -3,7 +3,7 @@
 Words are runs without ASCII white space, A-Z lower-cased; a document's set is its distinct 5-word shingles, with fewer words the whole
 sequence as one; without words (or with null text) it is empty and linked with nothing. Sets are held as 64-bit hashes.
 
-1. Equal sets become one class (its smallest doc_id stands for it), so copies never meet as pairs.
+1. Equal sets become one class (its first row stands for it), so copies never meet as pairs.
 2. Classes that share a band of their signatures are candidates. In each bucket all members meet the member with the most neighbours;
    from the confirmed links components are made. Only where members other than that one are still in different components do they meet
    each other, in blocks of bounded size that carry signatures and sets and give back only links that connect components. No link
@@ -11,32 +11,39 @@ sequence as one; without words (or with null text) it is empty and linked with n
 3. Signatures of candidates are compared batch by batch; a pair goes once the posterior chance that its similarity reaches the threshold
    is below `miss`. Survivors are compared exactly on their full sets.
 
-Null doc_ids are kept as rows of their own and linked like others; repeated rows of a doc_id share its component.
+Each row is judged on its own text and linked like others, whatever its doc_id: a doc_id that comes again with another text may be in two
+components. component_id is the smallest doc_id that is not null in the row's component, null if there is none; kept is whether it is the
+row's own, and of a component without doc_ids its first row is kept. Ties of the threshold (exactly percent) are links. An empty table
+gives no rows; columns other than doc_id and text are ignored here and kept by keep_one().
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .common import Scratch, broadcast_if_small, components
+from .common import Scratch, broadcast_if_small, components, join_hot
 
 WORDS = 5
 BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
+MOST_HASHES = 256 * ROWS
 BATCH = 20
-#: Members of a bucket that meet in one block.
-BLOCK = 256
+#: Members of a bucket that meet in one block, and bytes of their sets (a larger set is a block of its own or so).
+BLOCK, BLOCK_BYTES = 256, 16 << 20
+#: Chance that no band brings a pair at the threshold together.
+APART = 1e-6
 UPPER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _drawn = np.random.default_rng(20240611)
-MULTIPLY = _drawn.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-ADD = _drawn.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+MULTIPLY = _drawn.integers(1, 1 << 31, MOST_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+ADD = _drawn.integers(0, 1 << 32, MOST_HASHES, dtype=np.uint32)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -130,12 +137,17 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+def bands_for(threshold: float) -> int:
+    """So many bands that a pair at the threshold meets in none with a chance of APART at most: 24 for 0.85, 35 for 0.80."""
+    return min(MOST_HASHES // ROWS, ceil(log(APART) / log(1 - threshold**ROWS))) if threshold < 1 else 1
+
+
+def signature(s: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    out = np.full(hashes, 0xFFFFFFFF, np.uint32)
     low = (s >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(s), 1024):
-        part = low[at : at + 1024, None] * MULTIPLY
-        part += ADD
+        part = low[at : at + 1024, None] * MULTIPLY[:hashes]
+        part += ADD[:hashes]
         np.minimum(out, part.min(0), out=out)
     return out
 
@@ -144,33 +156,41 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, keys, sigs = [], [], []
-        for s in shingle_sets(_column(batch, "text").to_pylist()):
-            n.append(len(s))
-            keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            sigs.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([_column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
+def set_key(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
+def _sketcher(hashes: int):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, keys, sigs = [], [], []
+            for s in shingle_sets(_column(batch, "text").to_pylist()):
+                n.append(len(s))
+                keys.append(set_key(s))
+                sigs.append(signature(s, hashes).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([_column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
+
+    return sketch
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [s.tobytes() for s in shingle_sets(_column(batch, "text").to_pylist())]
-        yield pa.RecordBatch.from_arrays([_column(batch, "rep"), pa.array(sets, pa.binary())], names=["rep", "items"])
+        sets = shingle_sets(_column(batch, "text").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(map(set_key, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "items"])
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """A 64-bit key for each signature and band."""
-    sig = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * M1, sig.shape[:2])
+    bands = sig.shape[1] // ROWS
+    sig = sig.reshape(len(sig), bands, ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * M1, sig.shape[:2])
     for k in range(ROWS):
         h = mixed(h * M2 + sig[:, :, k])
     return h.view(np.int64)
 
 
 def signatures(data: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(data), np.uint32).reshape(len(data), HASHES)
+    return np.frombuffer(b"".join(data), np.uint32).reshape(len(data), -1)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,18 +198,18 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if len(batch):
             keys = band_keys(signatures(_column(batch, "sig").to_pylist()))
-            rep = np.repeat(_column(batch, "rep").to_numpy(zero_copy_only=False), BANDS)
+            rep = np.repeat(_column(batch, "rep").to_numpy(zero_copy_only=False), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(keys.ravel())], names=["rep", "bucket"])
 
 
-def least_matches(threshold: float, miss: float) -> list[int]:
+def least_matches(threshold: float, miss: float, hashes: int = HASHES) -> list[int]:
     """For each batch of signature values seen: the fewest matches with which a pair stays.
 
     With a uniform prior, the similarity after m matches of n has a Beta(m + 1, n - m + 1) posterior, whose mass above the threshold is
     the chance of at most m successes among n + 1 draws at the threshold.
     """
     out = []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in range(BATCH, hashes + 1, BATCH):
         mass, m = 0.0, 0
         while m <= n:
             mass += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
@@ -256,7 +276,7 @@ def _blocks(least: list[int], percent: int):
             if not len(others):
                 continue
             own = None
-            for y in others[surviving(np.broadcast_to(sig[x], (len(others), HASHES)), sig[others], least)].tolist():
+            for y in others[surviving(np.broadcast_to(sig[x], (len(others), sig.shape[1])), sig[others], least)].tolist():
                 a, b = find(int(comp[x])), find(int(comp[y]))
                 if a == b:
                     continue
@@ -279,13 +299,18 @@ def _exact(percent: int):
     return exact
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs; a link has 100 * intersection >= percent * union."""
+def _marked(docs: DataFrame, percent: int, miss: float) -> DataFrame:
+    """doc_id, n_shingles, set_key, component (the number of its first row, null without words), component_id, kept for every row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    least = least_matches(percent / 100, miss)
-    sketch = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, sig binary"), "sketch")
-    reps = scratch.keep(sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("r")).select("set_key", F.col("r.doc_id").alias("rep"), F.col("r.sig").alias("sig")), "classes")
+    hashes = bands_for(percent / 100) * ROWS
+    least = least_matches(percent / 100, miss, hashes)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketch = keyed.mapInArrow(_sketcher(hashes), "doc_id long, n_shingles long, set_key binary, sig binary").withColumn("row", F.monotonically_increasing_id())
+    sketch = scratch.keep(sketch, "sketch")
+    first_row = F.min_by(F.struct("row", "sig", "n_shingles"), "row")
+    reps = sketch.where("set_key is not null").groupBy("set_key").agg(first_row.alias("r"), F.min("doc_id").alias("low"))
+    reps = scratch.keep(reps.select("set_key", F.col("r.row").alias("rep"), F.col("r.sig").alias("sig"), F.col("r.n_shingles").alias("n"), "low"), "classes")
     sigs = reps.select("rep", "sig")
 
     banded = sigs.mapInArrow(_bands, "rep long, bucket long")
@@ -300,9 +325,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> D
         return pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
 
     def sets_of(ends: DataFrame, name: str) -> DataFrame:
-        ends = scratch.keep(ends.distinct(), f"{name}-ends", narrow=True)
-        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(broadcast_if_small(ends, 40), "rep")
-        return scratch.keep(texts.mapInArrow(_sets, "rep long, items binary").dropDuplicates(["rep"]), f"{name}-sets")
+        """(rep, items): a class's set is read from the rows with its smallest doc_id, or from those without doc_id if it has none."""
+        ends = scratch.keep(ends.distinct().join(reps.select("rep", "set_key", "low"), "rep"), f"{name}-ends", narrow=True)
+        asked = broadcast_if_small(ends.where("low is not null").select(F.col("low").alias("doc_id")).distinct(), 24)
+        found = keyed.join(asked, "doc_id", "left_semi").mapInArrow(_sets, "set_key binary, items binary")
+        if not ends.where("low is null").isEmpty():
+            found = found.union(keyed.where("doc_id is null").mapInArrow(_sets, "set_key binary, items binary"))
+        ours = broadcast_if_small(ends.select("set_key", "rep"), 56)
+        return scratch.keep(found.join(ours, "set_key").dropDuplicates(["rep"]).select("rep", "items"), f"{name}-sets")
 
     first = scratch.keep(with_sigs(stars).mapInArrow(_pruner(least), "a long, b long"), "star-pairs")
     sets = sets_of(first.select(F.col("a").alias("rep")).union(first.select(F.col("b").alias("rep"))), "star")
@@ -312,8 +342,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> D
 
     # Members that their bucket's head did not bring together. A bucket in one component, but for its head, has nothing left.
     placed = headed.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed_buckets = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low != high").select("bucket", "members")
-    left = placed.join(mixed_buckets, "bucket").withColumn("n_blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    placed = scratch.keep(placed, "placed", narrow=True)
+    mixed_buckets = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("bucket")
+    sized = join_hot(placed, mixed_buckets, ["bucket"], 24).join(reps.select("rep", "n"), "rep")
+    sized = scratch.keep(sized, "mixed", narrow=True)
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    left = join_hot(sized, sized.groupBy("bucket").agg(blocks.alias("n_blocks")), ["bucket"], 24)
     left = left.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     left = scratch.keep(left.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component"), "rest")
     rest_sets = sets_of(left.select("rep"), "rest")
@@ -323,23 +357,50 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> D
         scratch.drop(labels)
         labels = components(scratch, links.union(more))
 
-    classes = reps.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    classes = scratch.keep(classes, "components")
-    scratch.drop(buckets, headed, first, sets, left, rest_sets)
-    slim = sketch.select("doc_id", "n_shingles", "set_key")
-    linked = slim.where("set_key is not null").join(classes, "set_key", "left").select("doc_id", "n_shingles", "component_id")
-    alone = slim.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    labelled = reps.select("set_key", "rep", "low").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", "low", F.coalesce("component", "rep").alias("component"))
+    labelled = scratch.keep(labelled, "labelled")
+    lowest = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
+    classes = scratch.keep(join_hot(labelled.select("set_key", "component"), lowest, ["component"], 24), "components")
+    scratch.drop(buckets, headed, placed, sized, first, sets, left, rest_sets, labelled)
+    slim = sketch.select("doc_id", "n_shingles", "set_key", "row")
+    linked = join_hot(slim.where("set_key is not null"), classes, ["set_key"], 56)
+    own = F.when(F.col("doc_id").isNull(), F.col("component_id").isNull() & (F.col("row") == F.col("component"))).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = linked.select("doc_id", "n_shingles", "set_key", "component", "component_id", own.alias("kept"))
+    alone = slim.where("set_key is null").select("doc_id", "n_shingles", "set_key", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.union(alone)
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of docs, all columns as they are, of which one stays for each component; of repeated rows of a doc_id one stays too."""
+def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs; a link has 100 * intersection >= percent * union."""
+    return _marked(docs, percent, miss).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def key_of(text: Column) -> Column:
+    @arrow_udf("binary")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(map(set_key, shingle_sets(texts.to_pylist())), pa.binary())
+
+    return of(text)
+
+
+def keep_one(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFrame:
+    """The rows of docs, all columns as they are, of which one stays for each component.
+
+    Of rows without words all stay, but one of those that share a doc_id. Rows whose doc_id is null or comes more than once are told apart
+    by the keys of their sets.
+    """
     scratch = Scratch(docs.sparkSession, "keep-one")
-    marks = scratch.keep(near_duplicates(docs, percent), "marks")
-    gone = marks.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(broadcast_if_small(gone, 40), "doc_id", "left_anti")
-    again = marks.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if again.isEmpty():
+    marks = scratch.keep(_marked(docs, percent, miss), "marks")
+    again = scratch.keep(marks.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again", narrow=True)
+    gone = marks.where("not kept and doc_id is not null").select("doc_id").union(again).distinct()
+    kept = docs.where("doc_id is not null").join(broadcast_if_small(gone, 40), "doc_id", "left_anti")
+    odd = marks.join(broadcast_if_small(again, 24), "doc_id", "left_semi").union(marks.where("doc_id is null"))
+    if odd.isEmpty():
         return kept
-    again = broadcast_if_small(again, 40)
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    key, group = "_bidlake_set_key", F.coalesce(F.col("component").cast("string"), F.concat(F.lit("doc "), F.col("doc_id")))
+    stay = odd.where("kept and (component is not null or doc_id is not null)").groupBy(group.alias("g")).agg(F.min(F.struct("doc_id", "set_key")).alias("s"))
+    stay = broadcast_if_small(stay.select(F.col("s.doc_id").alias("stay_id"), F.col("s.set_key").alias("stay_key")), 64)
+    rows = docs.join(broadcast_if_small(again, 24), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).withColumn(key, key_of(F.col("text")))
+    free = rows.where(F.col("doc_id").isNull() & F.col(key).isNull())
+    held = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & F.col(key).eqNullSafe(F.col("stay_key")), "left_semi")
+    return kept.unionByName(held.dropDuplicates(["doc_id", key]).drop(key)).unionByName(free.drop(key))
