@@ -5,8 +5,10 @@ validity intervals [day listed, day of the next entry). A capture is judged by t
 and each parent domain of it; the most specific pattern decides, of equal ones `allow` before others, then the category's name.
 
 Captures are reduced to distinct (host, day) before the join, so a host with a third of the captures is one row a day; the join's keys are
-those rows' domains. A capture without a host or fetch day is kept without a match. Repeated list entries collapse; of entries of one day
-the delisting counts last. Null patterns, categories and days are left out of the list. Empty lists match nothing.
+those rows' domains. Keys that many rows share, such as a top-level domain or a popular host, are joined without being gathered. A capture
+without a host or fetch day is kept without a match. Repeated list entries collapse; of entries of one day the delisting counts last. Null
+patterns, categories and days are left out of the list. Empty lists match nothing, empty captures give no rows; urls are read whole, however
+long. Columns of captures that have the name of a result column (host, matched_pattern, category, blocked) are replaced by it.
 """
 
 from __future__ import annotations
@@ -14,6 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_BYTES, Scratch, join_hot
+
+#: Bytes of an entry or a verdict in memory, for the check of what is broadcast.
+ENTRY_BYTES = 200
+
 
 def host_of(url: Column) -> Column:
     """The host in lower case without user, port and final dot; null if there is none. Text before '://' must be a scheme."""
@@ -38,13 +45,23 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures with host, matched_pattern, category and blocked; a capture has url and fetch_day."""
-    rows = captures.withColumn("host", host_of(F.col("url")))
-    asked = rows.where("host is not null and fetch_day is not null").select("host", "fetch_day").distinct()
+    scratch = Scratch(captures.sparkSession, "urllists")
+    rows = captures.drop("host", "matched_pattern", "category", "blocked").withColumn("host", host_of(F.col("url")))
+    known = F.col("host").isNotNull() & F.col("fetch_day").isNotNull()
+    asked = scratch.keep(rows.where(known).select("host", "fetch_day").distinct(), "asked", narrow=True)
+    spans = scratch.keep(intervals(entries), "intervals", narrow=True)
+    small = spans.count() * ENTRY_BYTES <= BROADCAST_BYTES
     asked = asked.select("host", "fetch_day", F.posexplode(domains(F.col("host"))).alias("depth", "pattern"))
-    active = asked.join(intervals(entries), "pattern").where("valid_from <= fetch_day and (valid_to is null or fetch_day < valid_to)")
+    active = asked.join(F.broadcast(spans), "pattern") if small else join_hot(asked, spans, ["pattern"], ENTRY_BYTES)
+    active = active.where("valid_from <= fetch_day and (valid_to is null or fetch_day < valid_to)")
     best = F.min(F.struct("depth", (F.col("category") != "allow").alias("not_allow"), "category", "pattern"))
     decided = active.groupBy("host", "fetch_day").agg(best.alias("b")).select("host", "fetch_day", F.col("b.pattern").alias("matched_pattern"), F.col("b.category").alias("category"))
-    out = rows.join(decided, ["host", "fetch_day"], "left")
+    decided = scratch.keep(decided, "decided", narrow=True)
+    keys = ["host", "fetch_day"]
+    small = decided.count() * ENTRY_BYTES <= BROADCAST_BYTES
+    hit = rows.where(known).join(F.broadcast(decided), keys, "left") if small else join_hot(rows.where(known), decided, keys, ENTRY_BYTES, "left")
+    none = F.lit(None).cast("string")
+    out = hit.unionByName(rows.where(~known).withColumns({"matched_pattern": none, "category": none}))
     return out.withColumn("blocked", F.coalesce(F.col("category") != "allow", F.lit(False)))
 
 
