@@ -7,7 +7,9 @@ text's length: a piece, the lookahead and a table of pre-tokens of fixed size. D
 machine; bytes that are not UTF-8 become U+FFFD.
 
 Special tokens' strings in a text become their ids, as the library does by default. Null texts count as empty: no token, and the digests
-of the empty string. Repeated rows are each encoded.
+of the empty string. Each row, repeated or not, is encoded on its own; there are no ties, as merges have an order. An empty table gives no
+rows; columns other than doc_id and text are ignored, but that tokenised() keeps lang and source. The table of pre-tokens knows them by 63
+bits of a hash; a wrong answer from it has a chance of 2^-63 a look-up.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -299,6 +302,15 @@ class Encoder:
         head = self.together([text[: cut + 1]])[0]
         return head[: len(head) - len(self.together([text[cut]])[0])]
 
+    def parts(self, text: str | None) -> Iterator[np.ndarray]:
+        """Ids of one text of any length as they become stable."""
+        text, at = text or "", 0
+        for m in self.special.finditer(text):
+            yield from self.stream(text[k : min(k + PIECE, m.start())] for k in range(at, m.start(), PIECE))
+            yield np.array([self.v.special[m[0]]], np.uint32)
+            at = m.end()
+        yield from self.stream(text[k : k + PIECE] for k in range(at, len(text), PIECE))
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
@@ -350,35 +362,64 @@ class Decoder:
         return self.flat[np.repeat(self.at[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
     def pieces(self, ids: np.ndarray, step: int = 1 << 16) -> Iterator[str]:
+        return self.texts(ids[k : k + step] for k in range(0, len(ids), step))
+
+    def texts(self, parts: Iterable[np.ndarray]) -> Iterator[str]:
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        for k in range(0, len(ids), step):
-            yield machine.decode(self.bytes_of(ids[k : k + step]))
+        for ids in parts:
+            yield machine.decode(self.bytes_of(ids))
         yield machine.decode(b"", True)
 
 
-def _digests(path: str):
+@lru_cache(maxsize=2)
+def machines(path: str) -> tuple[Encoder, Decoder]:
+    """One encoder and decoder of a vocabulary file for all tasks of a Python worker."""
+    vocabulary = Vocabulary(path)
+    return Encoder(vocabulary), Decoder(vocabulary)
+
+
+def digests_of(encoder: Encoder, decoder: Decoder, parts: Iterable[np.ndarray]) -> tuple[int, str, str]:
+    """Count and digest of a text's ids and digest of the decoded text, fed as the ids come."""
+    n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+
+    def seen() -> Iterator[np.ndarray]:
+        nonlocal n
+        for ids in parts:
+            n += len(ids)
+            of_ids.update(ids.astype("<u4").tobytes())
+            yield ids
+
+    for piece in decoder.texts(seen()):
+        of_text.update(piece.encode())
+    return n, of_ids.hexdigest(), of_text.hexdigest()
+
+
+def _digests(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
-        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        encoder, decoder = machines(path)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            n, ids_hash, text_hash = [], [], []
+            found: list[tuple[int, str, str]] = []
+            kept: list[np.ndarray] = []
             for at in range(0, len(texts), 512):
-                for ids in encoder.encode(texts.slice(at, 512).to_pylist()):
-                    n.append(len(ids))
-                    ids_hash.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    digest = hashlib.sha256()
-                    for piece in decoder.pieces(ids):
-                        digest.update(piece.encode())
-                    text_hash.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                some = texts.slice(at, 512).to_pylist()
+                short = iter(encoder.encode([t for t in some if len(t or "") <= PIECE or with_ids]))
+                for text in some:
+                    ids = next(short) if len(text or "") <= PIECE or with_ids else None
+                    found.append(digests_of(encoder, decoder, encoder.parts(text) if ids is None else [ids]))
+                    if with_ids:
+                        kept.append(ids)
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in ((0, pa.int64()), (1, pa.string()), (2, pa.string()))]
+            rest = [c for c in batch.schema.names if c != "text"]
+            more = [pa.array(kept, pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), *columns, *more], names=[*rest, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     return run
 
 
 def _ids(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path))
+        encoder, _ = machines(path)
         for batch in batches:
             ids = encoder.encode(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -388,7 +429,7 @@ def _ids(path: str):
 
 def _texts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(Vocabulary(path))
+        _, decoder = machines(path)
         for batch in batches:
             texts = ["".join(decoder.pieces(np.array(x or [], np.int64))) for x in batch.column(batch.schema.get_field_index("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -407,7 +448,21 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(_texts(path), "doc_id long, text string")
 
 
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: each whole text is encoded, and its ids are decoded."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: each whole text is encoded, and its ids are decoded.
+
+    No text's ids are held together: the digests are fed as they come.
+    """
+    bounded_batches(docs.sparkSession)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_digests(path, False), f"doc_id long, {DIGESTS}")
+
+
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256 and the ids themselves, in one pass; a text's ids are one array."""
     bounded_batches(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "lang", "source", "text")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(_digests(path, True), f"doc_id long, lang {kinds['lang']}, source {kinds['source']}, {DIGESTS}, ids array<int>")
