@@ -2,11 +2,17 @@
 
 Pass one decides each block by its share of stop words, its length and its share of link text, beside what the markup says outright
 (menus, footers, forms; class and id words of adverts, notices and comments). Pass two lets undecided blocks, mostly short ones, take the
-label of the nearest decided neighbour in the same article. Where a page marks an article or main element with text, only that counts, and
-an article, or a whole page, without any decided block is kept whole.
+label of the nearest decided neighbour in the same article; if neighbours on both sides are as near, main text wins inside an article and
+loses outside. Where a page marks an article or main element with text, only that counts, and an article, or a whole page, without any
+decided block is kept whole.
+
+The listed stop words judge only pages in a language they belong to: where they are under PAGE_STOPS of a page's words, its long blocks
+with few links are main text whatever their words. A class or id marks boilerplate if a token of it is made of boilerplate words alone, or
+of these and words of layout ("comment-list", "ad_box2"); "legal-history" or "market-share" say nothing.
 
 Null, empty or unreadable html gives the empty text; null urls pass through; malformed and cut-off markup is read as far as it goes;
-repeated rows are each extracted. Nothing is capped: the work is proportional to the page's length.
+repeated rows are each extracted. An empty table gives no rows; columns other than page_id, url and html are ignored. Nothing is capped:
+the work is proportional to the page's length.
 """
 
 from __future__ import annotations
@@ -36,9 +42,12 @@ MAIN = frozenset({"article", "main"})
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent notice notices popup modal overlay newsletter subscribe share sharing social related recommended comment comments respond disqus login signup search widget toolbar pagination pager tags copyright legal disclaimer".split())
+LAYOUT_WORDS = frozenset("a area article bar block body bottom box btn button buttons col column container content count cta fixed footer form global group header heading holder icon icons id inline inner item items js left link links list main mobile module more nav new outer page panel post posts primary region right row secondary section site slot small social sticky story text thread title top unit view widget wp wrap wrapper zone".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: Thresholds: characters of a short and of a long block, shares of stop words, share of link text.
 SHORT, LONG, FEW_STOPS, MANY_STOPS, LINKED = 70, 140, 0.10, 0.20, 0.5
+#: Share of stop words among the words of a page's long blocks from which it counts as in a listed language.
+PAGE_STOPS = 0.05
 
 TAG = re.compile(
     rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^><]*>.*?(?:</(?P=raw)\s*[^><]*>|\Z)"
@@ -67,9 +76,11 @@ def boilerplate(attrs: str, in_main: bool) -> bool:
         if name == "role" and value.lower() in BOILERPLATE_ROLES:
             return True
         if name in ("class", "id"):
-            words = {w.lower() for w in SPLIT.split(value)}
-            if words & BOILERPLATE_WORDS or not in_main and "header" in words:
-                return True
+            for token in value.split():
+                words = {w.lower() for w in SPLIT.split(token)} - {""}
+                said = words & (BOILERPLATE_WORDS if in_main else BOILERPLATE_WORDS | {"header"})
+                if said and words <= said | LAYOUT_WORDS:
+                    return True
     return False
 
 
@@ -134,14 +145,27 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block) -> bool | None:
-    """True: main text; False: not; None: undecided."""
+def listed_language(found: list[Block]) -> bool:
+    """Whether the stop words can judge the page: whether its long blocks that aren't links or boilerplate have enough of them."""
+    words = stops = 0
+    for b in found:
+        if not b.dropped and b.linked <= LINKED and len(b.text) >= SHORT:
+            said = WORD.findall(b.text.lower())
+            words += len(said)
+            stops += sum(w in STOP_WORDS for w in said)
+    return stops >= PAGE_STOPS * words
+
+
+def first_pass(b: Block, judged: bool = True) -> bool | None:
+    """True: main text; False: not; None: undecided. judged: by stop words too."""
     if b.dropped or b.linked > LINKED:
         return False
-    words = WORD.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if len(b.text) < SHORT:
         return None if b.area or not b.linked else False
+    if not judged:
+        return True if len(b.text) >= LONG or b.area else None
+    words = WORD.findall(b.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if stops >= MANY_STOPS:
         return True if len(b.text) >= LONG else None if not b.area else True
     if stops >= FEW_STOPS or b.area:
@@ -176,7 +200,8 @@ def second_pass(all_blocks: list[Block], labels: list[bool | None]) -> list[bool
 
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
-    labels = [first_pass(b) for b in found]
+    judged = listed_language(found)
+    labels = [first_pass(b, judged) for b in found]
     if any(b.area and not b.dropped for b in found):
         labels = [label if b.area else False for b, label in zip(found, labels, strict=True)]
     return "\n".join(b.text for b, keep in zip(found, second_pass(found, labels), strict=True) if keep)
