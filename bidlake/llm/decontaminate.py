@@ -11,15 +11,18 @@ and names were exchanged is caught, and a document that merely shares its form,
 
 Template windows of placeholders alone say nothing and are left out of the benchmark's side. Items with fewer words than a window are
 looked for as one whole sequence of plain words; items without any word, null and empty texts match nothing. Items of equal plain words
-share one number, the smallest item_id, and so do items of equal templates that repeat values at the same places. Repeated rows of a
-document share a verdict if they share doc_id. An empty benchmark contaminates nothing.
+share one number, the smallest item_id, and so do items of equal templates that repeat values at the same places. Each row is judged on its
+own text, whatever its doc_id: null, or one that comes again with another text. Texts are read whole, however long. An empty benchmark
+contaminates nothing, an empty table gives no rows; columns other than doc_id and text are ignored, and kept by keep_clean().
+
+Windows are made only of documents that have one of a few word pairs of each item (see anchors_of), without which no item can be covered.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if_small
@@ -39,7 +42,8 @@ MARK, JOIN = "\u0001", "\u0002"
 
 def spaced(text: Column) -> Column:
     """The text with single blanks for all white space, numbers in one piece and apart from letters glued to their end."""
-    c = F.regexp_replace(F.translate(text, MARK + JOIN, "  "), r"[\s\p{Z}]+", " ")
+    c = F.when(text.contains(MARK) | text.contains(JOIN), F.translate(text, MARK + JOIN, "  ")).otherwise(text)
+    c = F.regexp_replace(c, r"[\s\p{Z}]+", " ")
     digits = F.regexp_replace(c, r"[.,:/](?=[0-9])(?<=[0-9].)", "")
     digits = F.regexp_replace(digits, r"(?=[0-9])(?<![\p{L}\p{N}])([0-9]+)(?=\p{L})", "$1 ")
     return F.when(text.rlike("[0-9]"), digits).otherwise(c)
@@ -102,53 +106,80 @@ def template(marked_text: Column) -> Column:
     return F.regexp_replace(marked_text, rf"({MARK}[nup])[^ ]*", "$1")
 
 
-def with_windows(rows: DataFrame, sizes: tuple[int, ...] = (WINDOW,)) -> DataFrame:
-    """rows with hs, the hashes of all windows of c's words in order, from hashes of one, two and four words; a row for each of sizes.
+def word_hashes(ws: Column) -> Column:
+    """Hashes of words, of placeholders without their values."""
+    return F.transform(ws, lambda w: F.xxhash64(F.when(w.startswith(MARK), w.substr(1, 2)).otherwise(w)))
+
+
+def cut(a: Column | str, n: int) -> Column:
+    return F.slice(a, 1, F.greatest(F.size(a) - n, F.lit(0)))
+
+
+def pairs(one: str) -> Column:
+    return F.zip_with(cut(one, 1), F.slice(one, 2, F.greatest(F.size(one) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+
+
+def windows_of(one: str, two: str, size: int = WINDOW) -> Column:
+    """Hashes of all windows of so many words, in order, from the hashes of words and of pairs of words."""
+    if size < 3:
+        return F.col(one if size == 1 else two)
+    if size == 3:
+        return F.transform(cut(two, 1), lambda p, i: F.xxhash64(p, F.get(one, i + 2)))
+    if size == 4:
+        return F.transform(cut(two, 2), lambda p, i: F.xxhash64(p, F.get(two, i + 2)))
+    return F.transform(cut(two, 3), lambda p, i: F.xxhash64(p, F.get(two, i + 2), F.get(one, i + 4)))
+
+
+def with_windows(rows: DataFrame, size: int = WINDOW, text: str = "c") -> DataFrame:
+    """rows with hs, the hashes of all windows of the words of text.
 
     Each step is a projection of its own that uses the one before more than once, which keeps Catalyst from computing it twice.
     """
-    keep = [c for c in rows.columns if c != "c"]
-    shift = lambda a, n: F.slice(a, n + 1, F.greatest(F.size(a) - n, F.lit(0)))
-    cut = lambda a, n: F.slice(a, 1, F.greatest(F.size(a) - n, F.lit(0)))
-    pair = lambda a, b: F.xxhash64(a, b)
-    rows = rows.select(*keep, F.split("c", " ").alias("ws"))
-    rows = rows.select(*keep, F.transform("ws", lambda w: F.xxhash64(w)).alias("one"))
-    rows = rows.select(*keep, "one", F.zip_with(cut("one", 1), shift("one", 1), pair).alias("two"))
-    rows = rows.select(*keep, "one", "two", F.zip_with(cut("two", 2), shift("two", 2), pair).alias("four"))
-    of = {1: F.col("one"), 2: F.col("two"), 3: F.zip_with(cut("two", 1), shift("one", 2), pair), 4: F.col("four"), WINDOW: F.zip_with(cut("four", 1), shift("one", 4), pair)}
-    if len(sizes) == 1:
-        return rows.select(*keep, of[sizes[0]].alias("hs"))
-    return rows.select(*keep, F.explode(F.array(*(of[n] for n in sizes))).alias("hs"))
-
-
-def both_forms(rows: DataFrame, openers: list[str]) -> DataFrame:
-    """A row for each form of s: kind 0 with its plain words, kind 1 with its template, in c."""
-    keep = [c for c in rows.columns if c != "s"]
-    rows = named(rows.select(*keep, plain(F.col("s")).alias("plain"), marked(F.col("s")).alias("m")), openers)
-    forms = F.array(F.struct(F.lit(0).alias("kind"), F.col("plain").alias("c")), F.struct(F.lit(1).alias("kind"), template(F.col("m")).alias("c")))
-    return rows.select(*keep, F.explode(forms).alias("f")).select(*keep, "f.kind", "f.c")
-
-
-def document_windows(docs: DataFrame, openers: list[str], sizes: tuple[int, ...] = (WINDOW,)) -> DataFrame:
-    """(doc_id, at, h) of each window, h null for texts without any; the form's kind is added to the hash, for a join on one number.
-
-    The outer form: for the plain one Spark infers a filter on the array's size, which it pushes to the scan with every step copied into it.
+    keep = [c for c in rows.columns if c != text]
+    rows = rows.select(*keep, words(F.col(text)).alias("ws"))
+    rows = rows.select(*keep, word_hashes(F.col("ws")).alias("one"))
+    rows = rows.select(*keep, "one", pairs("one").alias("two"))
+    return rows.select(*keep, windows_of("one", "two", size).alias("hs"))
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a 64-bit hash of both, by which rows without doc_id, or with one that comes again, are told apart."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias(ROW))
+
+
+def document_windows(docs: DataFrame, openers: list[str], anchors: list[int], short: list[int]) -> DataFrame:
+    """(ROW, at, h) of the windows of both forms, of documents that have any of anchors among their plain words and pairs.
+
+    The form's kind is mixed into the hash, for a join on one number. The row's number in the filter keeps Spark from pushing the filter
+    to the scan, where every step would be copied into it; posexplode_outer keeps it from inferring such a filter.
     """
-    rows = both_forms(docs.where("text is not null").select("doc_id", spaced(F.col("text")).alias("s")), openers)
-    return with_windows(rows, sizes).select("doc_id", "kind", F.posexplode_outer("hs").alias("at", "h")).select("doc_id", "at", (F.col("h") + F.col("kind")).alias("h"))
+    rows = with_key(docs).where("text is not null").select(ROW, spaced(F.col("text")).alias("s"))
+    rows = rows.select(ROW, "s", words(plain(F.col("s"))).alias("ws"))
+    rows = rows.select(ROW, "s", F.transform("ws", lambda w: F.xxhash64(w)).alias("one"))
+    rows = rows.select(ROW, "s", "one", pairs("one").alias("two"), F.monotonically_increasing_id().alias("at_row"))
+    known = ", ".join(map(str, anchors))
+    has = F.expr(f"exists(two, x -> x IN ({known})) OR exists(one, x -> x IN ({known}))") if anchors else F.lit(True)
+    rows = rows.where(has & (F.col("at_row") >= 0))
+    plain_form = F.array(*(windows_of("one", "two", n) for n in (*short, WINDOW)))
+    rows = rows.select(ROW, plain_form.alias("plain"), marked(F.col("s")).alias("m"))
+    rows = named(rows, openers)
+    rows = with_windows(rows, text="m")
+    rows = rows.select(ROW, F.explode(F.concat(F.transform("plain", lambda a: F.struct(F.lit(0).cast("long").alias("kind"), a.alias("hs"))), F.array(F.struct(F.lit(1).cast("long").alias("kind"), F.col("hs").alias("hs"))))).alias("f"))
+    return rows.select(ROW, F.col("f.kind").alias("kind"), F.posexplode_outer("f.hs").alias("at", "h")).select(ROW, "at", F.col("h").bitwiseXOR(F.col("kind")).alias("h"))
 
 
 def plain_windows(rows: DataFrame) -> DataFrame:
-    """(item_id, kind 0, i, h, slots, size): the windows of each class of items with equal plain words; shorter items are one window."""
+    """(item_id, kind 0, i, h, slots, size, said): the windows of each class of items with equal plain words; shorter items are one window."""
     rows = rows.select("item_id", plain(F.col("s")).alias("c")).where("c != ''").groupBy("c").agg(F.min("item_id").alias("item_id"))
-    rows = rows.withColumn("size", F.least(F.size(F.split("c", " ")), F.lit(WINDOW)))
+    rows = rows.select("item_id", "c", words(F.col("c")).alias("w")).withColumn("size", F.least(F.size("w"), F.lit(WINDOW)))
     none = F.array().cast("array<struct<place:int,value:string>>")
-    out = [with_windows(rows.where(F.col("size") == n), (n,)) for n in range(1, WINDOW + 1)]
-    return reduce(DataFrame.union, out).select("item_id", F.lit(0).alias("kind"), F.posexplode("hs").alias("i", "h"), none.alias("slots"), "size")
+    out = [with_windows(rows.where(F.col("size") == n), n) for n in range(1, WINDOW + 1)]
+    out = reduce(DataFrame.union, out).select("item_id", F.lit(0).alias("kind"), F.posexplode("hs").alias("i", "h"), none.alias("slots"), "size", "w")
+    return out.select("item_id", "kind", "i", "h", "slots", "size", F.slice("w", F.col("i") + 1, F.col("size")).alias("said"))
 
 
 def template_windows(rows: DataFrame, openers: list[str]) -> DataFrame:
-    """(item_id, kind 1, i, h, slots, size): the telling windows of each class of items with equal templates, whose placeholders repeat
+    """(item_id, kind 1, i, h, slots, size, said): the telling windows of each class of items with equal templates, whose placeholders repeat
     their values at the same places; slots has (place, value) of a window's placeholders."""
     rows = named(rows.select("item_id", marked(F.col("s")).alias("m")), openers).select("item_id", words(F.col("m")).alias("w"), template(F.col("m")).alias("c"))
     again = F.transform("w", lambda x: F.when(x.startswith(MARK), F.array_position("w", x)))
@@ -157,7 +188,7 @@ def template_windows(rows: DataFrame, openers: list[str]) -> DataFrame:
     out = rows.select("item_id", "w", F.posexplode_outer("hs").alias("i", "h")).where("h is not null")
     window = F.slice("w", F.col("i") + 1, WINDOW)
     slots = F.filter(F.transform(window, lambda w, k: F.struct((F.col("i") + k).alias("place"), w.alias("value"))), lambda s: s["value"].startswith(MARK))
-    return out.select("item_id", F.lit(1).alias("kind"), "i", "h", slots.alias("slots"), F.lit(WINDOW).alias("size")).where(F.size("slots") < WINDOW)
+    return out.select("item_id", F.lit(1).alias("kind"), "i", "h", slots.alias("slots"), F.lit(WINDOW).alias("size"), window.alias("said")).where(F.size("slots") < WINDOW)
 
 
 def item_windows(benchmark: DataFrame, openers: list[str]) -> DataFrame:
@@ -165,7 +196,29 @@ def item_windows(benchmark: DataFrame, openers: list[str]) -> DataFrame:
     return plain_windows(rows).union(template_windows(rows, openers))
 
 
-KEY = ["doc_id", "item_id", "kind"]
+def anchors_of(items: DataFrame, coverage: float) -> DataFrame:
+    """(a): hashes of plain words or pairs of words of which every document that covers an item has one at least.
+
+    Of each window one pair of neighbouring words is taken, the longest, or its longest word if no two words are beside each other. A
+    document that covers an item has all but (1 - coverage) of its windows; so of any more windows than these it has one, with its pair.
+    The windows whose pairs are longest are taken.
+    """
+    said = F.transform("said", lambda w: F.when(~w.startswith(MARK), F.replace(w, F.lit("ß"), F.lit("ss"))))
+    rows = items.select("item_id", "kind", "i", said.alias("w"))
+    one = F.transform("w", lambda w: F.struct(F.lit(0).alias("two"), F.length(w).alias("n"), F.xxhash64(w).alias("a")))
+    two = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.struct(F.lit(1).alias("two"), (F.length(F.get("w", k - 1)) + F.length(F.get("w", k))).alias("n"), F.xxhash64(F.xxhash64(F.get("w", k - 1)), F.xxhash64(F.get("w", k))).alias("a")))
+    told = F.filter(F.concat(one, F.when(F.size("w") > 1, two).otherwise(F.array().cast("array<struct<two:int,n:int,a:bigint>>"))), lambda p: p["n"].isNotNull())
+    best = rows.select("item_id", "kind", "i", F.array_max(told).alias("b"))
+    place = F.row_number().over(Window.partitionBy("item_id", "kind").orderBy(F.desc("b")))
+    best = best.withColumns({"place": place, "n": F.count("*").over(Window.partitionBy("item_id", "kind"))})
+    return best.where(F.col("place") <= F.floor(F.col("n") * (1 - coverage) + 1e-9) + 1).select(F.col("b.a").alias("a")).distinct()
+
+
+#: What tells a document's rows apart: see with_key().
+ROW = "_bidlake_row"
+KEY = [ROW, "item_id", "kind"]
+#: Anchors that a filter holds; with more of them all documents are read in both forms.
+MOST_ANCHORS = 50_000
 
 
 def alignments(shift: Column, n: Column) -> Column:
@@ -180,18 +233,20 @@ def alignments(shift: Column, n: Column) -> Column:
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, consistency: float = 0.8) -> DataFrame:
-    """(doc_id, item_id, coverage, consistency) of the documents that hold an item."""
+    """(ROW, item_id, coverage, consistency) of the rows of docs that hold an item."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     openers = opening_words(benchmark)
     items = scratch.keep(item_windows(benchmark, openers), "item-windows")
     counts = items.groupBy("item_id", "kind").agg(F.count("*").alias("n"), F.sum(F.size("slots")).alias("n_slots"))
     short = sorted(r["size"] for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect())
     total = items.count()
+    anchors = [r["a"] for r in anchors_of(items, coverage).limit(MOST_ANCHORS + 1).collect()]
+    anchors = anchors if len(anchors) <= MOST_ANCHORS else []
     parts = max(1, -(-total // PART_WINDOWS))
     found = []
     for k in range(parts):
-        some = items.select("item_id", "kind", "i", (F.col("h") + F.col("kind")).alias("h")).where(F.pmod("h", F.lit(parts)) == k)  # PART_WINDOWS or so
-        found.append(document_windows(docs, openers, (*short, WINDOW)).join(F.broadcast(some), "h").select(*KEY, "at", "i"))
+        some = items.select("item_id", "kind", "i", F.col("h").bitwiseXOR(F.col("kind").cast("long")).alias("h")).where(F.pmod("h", F.lit(parts)) == k)  # PART_WINDOWS or so
+        found.append(document_windows(docs, openers, anchors, short).join(F.broadcast(some), "h").select(*KEY, "at", "i"))
     matched = scratch.keep(reduce(DataFrame.union, found).distinct(), "matched")
     # A first sieve, which no alignment passes that fails it: windows of all alignments together.
     near = matched.select(*KEY, "i").distinct().groupBy(*KEY).agg(F.count("*").alias("k")).join(counts, ["item_id", "kind"])
@@ -204,28 +259,28 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, consi
 
     # Slots are read from the documents that hold items with slots alone.
     asked = covered.where("n_slots > 0").select(*KEY, "a")
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(asked.select("doc_id").distinct(), 40), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = named(texts.select("doc_id", marked(spaced(F.col("text"))).alias("m")), openers).select("doc_id", words(F.col("m")).alias("w"))
+    texts = with_key(docs).join(broadcast_if_small(asked.select(ROW).distinct(), 40), ROW, "left_semi").dropDuplicates([ROW])
+    texts = named(texts.select(ROW, marked(spaced(F.col("text"))).alias("m")), openers).select(ROW, words(F.col("m")).alias("w"))
     slots = placed.select(*KEY, "a", "shift", "i").join(asked, [*KEY, "a"]).join(items.select("item_id", "kind", "i", F.explode("slots").alias("s")), ["item_id", "kind", "i"])
     slots = slots.select(*KEY, "a", "shift", "s.place", "s.value").distinct()
-    filled = slots.join(texts, "doc_id").select(*KEY, "a", "place", "value", F.element_at("w", (F.col("shift") + F.col("place") + 1).cast("int")).alias("other")).distinct()
+    filled = slots.join(texts, ROW).select(*KEY, "a", "place", "value", F.element_at("w", (F.col("shift") + F.col("place") + 1).cast("int")).alias("other")).distinct()
     most = filled.groupBy(*KEY, "a", "value", "other").agg(F.count("*").alias("k")).groupBy(*KEY, "a", "value").agg(F.max("k").alias("most"))
     most = most.groupBy(*KEY, "a").agg(F.sum("most").alias("most"))
     places = filled.select(*KEY, "a", "place").distinct().groupBy(*KEY, "a").agg(F.count("*").alias("all"))
     each = most.join(places, [*KEY, "a"]).select(*KEY, "a", (F.col("most") / F.col("all")).alias("consistency"))
     out = covered.join(each, [*KEY, "a"], "left").select(*KEY, "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
-    out = out.where(F.col("consistency") >= consistency).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("consistency").alias("consistency"))
+    out = out.where(F.col("consistency") >= consistency).groupBy(ROW, "item_id").agg(F.max("coverage").alias("coverage"), F.max("consistency").alias("consistency"))
     return scratch.keep(out, "verdicts")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8) -> DataFrame:
     """doc_id, n_items, items (ids in order, comma-joined, null if none), coverage (the highest, null if none), contaminated for every row of docs."""
-    held = verdicts(docs, benchmark, coverage).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("items"), F.max("coverage").alias("coverage"))
-    out = docs.select("doc_id").join(broadcast_if_small(held, 200), "doc_id", "left")
+    held = verdicts(docs, benchmark, coverage).groupBy(ROW).agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("items"), F.max("coverage").alias("coverage"))
+    out = with_key(docs).select("doc_id", ROW).join(broadcast_if_small(held, 200), ROW, "left")
     return out.select("doc_id", F.coalesce("n_items", F.lit(0)).alias("n_items"), "items", "coverage", F.col("n_items").isNotNull().alias("contaminated"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8) -> DataFrame:
     """The rows of docs, all columns as they are, that hold no item."""
-    held = verdicts(docs, benchmark, coverage).select("doc_id").distinct()
-    return docs.join(broadcast_if_small(held, 40), "doc_id", "left_anti")
+    held = verdicts(docs, benchmark, coverage).select(ROW).distinct()
+    return docs.withColumn(ROW, F.xxhash64("doc_id", "text")).join(broadcast_if_small(held, 40), ROW, "left_anti").select(*docs.columns)
