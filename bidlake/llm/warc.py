@@ -1,13 +1,15 @@
 """WARC archives with a two-level capture index.
 
-Each task writes its pages as records, one gzip member each, to archive files of bounded size in a shared folder. A file is written under
-a temporary name and renamed, with contents that depend on the rows alone, so a task that runs again replaces it by the same bytes. Keys
-are URLs with the host reversed; entries sorted by key are packed into compressed blocks, and a sparse directory keeps each block's first
-key and place. A lookup searches the directory by bisection, reads and unpacks one block, bisects in it, and reads the record's range.
+Each task writes its pages as records, one gzip member each, to archive files of bounded size in a shared folder. Every attempt of a task
+has files of its own name, and only the entries of the attempt that Spark commits name them, so an attempt that was lost leaves unused files
+and nothing else. Keys are URLs with the host reversed; entries sorted by key are packed into compressed blocks, at the end of each index
+file its directory keeps every block's first key and place, and one row a file says where its keys begin. A lookup finds the file by
+bisection, reads its directory and bisects in that, reads and unpacks one block, bisects in it, and reads the record's range.
 
 Payloads are the html in UTF-8, null counting as empty. Of equal payloads of at least min_bytes, the record with the largest page_id is a
 response and the others are revisits without payload; repeated rows of that page_id are all responses; a null page_id revisits any other.
-Null urls have the empty key. Very long payloads are one record each. An empty table gives no files and no rows.
+Null urls have the empty key. Very long payloads are one record each. An empty table gives no files and no rows; columns other than
+page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +34,14 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, Scratch, broadcast_if_small
 
-FILE_BYTES, BLOCK_ENTRIES, LEVEL = 64 << 20, 1024, 1
+FILE_BYTES, BLOCK_ENTRIES, FILE_BLOCKS, LEVEL = 64 << 20, 1024, 1024, 1
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY_SCHEMA = "key string, page_id long, file string, at long, size long"
-DIRECTORY_SCHEMA = "key string, page_id long, file string, at long, size long, entries int"
+#: A row for each index file: its first key and where its directory is.
+DIRECTORY_SCHEMA = "key string, page_id long, file string, at long, size long, entries long"
+#: Bytes of archives that one task reads back.
+READ_BYTES = 16 << 20
 CAPTURE_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
@@ -138,14 +143,19 @@ def _rows(columns: list[list], names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
+def attempt() -> str:
+    """A name for this attempt of this task."""
+    return f"{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+
+
 def _writer(root: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, part, n = Store(root), TaskContext.get().partitionId(), 0
-        body, entries = bytearray(), []
+        store, n, body, entries = Store(root), 0, bytearray(), []
+        name = f"pages-{attempt()}"
 
         def close() -> pa.RecordBatch:
             nonlocal body, entries, n
-            store.write(f"pages-{part:06d}-{n:04d}.warc.gz", bytes(body))
+            store.write(f"{name}-{n:04d}.warc.gz", bytes(body))
             n += 1
             out = _rows([list(c) for c in zip(*entries, strict=True)], ENTRY_SCHEMA)
             body, entries = bytearray(), []
@@ -156,7 +166,7 @@ def _writer(root: str):
                 payload = (r["html"] or "").encode()
                 response = r["response"] if r["response"] is not None and r["response"] != r["page_id"] else None
                 data = gzip.compress(record(r["page_id"], r["url"], payload, response), LEVEL, mtime=0)
-                entries.append((url_key(r["url"]), r["page_id"], f"pages-{part:06d}-{n:04d}.warc.gz", len(body), len(data)))
+                entries.append((url_key(r["url"]), r["page_id"], f"{name}-{n:04d}.warc.gz", len(body), len(data)))
                 body += data
                 if len(body) >= FILE_BYTES:
                     yield close()
@@ -167,28 +177,37 @@ def _writer(root: str):
 
 
 def _packer(root: str):
-    """Sorted entries to compressed blocks in one index file a task; a directory row for each block."""
+    """Sorted entries to compressed blocks in index files, with each file's directory at its end; a row for each file."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, part = Store(root), TaskContext.get().partitionId()
-        name, body, block, rows = f"captures-{part:06d}.idx", bytearray(), [], []
+        store, n, body, block, rows = Store(root), 0, bytearray(), [], []
+        name = f"captures-{attempt()}"
 
         def close() -> None:
             data = zlib.compress(json.dumps(block, separators=(",", ":")).encode(), LEVEL)
-            rows.append((block[0][0], block[0][1], name, len(body), len(data), len(block)))
+            rows.append((block[0][0], block[0][1], len(body), len(data), len(block)))
             body.extend(data)
             block.clear()
 
+        def end_file() -> pa.RecordBatch:
+            nonlocal body, rows, n
+            data, file, at = zlib.compress(json.dumps(rows, separators=(",", ":")).encode(), LEVEL), f"{name}-{n:04d}.idx", len(body)
+            store.write(file, bytes(body) + data)
+            out = _rows([[rows[0][0]], [rows[0][1]], [file], [at], [len(data)], [sum(r[4] for r in rows)]], DIRECTORY_SCHEMA)
+            body, rows, n = bytearray(), [], n + 1
+            return out
+
         for batch in batches:
             for r in batch.to_pylist():
                 block.append([r["key"], r["page_id"], r["file"], r["at"], r["size"]])
                 if len(block) == BLOCK_ENTRIES:
                     close()
+                    if len(rows) == FILE_BLOCKS:
+                        yield end_file()
         if block:
             close()
         if rows:
-            store.write(name, bytes(body))
-            yield _rows([list(c) for c in zip(*rows, strict=True)], DIRECTORY_SCHEMA)
+            yield end_file()
 
     return pack
 
@@ -198,34 +217,43 @@ def order(key: str, page_id: int | None) -> tuple[bytes, bool, int]:
     return key.encode(), page_id is not None, page_id or 0
 
 
+def found(rows: list, want: tuple) -> Iterator[int]:
+    """Places of the sorted rows, each beginning with a key and page_id, in whose range want may lie: it may go on in the next ones."""
+    i = max(0, bisect_left(rows, want, key=lambda r: order(r[0], r[1])) - 1)
+    while i < len(rows) and order(rows[i][0], rows[i][1]) <= want:
+        yield i
+        i += 1
+
+
 class Index:
-    """Lookups over part of a directory: bisect in it, unpack a block, bisect in that."""
-
-    def __init__(self, store: Store, directory: list[tuple]):
-        self.store, self.rows = store, directory
-        self.firsts = [order(r[0], r[1]) for r in directory]
-        self.blocks: OrderedDict[int, list[list]] = OrderedDict()
-
-    def block(self, i: int) -> list[list]:
-        if i not in self.blocks:
-            _, _, name, at, size, _ = self.rows[i]
-            self.blocks[i] = json.loads(zlib.decompress(self.store.read(name, at, size)))
-            if len(self.blocks) > 4:
-                self.blocks.popitem(last=False)
-        self.blocks.move_to_end(i)
-        return self.blocks[i]
+    """Lookups over the index files of a range of keys: bisect in the files, in a file's directory, and in an unpacked block of it."""
+
+    def __init__(self, store: Store, files: list[tuple]):
+        self.store, self.files = store, files
+        self.held: OrderedDict[tuple, list[list]] = OrderedDict()
+
+    def unpacked(self, name: str, at: int, size: int) -> list[list]:
+        """A directory or a block; the last few stay in memory."""
+        place = (name, at)
+        if place not in self.held:
+            self.held[place] = json.loads(zlib.decompress(self.store.read(name, at, size)))
+            if len(self.held) > 6:
+                self.held.popitem(last=False)
+        self.held.move_to_end(place)
+        return self.held[place]
 
     def find(self, key: str, page_id: int | None) -> Iterator[list]:
-        """The entries of a capture; they may go on in the next block."""
+        """The entries of a capture."""
         want = order(key, page_id)
-        i = max(0, bisect_left(self.firsts, want) - 1)
-        while i < len(self.rows) and self.firsts[i] <= want:
-            entries = self.block(i)
-            k = bisect_left(entries, want, key=lambda e: order(e[0], e[1]))
-            while k < len(entries) and order(entries[k][0], entries[k][1]) == want:
-                yield entries[k]
-                k += 1
-            i += 1
+        for f in found(self.files, want):
+            _, _, name, at, size, _ = self.files[f]
+            directory = self.unpacked(name, at, size)
+            for b in found(directory, want):
+                entries = self.unpacked(name, directory[b][2], directory[b][3])
+                k = bisect_left(entries, want, key=lambda e: order(e[0], e[1]))
+                while k < len(entries) and order(entries[k][0], entries[k][1]) == want:
+                    yield entries[k]
+                    k += 1
 
 
 def _reader(root: str, directory):
@@ -269,7 +297,8 @@ class Archive:
     def lookup(self, captures: DataFrame) -> DataFrame:
         """The records of captures (key, page_id), read back through the index.
 
-        The directory goes to the workers in parts of bounded size, each with the captures of its range of keys; one part for most tables.
+        What goes to the workers is a row for each index file, about one in a million captures, in parts of bounded size, each with the captures
+        of its range of keys; one part for all but the largest archives.
         """
         size = self.directory.agg(F.sum(F.length("key") + 60).alias("n"), F.count("*").alias("rows")).first()
         if not size["rows"]:
@@ -279,12 +308,14 @@ class Archive:
         if parts > 1:
             keys = self.directory.select("key").repartitionByRange(parts, "key")
             bounds = [None, *sorted(r["k"] for r in keys.groupBy(F.spark_partition_id()).agg(F.min("key").alias("k")).collect())[1:], None]
-        captures = captures.select("key", "page_id").distinct().repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+        bytes_written = self.entries.agg(F.sum("size")).first()[0] or 0
+        tasks = max(2 * self.spark.sparkContext.defaultParallelism, -(-bytes_written // READ_BYTES))
+        captures = captures.select("key", "page_id").distinct().repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id")
         found = None
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             rows, mine = self.directory, captures
             if lo is not None:
-                # The block before the first one of this range may hold the range's first keys.
+                # The file before the first one of this range may hold the range's first keys.
                 before = self.directory.where(F.col("key") < lo).orderBy(F.desc("key"), F.desc("page_id")).limit(1)
                 rows, mine = rows.where(F.col("key") >= lo).union(before), mine.where(F.col("key") >= lo)
             if hi is not None:
