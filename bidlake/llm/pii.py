@@ -5,18 +5,21 @@ the domain of an email): for a term in a text with the entity, n_te is the numbe
 the term occurs at all; n_te / n_t estimates the chance of the entity given the term, and its ratio to the entity's own chance, in bits, is
 the pointwise information. Terms with n_te, the chance and the information all at their thresholds disclose the entity; each of their
 occurrences, in every text, becomes a span of kind `term`, whether or not the entity is written there. Sanitised text has each span
-replaced by its kind in capitals, in brackets. Terms are words of letters and digits of any length. An entity in fewer than TOGETHER
-distinct texts is too rare for the statistics: it is protected by its own span, and an email by its domain's terms.
-
-Null and empty texts have no spans. Texts that occur many times count once in the statistics. Statistics cover all documents; counts are
-combined per task before they are shuffled. Repeated rows and null doc_ids are each judged on their own text.
+replaced by its kind in capitals, in brackets; a disclosing number is generalised to how many digits it has, other disclosing terms are
+removed. Terms are words of letters and digits of any length. An entity in fewer than TOGETHER distinct texts is too rare for the
+statistics: it is protected by its own span, and an email by its domain's terms.
+
+Null and empty texts have no spans; texts of any length are read whole. Equal texts count once in the statistics, whatever their doc_ids,
+null ones and repeated rows included; each row is judged on its own text. A term at exactly a threshold discloses. Statistics cover all
+documents; counts are combined per task before they are shuffled. An empty table gives no rows; columns other than doc_id and text are
+ignored, and kept by sanitise(), which also sets n_chars if there is one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Scratch, broadcast_if_small
+from .common import Scratch, broadcast_if_small, join_hot
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct texts together, chance and bits at least.
@@ -143,26 +146,43 @@ def _with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, n) of the texts of a task, each counted once a text; passed on whenever HELD_TERMS are held. A row with a null term counts texts."""
-    held: Counter = Counter()
-    texts = 0
+    """(term, n) of the texts of a task, each counted once a text with the text's weight; passed on whenever HELD_TERMS are held. A row with
+    a null term counts texts."""
+    held: defaultdict[str, float] = defaultdict(float)
+    texts = 0.0
 
     def passed() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array([*held, None], pa.string()), pa.array([*held.values(), texts], pa.int64())], names=["term", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array([*held, None], pa.string()), pa.array([*held.values(), texts], pa.float64())], names=["term", "n"])
         held.clear()
         return out
 
     for batch in batches:
-        for value in batch.column(0):
+        for value, weight in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             text = value.as_py() or ""
-            texts += 1
-            held.update({t.lower() for t in set(TERM.findall(text))})
+            texts += weight
+            for term in {t.lower() for t in set(TERM.findall(text))}:
+                held[term] += weight
             if len(held) >= HELD_TERMS:
                 yield passed()
-                texts = 0
+                texts = 0.0
     yield passed()
 
 
+def whole_texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(text, weight) in which each distinct text has weight 1 in all. Only narrow rows are shuffled, unless copies are too many to broadcast.
+
+    Texts are told apart by two checksums. Of a text that comes again the rows with its smallest doc_id stay, each with its share.
+    """
+    sums = (F.xxhash64("text").alias("h1"), F.crc32("text").alias("h2"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
+    each = scratch.keep(docs.select(*sums).groupBy("h1", "h2", "id").agg(F.count("*").alias("n")), "rows")
+    again = each.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("ids"), F.max("n").alias("most")).where("ids > 1 or most > 1").select("h1", "h2", "first")
+    copies = join_hot(each, scratch.keep(again, "again", narrow=True), ["h1", "h2"], 48)
+    copies = copies.select("h1", "h2", "id", F.when(F.col("id") == F.col("first"), 1 / F.col("n")).otherwise(0.0).alias("weight")).where("weight < 1")
+    copies = scratch.keep(copies, "copies", narrow=True)
+    rows = docs.select("text", *sums).join(broadcast_if_small(copies, 56), ["h1", "h2", "id"], "left")
+    return rows.select("text", F.coalesce("weight", F.lit(1.0)).alias("weight")).where("weight > 0")
+
+
 def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """(entity, term) pairs at the thresholds."""
     holds = found.where("entities is not null").select("text_key", F.explode("entities").alias("entity")).distinct()
@@ -172,12 +192,8 @@ def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame
     asked = holds.join(broadcast_if_small(owners.select("entity"), 60), "entity", "left_semi")
     said = found.where("entities is not null").select("text_key", F.explode("words").alias("term")).distinct()
     pairs = asked.join(said, "text_key").groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= TOGETHER)
-    # Texts are told apart by two checksums; the first row of each, by id, stands for it.
-    sums = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.crc32("text").alias("h2"))
-    once = sums.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    spare = scratch.keep(sums.join(once.where("copies > 1").select("h1", "h2", F.col("doc_id").alias("first")), ["h1", "h2"]).where("doc_id != first").select("doc_id"), "copies")
-    whole = docs.select("doc_id", "text").join(broadcast_if_small(spare.distinct(), 40), "doc_id", "left_anti").select("text")
-    counts = scratch.keep(whole.mapInArrow(_term_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")), "terms")
+    counts = whole_texts(docs, scratch).mapInArrow(_term_counts, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n_t"))
+    counts = scratch.keep(counts, "terms")
     texts = counts.where("term is null").agg(F.sum("n_t")).first()[0] or 0
     scored = pairs.join(counts, "term").join(owners, "entity")
     chance = F.col("n_te") / F.col("n_t")
@@ -224,7 +240,7 @@ def analysed(docs: DataFrame) -> DataFrame:
     parts = told_terms(docs, found, scratch)
     if not parts:
         return found.drop("entities", "words", "text_key").withColumn("terms", spots(F.lit(None), []))
-    return docs.withColumn("terms", spots(F.col("text"), parts)).mapInArrow(_with_terms, f"{FOUND}, terms array<struct<start:int,end:int>>").drop("entities", "words", "text_key")
+    return docs.select("*", spots(F.col("text"), parts).alias("terms")).mapInArrow(_with_terms, f"{FOUND}, terms array<struct<start:int,end:int>>").drop("entities", "words", "text_key")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -234,12 +250,17 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return analysed(docs).select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"))
 
 
+def general(kind: str, value: str) -> str:
+    """What stands for a span: a disclosing number keeps its count of digits, all else its kind alone."""
+    return f"[NUMBER OF {len(value)} DIGITS]" if kind == "term" and value.isdecimal() else f"[{kind.upper()}]"
+
+
 def redacted(text: str, spans: list[Span]) -> str:
     """Overlapping spans of several kinds become the kind of the first."""
     out, at = [], 0
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
         if a >= at:
-            out += [text[at:a], f"[{kind.upper()}]"]
+            out += [text[at:a], general(kind, text[a:b])]
         at = max(at, b)
     return "".join([*out, text[at:]])
 

@@ -7,7 +7,9 @@ of bounded size; each pair of a block is checked by its cosine in double precisi
 meets, so that no pairs are written out: a block emits counts, and links enough to connect what it found.
 
 Null, zero and empty vectors, those with null or non-finite components, and null labels link with nothing; each is its own component.
-Vectors of different lengths link with nothing. Repeated rows count as vectors of their own; null vec_ids pass through unlinked.
+Vectors of different lengths link with nothing. Repeated rows count as vectors of their own; null vec_ids pass through unlinked. A cosine
+of exactly the threshold is a link. Vectors of any length are read whole. An empty table gives no rows; columns other than vec_id, label
+and embedding are ignored.
 """
 
 from __future__ import annotations
