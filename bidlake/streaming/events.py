@@ -1,10 +1,17 @@
-"""Streams over event logs: windows with watermarks, and upserts a batch at a time."""
+"""Streams over event logs: windows with watermarks, upserts a batch at a time, rate limits with state, and what changed between snapshots."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.sinks import Snapshots
+from ..operators.upsert import upsert
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,3 +34,57 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complet
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def upsert_stream(batches: DataFrame, snapshots: Snapshots, keys: list[str], content: list[str], order: list[str], now: Column, checkpoint: str) -> StreamingQuery:
+    """Late and corrected rows into a snapshot, a batch at a time, until all that is there now has come.
+
+    A batch that runs again after a failure writes its version once more under the same number; as an upsert of the same rows changes
+    nothing, readers see no difference.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        old = snapshots.current()
+        if old is None:
+            kinds = {f.name: f.dataType for f in batch.schema.fields}
+            text = ", ".join(f"{c} {kinds[c].simpleString()}" for c in [*keys, *content])
+            old = batch.sparkSession.createDataFrame([], f"{text}, created_at timestamp, updated_at timestamp")
+        snapshots.write(upsert(old, batch, keys, content, order, now).drop("action"), batch_id + 1)
+
+    q = batches.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def changes(before: DataFrame, after: DataFrame, keys: list[str], content: list[str]) -> DataFrame:
+    """keys and change (new, gone, changed) of two snapshots; null values are equal to each other."""
+    a = before.select(*keys, F.struct(*content).alias("_a"), F.lit(1).alias("_old"))
+    b = after.select(*keys, F.struct(*content).alias("_b"), F.lit(1).alias("_new"))
+    kind = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "gone").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
+    return a.join(b, keys, "full_outer").select(*keys, kind.alias("change")).where("change is not null")
+
+
+def limited(events: DataFrame, key: str, per_minute: int = 10, per_hour: int = 60, late: str = "10 minutes") -> DataFrame:
+    """events (event_id, ts, key) with `allowed`: one is refused if per_minute of its key were allowed in the last minute, or per_hour in
+    the last hour. Refused ones don't count. A stream keeps no more than per_hour times a key; they go once the watermark is an hour past.
+    """
+    schema, events = events.schema, events.withWatermark("ts", late)
+
+    def decide(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        allowed = []
+        for at in rows["ts"].astype("datetime64[us]").astype("int64"):
+            times = [t for t in times if at - t < 3_600_000_000]
+            ok = len(times) < per_hour and sum(at - t < 60_000_000 for t in times) < per_minute
+            allowed.append(ok)
+            times += [at] if ok else []
+        state.update((times,))
+        state.setTimeoutTimestamp(max([t // 1000 for t in times] + [state.getCurrentWatermarkMs()]) + 3_600_000)
+        yield rows.assign(allowed=allowed)
+
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", allowed boolean"
+    return events.groupBy(key).applyInPandasWithState(decide, out, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
