@@ -4,32 +4,43 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ACCENTED, PLAIN, fold
+from ..functions.text import fold
 from ..operators.packing import greedy_dedup, pack_pages
 from .registry import query, statement, table
 
 
-@query("text_fold", f"SELECT doc_id, md5(trim(regexp_replace(translate(lower(text), '{ACCENTED}’‘`', '{PLAIN}'''''''), '\\s+', ' ', 'g'))) AS folded FROM {{documents}}")
+# The other engine's own removal of accents is the check.
+@query("text_fold", r"SELECT doc_id, md5(trim(regexp_replace(translate(replace(strip_accents(lower(text)), 'ß', 'ss'), '’‘`', ''), '\s+', ' ', 'g'))) AS folded FROM {documents}")
 def text_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(fold(F.col("text")).cast("binary")).alias("folded"))
 
 
 #: Bytes of quotes that go to all machines at once; more are matched in as many blocks as it takes.
 QUOTE_BLOCK = 8 << 20
+WORDS = 5
 
 
-# Every quote against every page is a stated query set against all rows, in blocks; pages are folded once a block, before the join.
+def spans(words: str) -> Column:
+    """Hashes of each WORDS words in a row; those at the end are of fewer."""
+    return F.transform(words, lambda w, k: F.xxhash64(w, *(F.get(words, k + j) for j in range(1, WORDS))))
+
+
+# A quote's second to sixth word stand whole in a text that holds it, so texts and quotes meet by their hash and are compared afterwards.
+# Quotes of fewer words are a stated query set against all rows, in blocks.
 @query("quote_verify", "WITH found AS (SELECT b.item_id, min(d.doc_id) AS doc_id, count(*) AS pages FROM {benchmark} b JOIN {documents} d ON contains(lower(d.text), lower(b.text)) GROUP BY b.item_id) SELECT b.item_id, f.doc_id, coalesce(f.pages, 0) AS pages, f.doc_id IS NOT NULL AS verified FROM {benchmark} b LEFT JOIN found f ON f.item_id = b.item_id")
 def quote_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("quote"))
-    pages = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("page")).repartition(8 * max(1, spark.sparkContext.defaultParallelism // 8))
-    blocks = 1 + (quotes.agg(F.sum(F.octet_length("quote") + 16)).first()[0] or 0) // QUOTE_BLOCK
-    parts = [quotes.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) for k in range(blocks)]
-    found = reduce(DataFrame.union, [pages.join(F.broadcast(part), F.col("page").contains(F.col("quote"))).select("item_id", "doc_id") for part in parts])
-    found = found.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("pages"))
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("page"))
+    keyed = quotes.select("*", F.split("quote", r"\s+").alias("w")).select("item_id", "quote", F.when(F.size("w") >= WORDS + 2, F.xxhash64(*(F.get("w", F.lit(k)) for k in range(1, WORDS + 1)))).alias("h"))
+    blocks = 1 + (quotes.agg(F.sum(F.octet_length("quote") + 24)).first()[0] or 0) // QUOTE_BLOCK
+    parts = [keyed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) for k in range(blocks)]
+    said = pages.select("doc_id", "page", F.split("page", r"\s+").alias("w"))
+    met = [said.select("doc_id", "page", F.explode(spans("w")).alias("h")).join(F.broadcast(part.where("h is not null")), "h").where(F.col("page").contains(F.col("quote"))).select("item_id", "doc_id") for part in parts]
+    short = [pages.join(F.broadcast(part.where("h is null")), F.col("page").contains(F.col("quote"))).select("item_id", "doc_id") for part in parts]
+    found = reduce(DataFrame.union, met + short).distinct().groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("pages"))
     return quotes.join(found, "item_id", "left").select("item_id", "doc_id", F.coalesce("pages", F.lit(0)).alias("pages"), F.col("doc_id").isNotNull().alias("verified"))
 
 

@@ -9,13 +9,6 @@ NOTICES = """notices AS (
          c.c_mktsegment AS buyer_type, r.r_name AS region
   FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey)"""
 
-CATEGORIES = """categories AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS k FROM (SELECT DISTINCT o_orderpriority AS category FROM {orders}) d)"""
-
-FIRMS = """firms AS (
-  SELECT s.s_suppkey AS firm_id, r.r_name AS region, s.s_suppkey % 7 = 0 AS anywhere, s.s_suppkey % 5 AS trade_1, (s.s_suppkey * 3 + 1) % 5 AS trade_2,
-         1000.0 * (s.s_suppkey % 50) AS value_min, 1000.0 * (s.s_suppkey % 50) + 250000.0 AS value_max, s.s_suppkey % 3 AS pref
-  FROM {supplier} s JOIN {nation} n ON s.s_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey)"""
-
 INTERACTIONS = """events_raw AS (
   SELECT l.l_suppkey AS firm_id, l.l_orderkey AS ocid, l.l_linenumber AS pos, CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END AS won, l.l_extendedprice AS amount,
          CAST(o.o_orderdate AS DATE) AS day, o.o_custkey AS buyer_id, p.p_type AS category, p.p_name AS title

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranking
+from ..operators.features import unit_dot
 from ..operators.trees import sample_forest, tree_scores
 from .frames import INTERACTIONS
-from .registry import query, statement, table
+from .registry import other_engine, query, statement, table
 
 statement("fold_interactions", f"WITH {INTERACTIONS} SELECT firm_id, ocid, won, amount, day, buyer_id, category FROM interactions")
 statement(
@@ -70,15 +72,54 @@ pairs AS (SELECT e.firm_id, e.n_train, p.ocid, round(coalesce(l.n, 0.0) / e.n_tr
 placed AS (SELECT firm_id, n_train, ocid, label, row_number() OVER (PARTITION BY firm_id ORDER BY score DESC, ocid) AS place FROM pairs),
 metrics AS (SELECT firm_id, min(n_train) AS n_train, count(*) AS candidates, sum(label) AS positives, CAST(sum(CASE WHEN place <= 10 THEN label ELSE 0 END) AS DOUBLE) / nullif(sum(label), 0) AS recall_10,
             coalesce(1.0 / min(CASE WHEN label = 1 THEN place END), 0.0) AS rr FROM placed GROUP BY firm_id)"""
-statement("candidate_pairs", f"WITH {RANKED} SELECT firm_id, count(*) AS candidates, CAST(sum(label) AS BIGINT) AS positives FROM pairs GROUP BY firm_id")
-statement("rank_metrics", f"WITH {RANKED} SELECT firm_id, candidates, CAST(positives AS BIGINT) AS positives, CAST(round(recall_10, 6) AS DOUBLE) AS recall_10, CAST(round(rr, 6) AS DOUBLE) AS reciprocal_rank FROM metrics")
-statement(
+FROM, TO = "1999-01-01", "1999-07-01"
+
+
+def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Eligible firms with n_train, their scores by category, the pool, and the firms' positives in it."""
+    raw = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    at = F.struct("l_linenumber", "l_extendedprice")
+    rows = raw.groupBy(F.col("l_suppkey").alias("firm_id"), F.col("l_orderkey").alias("ocid")).agg(F.max(F.col("o_orderdate").cast("date")).alias("day"), F.min_by("p_type", at).alias("category"))
+    old, new = rows.where(F.col("day") < F.lit(FROM).cast("date")), rows.where((F.col("day") >= F.lit(FROM).cast("date")) & (F.col("day") < F.lit(TO).cast("date")))
+    enough = lambda df, name: df.groupBy("firm_id").agg(F.count("*").alias(name)).where(F.col(name) >= 5)
+    firms = enough(old, "n_train").join(enough(new, "n_test"), "firm_id").select("firm_id", "n_train")
+    scores = old.groupBy("firm_id", "category").agg(F.count("*").alias("n")).join(firms, "firm_id").select("firm_id", "category", F.round(F.col("n") / F.col("n_train"), 6).alias("score"))
+    pool = new.groupBy("ocid").agg(F.min("category").alias("category"))
+    return firms, scores, pool, new.select("firm_id", "ocid").join(firms.select("firm_id"), "firm_id", "left_semi")
+
+
+@query("candidate_pairs", other_engine(f"WITH {RANKED} SELECT firm_id, count(*) AS candidates, CAST(sum(label) AS BIGINT) AS positives FROM pairs GROUP BY firm_id"))
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, pool, positives = split(spark, sf_dir)
+    size = pool.agg(F.count("*").alias("candidates"))  # one row
+    return positives.groupBy("firm_id").agg(F.count("*").alias("positives")).join(F.broadcast(size), how="cross")
+
+
+def firm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    firms, scores, pool, positives = split(spark, sf_dir)
+    placed = ranking.metrics(ranking.places(pool, scores, positives))
+    return placed.join(firms, "firm_id").join(F.broadcast(pool.agg(F.count("*").alias("candidates"))), how="cross")
+
+
+@query("rank_metrics", other_engine(f"WITH {RANKED} SELECT firm_id, candidates, CAST(positives AS BIGINT) AS positives, CAST(round(recall_10, 6) AS DOUBLE) AS recall_10, CAST(round(rr, 6) AS DOUBLE) AS reciprocal_rank FROM metrics"))
+def rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return firm_metrics(spark, sf_dir).select("firm_id", "candidates", "positives", F.round("recall_10", 6).alias("recall_10"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+@query(
     "cohort_metrics",
-    f"""WITH {RANKED} SELECT coalesce(cohort, 'all') AS cohort, count(*) AS firms, CAST(round(avg(recall_10), 6) AS DOUBLE) AS recall_10, CAST(round(avg(rr), 6) AS DOUBLE) AS mrr
-FROM (SELECT m.*, CASE WHEN n_train < 20 THEN '5-19' WHEN n_train < 50 THEN '20-49' ELSE '50+' END AS cohort FROM metrics m) x GROUP BY GROUPING SETS ((cohort), ())""",
+    other_engine(
+        f"""WITH {RANKED} SELECT coalesce(cohort, 'all') AS cohort, count(*) AS firms, CAST(round(avg(recall_10), 6) AS DOUBLE) AS recall_10, CAST(round(avg(rr), 6) AS DOUBLE) AS mrr
+FROM (SELECT m.*, CASE WHEN n_train < 20 THEN '5-19' WHEN n_train < 50 THEN '20-49' ELSE '50+' END AS cohort FROM metrics m) x GROUP BY GROUPING SETS ((cohort), ())"""
+    ),
 )
+def cohort_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cohort = F.when(F.col("n_train") < 20, "5-19").when(F.col("n_train") < 50, "20-49").otherwise("50+")
+    rows = firm_metrics(spark, sf_dir).withColumn("cohort", F.explode(F.array(cohort, F.lit("all"))))
+    return rows.groupBy("cohort").agg(F.count("*").alias("firms"), F.round(F.avg("recall_10"), 6).alias("recall_10"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))
+
+
 BAND = "CASE WHEN {0} IS NULL OR {0} <= 0 THEN 'unknown' WHEN {0} < 20000 THEN 'small' WHEN {0} < 50000 THEN 'medium' ELSE 'large' END"
-statement("value_bands", f"SELECT {BAND.format('o_totalprice')} AS band, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {{orders}} GROUP BY 1")
 statement(
     "pattern_bands",
     r"""SELECT band, count(*) AS n FROM (SELECT CASE WHEN large AND NOT small THEN 'large' WHEN small AND NOT large THEN 'small' ELSE 'unknown' END AS band
@@ -114,12 +155,27 @@ SELECT count(*) AS n, round(avg(CASE WHEN e = a THEN 1.0 ELSE 0.0 END), 6) AS ex
 LONG_VECTORS = "<<SELECT vec_id, label, pos AS k, CAST(v AS DOUBLE) AS v FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS pos, v||SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM {embeddings}>>"
 CENTROIDS = f"long AS ({LONG_VECTORS}), means AS (SELECT label, k, avg(v) AS v FROM long GROUP BY label, k), sizes AS (SELECT label, sqrt(sum(v * v)) AS size FROM means GROUP BY label), centroids AS (SELECT m.label, m.k, m.v / s.size AS v FROM means m JOIN sizes s ON m.label = s.label)"
 statement("centroids", f"WITH {CENTROIDS} SELECT label, k, round(v, 6) AS v FROM centroids")
-statement(
+
+
+@query(
     "cosine_topk",
-    f"""WITH {CENTROIDS}, norms AS (SELECT vec_id, sqrt(sum(v * v)) AS size FROM long GROUP BY vec_id),
+    other_engine(
+        f"""WITH {CENTROIDS}, norms AS (SELECT vec_id, sqrt(sum(v * v)) AS size FROM long GROUP BY vec_id),
 dots AS (SELECT l.vec_id, c.label, round(sum(l.v * c.v) / max(n.size), 6) AS cosine FROM long l JOIN centroids c ON l.k = c.k JOIN norms n ON n.vec_id = l.vec_id GROUP BY l.vec_id, c.label)
-SELECT label, vec_id, cosine, CAST(place AS BIGINT) AS place FROM (SELECT d.*, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) AS place FROM dots d) x WHERE place <= 10""",
+SELECT label, vec_id, cosine, CAST(place AS BIGINT) AS place FROM (SELECT d.*, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) AS place FROM dots d) x WHERE place <= 10"""
+    ),
 )
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are few, so their centroids go to all machines as arrays; each block of vectors passes on its ten nearest a label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    means = rows.select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("m"))
+    centroids = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda p: p["m"]).alias("c"))
+    near = rows.select("vec_id", "v").join(F.broadcast(centroids), how="cross").select("label", "vec_id", F.round(unit_dot(F.col("v"), F.col("c")), 6).alias("cosine"))
+    order = [F.desc("cosine"), F.col("vec_id")]
+    first = near.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(16))).withColumn("n", F.row_number().over(Window.partitionBy("label", "b").orderBy(*order))).where("n <= 10")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(*order)).cast("long")).where("place <= 10").select("label", "vec_id", "cosine", "place")
+
+
 INT8 = f"long AS ({LONG_VECTORS}), scales AS (SELECT vec_id, max(abs(v)) / 127 AS scale FROM long GROUP BY vec_id), packed AS (SELECT l.vec_id, l.k, l.v, s.scale, <<bround||round_even>>(l.v / s.scale, 0) AS q FROM long l JOIN scales s ON l.vec_id = s.vec_id)"
 statement("int8_roundtrip", f"WITH {INT8} SELECT vec_id, CAST(sum(q) AS BIGINT) AS sum_q, round(max(abs(v - q * scale)) / max(scale), 4) AS worst_step FROM packed GROUP BY vec_id")
 statement("quant_divergence", f"WITH {INT8} SELECT vec_id, round(1 - sum(v * q) / sqrt(sum(v * v) * sum(q * q)), 6) AS cosine_error FROM packed GROUP BY vec_id")

@@ -7,60 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import firm_name
 from ..operators.upsert import stale, upsert
-from .frames import CATEGORIES, FIRMS, NOTICES, NOW
+from .frames import NOTICES, NOW
 from .registry import query, statement, table
 
-#: Which firms may take which categories and regions, and how well they fit. It has at most two regions' worth of categories a firm.
-FITS = f"""{CATEGORIES}, {FIRMS},
-trades AS (
-  SELECT f.firm_id, c.category, CASE WHEN c.k IN (f.trade_1, f.trade_2) THEN 'exact' WHEN (c.k < 2) = (f.trade_1 < 2) OR (c.k < 2) = (f.trade_2 < 2) THEN 'family' ELSE 'none' END AS affinity
-  FROM firms f CROSS JOIN categories c),
-regions AS (SELECT f.firm_id, r.r_name AS region, CASE WHEN r.r_name = f.region THEN 'single' WHEN f.anywhere THEN 'multi' ELSE 'none' END AS region_kind FROM firms f CROSS JOIN {{region}} r)"""
-
-HOURS = f"<<(unix_micros(CAST(n.closing_ts AS TIMESTAMP)) - unix_micros(CAST({NOW} AS TIMESTAMP))) / 3600000000.0||(epoch_us(n.closing_ts) - epoch_us({NOW})) / 3600000000.0>>"
-
-statement(
-    "rank_notices",
-    f"""
-WITH {NOTICES}, {FITS},
-open_notices AS (SELECT n.*, {HOURS} AS hours FROM notices n WHERE n.status = 'open'),
-fit AS (
-  SELECT t.firm_id, t.category, g.region, t.affinity, g.region_kind, f.value_min, f.value_max, f.pref
-  FROM trades t JOIN regions g ON t.firm_id = g.firm_id JOIN firms f ON f.firm_id = t.firm_id WHERE t.affinity <> 'none' AND g.region_kind <> 'none'),
-scored AS (
-  SELECT t.firm_id, n.notice_id, n.closing_ts,
-         round(45 * CASE t.affinity WHEN 'exact' THEN 0.8 ELSE 0.4 END, 2) + round(20 * CASE t.region_kind WHEN 'single' THEN 1.0 ELSE 0.5 END, 2)
-         + round(20 * CASE WHEN length(n.buyer_type) % 3 = t.pref THEN 1.0 ELSE 0.4 END, 2)
-         + round(15 * CASE WHEN n.hours / 24 < 5 THEN 0.25 WHEN n.hours / 24 < 10 THEN 0.6 WHEN n.hours / 24 < 21 THEN 0.85 WHEN n.hours / 24 < 90 THEN 1.0 ELSE 0.7 END, 2) AS base,
-         (2 * exp(-0.5 * power((n.value - (t.value_min + t.value_max) / 2) / greatest(0.6 * (t.value_min + t.value_max) / 2, 1), 2)) - 1) * 10 AS modifier
-  FROM open_notices n JOIN fit t ON n.category = t.category AND n.region = t.region
-  WHERE n.hours > 24 AND n.value BETWEEN t.value_min AND t.value_max),
-ranked AS (
-  SELECT firm_id, notice_id, CAST(round(base, 2) AS DOUBLE) AS base_score, CAST(round(least(greatest(base + round(modifier, 2), 0), 100), 2) AS DOUBLE) AS final_score, closing_ts FROM scored),
-placed AS (SELECT r.*, row_number() OVER (PARTITION BY firm_id ORDER BY final_score DESC, closing_ts, notice_id) AS place FROM ranked r)
-SELECT firm_id, CAST(place AS BIGINT) AS place, notice_id, base_score, final_score FROM placed WHERE place <= 20
-""",
-)
-
-# Reasons other than value depend on the notice's status, category and region alone: they are judged a cell at a time, then counted.
-statement(
-    "exclusion_audit",
-    f"""
-WITH {NOTICES}, {FITS},
-timed AS (SELECT n.*, CASE WHEN n.status = 'unknown' THEN 'closing_date_unknown' WHEN n.status <> 'open' THEN 'closed' END AS r1, CASE WHEN {HOURS} <= 24 THEN 'closing_within_24h' END AS r2 FROM notices n),
-cells AS (SELECT r1, r2, category, region, CAST(floor(value / 1000) AS BIGINT) AS k, count(*) AS n, min(value) AS lo, max(value) AS hi FROM timed GROUP BY r1, r2, category, region, CAST(floor(value / 1000) AS BIGINT)),
-pairs AS (
-  SELECT c.n, c.r1, c.r2, CASE WHEN t.affinity = 'none' THEN 'trade_mismatch' END AS r3, CASE WHEN g.region_kind = 'none' THEN 'region_mismatch' END AS r4,
-         CASE WHEN c.k * 1000 < f.value_min OR c.k * 1000 >= f.value_max THEN 'value_outside_band' END AS r5
-  FROM cells c JOIN trades t ON c.category = t.category JOIN regions g ON g.firm_id = t.firm_id AND g.region = c.region JOIN firms f ON f.firm_id = t.firm_id)
-SELECT reason, CAST(sum(n) AS BIGINT) AS pairs, CAST(sum(CASE WHEN reason = first_reason THEN n ELSE 0 END) AS BIGINT) AS pairs_primary
-FROM (
-  SELECT n, r1 AS reason, coalesce(r1, r2, r3, r4, r5) AS first_reason FROM pairs UNION ALL SELECT n, r2, coalesce(r1, r2, r3, r4, r5) FROM pairs
-  UNION ALL SELECT n, r3, coalesce(r1, r2, r3, r4, r5) FROM pairs UNION ALL SELECT n, r4, coalesce(r1, r2, r3, r4, r5) FROM pairs UNION ALL SELECT n, r5, coalesce(r1, r2, r3, r4, r5) FROM pairs) x
-WHERE reason IS NOT NULL GROUP BY reason
-""",
-)
-
 statement("source_counts", "SELECT source, count(*) AS n FROM {documents} GROUP BY source")
 statement("staleness_probe", "SELECT count(*) AS n, count(DISTINCT o_orderpriority) AS versions, min(o_orderpriority) AS version FROM {orders}")
 statement(
@@ -147,13 +96,24 @@ def firm_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", firm_name(F.concat("s_name", ends)).alias("name"))
 
 
-# The names asked for are those of every customer whose id is divisible by 20, as a stated query set.
-statement(
+# The names asked for are those of every customer whose id is divisible by 20, as a stated query set. A name meets what it begins with by the
+# prefixes that have the length of an asked name.
+@query(
     "firm_lookup",
-    """WITH names AS (SELECT c_custkey AS firm_id, lower(concat(c_mktsegment, ' ', CAST(c_custkey % 40 AS <<STRING||VARCHAR>>))) AS name FROM {customer}),
-asked AS (SELECT DISTINCT lower(concat(c_mktsegment, ' ', CAST(CAST(floor(c_custkey / 20.0) AS BIGINT) % 4 AS <<STRING||VARCHAR>>))) AS asked FROM {customer} WHERE c_custkey % 20 = 0),
+    """WITH names AS (SELECT c_custkey AS firm_id, lower(concat(c_mktsegment, ' ', CAST(c_custkey % 40 AS VARCHAR))) AS name FROM {customer}),
+asked AS (SELECT DISTINCT lower(concat(c_mktsegment, ' ', CAST(CAST(floor(c_custkey / 20.0) AS BIGINT) % 4 AS VARCHAR))) AS asked FROM {customer} WHERE c_custkey % 20 = 0),
 exact AS (SELECT a.asked, min(n.firm_id) AS firm_id, count(*) AS n FROM asked a JOIN names n ON n.name = a.asked GROUP BY a.asked),
-known AS (SELECT DISTINCT name FROM names),
-begins AS (SELECT a.asked, min(n.name) AS name, count(*) AS n FROM asked a JOIN known n ON <<startswith||starts_with>>(n.name, a.asked) AND n.name <> a.asked GROUP BY a.asked)
+begins AS (SELECT a.asked, min(n.name) AS name, count(*) AS n FROM asked a JOIN (SELECT DISTINCT name FROM names) n ON starts_with(n.name, a.asked) AND n.name <> a.asked GROUP BY a.asked)
 SELECT a.asked, e.firm_id, coalesce(e.n, 0) AS n_exact, b.name AS first_prefixed, coalesce(b.n, 0) AS n_prefixed FROM asked a LEFT JOIN exact e ON e.asked = a.asked LEFT JOIN begins b ON b.asked = a.asked""",
 )
+def firm_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer")
+    named = lambda k: F.lower(F.concat("c_mktsegment", F.lit(" "), k.cast("string")))
+    names = customers.select(F.col("c_custkey").alias("firm_id"), named(F.col("c_custkey") % 40).alias("name"))
+    asked = customers.where("c_custkey % 20 = 0").select(named(F.floor(F.col("c_custkey") / 20) % 4).alias("asked")).distinct()
+    exact = asked.join(names, F.col("asked") == F.col("name")).groupBy("asked").agg(F.min("firm_id").alias("firm_id"), F.count("*").alias("n_exact"))
+    lengths = [r[0] for r in asked.select(F.length("asked")).distinct().collect()]  # as many as a name is long
+    heads = names.select("name").distinct().select("name", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n")).where(F.length("name") > F.col("n"))
+    begins = heads.select("name", F.expr("substring(name, 1, n)").alias("asked")).join(asked, "asked").groupBy("asked").agg(F.min("name").alias("first_prefixed"), F.count("*").alias("n_prefixed"))
+    out = asked.join(exact, "asked", "left").join(begins, "asked", "left")
+    return out.select("asked", "firm_id", F.coalesce("n_exact", F.lit(0)).alias("n_exact"), "first_prefixed", F.coalesce("n_prefixed", F.lit(0)).alias("n_prefixed"))

@@ -26,6 +26,11 @@ def statement(name: str, sql: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: spark.sql(here, **{t: table(spark, sf_dir, t) for t in used})
 
 
+def other_engine(sql: str) -> str:
+    """The text of a statement that is the other engine's alone."""
+    return EITHER.sub(lambda m: m[2], sql)
+
+
 def query(name: str, oracle: str | None = None):
     """Registers a function of (spark, sf_dir); oracle is the statement for the other engine."""
 
@@ -38,4 +43,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from . import census, documents, market, matching, streams  # noqa: E402, F401
+from . import census, documents, domain, features, market, matching, streams  # noqa: E402, F401
