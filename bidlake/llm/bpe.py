@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
+from .common import bounded_batches, trim, trimmed
 
 LETTER, NUMBER, OTHER, SPACE, END = range(5)
 #: Letters and numbers of Unicode 16 that the interpreter's tables may not have yet.
@@ -40,12 +40,14 @@ LATE_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x1
 #: What may follow an apostrophe in a contraction.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Characters of text taken at once, slots of the table of pre-tokens, its ids at most, and bytes of the longest pre-token in it.
-PIECE, SLOTS, TABLE_IDS, LONGEST = 1 << 18, 1 << 19, 1 << 22, 256
+PIECE, SLOTS, TABLE_IDS, LONGEST = 1 << 17, 1 << 19, 1 << 21, 256
 #: Between texts that are encoded together; a surrogate, which no text has.
 MARK = 0xD800
 
 
+@lru_cache(maxsize=1)
 def character_classes() -> np.ndarray:
+    """A class for each code point, made once a worker: one megabyte."""
     kinds = np.full(0x110000, OTHER, np.uint8)
     for c in range(0x110000):
         head = unicodedata.category(chr(c))[0]
@@ -371,11 +373,12 @@ class Decoder:
         yield machine.decode(b"", True)
 
 
-@lru_cache(maxsize=2)
 def machines(path: str) -> tuple[Encoder, Decoder]:
-    """One encoder and decoder of a vocabulary file for all tasks of a Python worker."""
+    """An encoder and decoder of a vocabulary file. They go with their task: a worker that kept them would hold them in all later stages."""
     vocabulary = Vocabulary(path)
-    return Encoder(vocabulary), Decoder(vocabulary)
+    made = Encoder(vocabulary), Decoder(vocabulary)
+    trim(now=True)  # what the file took to parse
+    return made
 
 
 def digests_of(encoder: Encoder, decoder: Decoder, parts: Iterable[np.ndarray]) -> tuple[int, str, str]:
@@ -457,7 +460,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     No text's ids are held together: the digests are fed as they come.
     """
     bounded_batches(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_digests(path, False), f"doc_id long, {DIGESTS}")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(trimmed(_digests(path, False)), f"doc_id long, {DIGESTS}")
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
@@ -465,4 +468,4 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "lang", "source", "text")
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(_digests(path, True), f"doc_id long, lang {kinds['lang']}, source {kinds['source']}, {DIGESTS}, ids array<int>")
+    return rows.mapInArrow(trimmed(_digests(path, True)), f"doc_id long, lang {kinds['lang']}, source {kinds['source']}, {DIGESTS}, ids array<int>")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     """From now on the session hands Python workers batches of no more than size bytes (or one row, if that is longer).
 
     Spark reads the setting when a plan runs, which is after an operator has returned it, so it stays set; it only ever gets smaller.
@@ -41,6 +45,33 @@ def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
+TRIM_SECONDS = 2.0
+_trimmed_at = 0.0
+
+
+def trim(now: bool = False) -> None:
+    """Gives freed memory back to the system, every TRIM_SECONDS at most: Python workers stay for later stages, and share a machine."""
+    global _trimmed_at
+    if now or time.monotonic() - _trimmed_at > TRIM_SECONDS:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _trimmed_at = time.monotonic()
+
+
+def trimmed(run):
+    """A function over Arrow batches that trims at its end."""
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim(now=True)
+
+    return body
+
+
 #: Folders of the scratch tables that were made and not yet dropped, oldest first.
 _made: list[tuple[SparkSession, str]] = []
 

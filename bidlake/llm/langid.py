@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import bounded_batches
+from .common import bounded_batches, trim, trimmed
 
 #: Families of closely related languages. A language not listed is a family of its own.
 FAMILIES = {
@@ -245,7 +245,7 @@ def train(docs: DataFrame, per_lang: int = 400) -> Model:
     draw = (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) / 1_000_003.0) < F.element_at(rate, F.col("lang"))
     taken: dict[str, int] = {}
     rows, letters = [], set()
-    found = known.where(draw).mapInArrow(_features, "doc_id string, lang string, x binary, letters string").collect()
+    found = known.where(draw).mapInArrow(trimmed(_features), "doc_id string, lang string, x binary, letters string").collect()
     for r in sorted(found, key=lambda r: (r["doc_id"] or "", bytes(r["x"]))):
         if taken.setdefault(r["lang"], 0) < per_lang:
             taken[r["lang"]] += 1
@@ -297,6 +297,8 @@ def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     @arrow_udf("boolean")
     def known(texts: pa.Array) -> pa.Array:
-        return pa.array([not r for r in rejected(model, texts.to_pylist())], pa.bool_())
+        out = pa.array([not r for r in rejected(model, texts.to_pylist())], pa.bool_())
+        trim()
+        return out
 
     return docs.where(known(F.col("text")))

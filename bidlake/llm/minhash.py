@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Scratch, broadcast_if_small, components, join_hot
+from .common import Scratch, broadcast_if_small, components, join_hot, trimmed
 
 WORDS = 5
 BANDS, ROWS = 24, 5
@@ -306,7 +306,7 @@ def _marked(docs: DataFrame, percent: int, miss: float) -> DataFrame:
     hashes = bands_for(percent / 100) * ROWS
     least = least_matches(percent / 100, miss, hashes)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = keyed.mapInArrow(_sketcher(hashes), "doc_id long, n_shingles long, set_key binary, sig binary").withColumn("row", F.monotonically_increasing_id())
+    sketch = keyed.mapInArrow(trimmed(_sketcher(hashes)), "doc_id long, n_shingles long, set_key binary, sig binary").withColumn("row", F.monotonically_increasing_id())
     sketch = scratch.keep(sketch, "sketch")
     first_row = F.min_by(F.struct("row", "sig", "n_shingles"), "row")
     reps = sketch.where("set_key is not null").groupBy("set_key").agg(first_row.alias("r"), F.min("doc_id").alias("low"))
@@ -328,9 +328,9 @@ def _marked(docs: DataFrame, percent: int, miss: float) -> DataFrame:
         """(rep, items): a class's set is read from the rows with its smallest doc_id, or from those without doc_id if it has none."""
         ends = scratch.keep(ends.distinct().join(reps.select("rep", "set_key", "low"), "rep"), f"{name}-ends", narrow=True)
         asked = broadcast_if_small(ends.where("low is not null").select(F.col("low").alias("doc_id")).distinct(), 24)
-        found = keyed.join(asked, "doc_id", "left_semi").mapInArrow(_sets, "set_key binary, items binary")
+        found = keyed.join(asked, "doc_id", "left_semi").mapInArrow(trimmed(_sets), "set_key binary, items binary")
         if not ends.where("low is null").isEmpty():
-            found = found.union(keyed.where("doc_id is null").mapInArrow(_sets, "set_key binary, items binary"))
+            found = found.union(keyed.where("doc_id is null").mapInArrow(trimmed(_sets), "set_key binary, items binary"))
         ours = broadcast_if_small(ends.select("set_key", "rep"), 56)
         return scratch.keep(found.join(ours, "set_key").dropDuplicates(["rep"]).select("rep", "items"), f"{name}-sets")
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Scratch, broadcast_if_small, join_hot
+from .common import Scratch, broadcast_if_small, join_hot, trim, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct texts together, chance and bits at least.
@@ -192,7 +192,7 @@ def disclosing(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame
     asked = holds.join(broadcast_if_small(owners.select("entity"), 60), "entity", "left_semi")
     said = found.where("entities is not null").select("text_key", F.explode("words").alias("term")).distinct()
     pairs = asked.join(said, "text_key").groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= TOGETHER)
-    counts = whole_texts(docs, scratch).mapInArrow(_term_counts, "term string, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n_t"))
+    counts = whole_texts(docs, scratch).mapInArrow(trimmed(_term_counts), "term string, n double").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n_t"))
     counts = scratch.keep(counts, "terms")
     texts = counts.where("term is null").agg(F.sum("n_t")).first()[0] or 0
     scored = pairs.join(counts, "term").join(owners, "entity")
@@ -223,6 +223,7 @@ def spots(text: Column, parts: list[Broadcast]) -> Column:
                 if any(m[0].lower() in told.value for m in TERM.finditer(value)):
                     old += [{"start": m.start(), "end": m.end()} for m in outside(value, base_spans(value)) if m[0].lower() in told.value]
                 new.append(sorted(old, key=lambda s: s["start"]) or None)
+            trim()
             return pa.array(new, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
         return of
@@ -236,7 +237,7 @@ def analysed(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, base, terms (array of start and end, null if none) for every row of docs."""
     scratch = Scratch(docs.sparkSession, "pii")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = scratch.keep(docs.mapInArrow(_found, FOUND), "found")
+    found = scratch.keep(docs.mapInArrow(trimmed(_found), FOUND), "found")
     parts = told_terms(docs, found, scratch)
     if not parts:
         return found.drop("entities", "words", "text_key").withColumn("terms", spots(F.lit(None), []))
@@ -275,6 +276,7 @@ def _sanitised(text: Column, terms: Column) -> Column:
                 spans = base_spans(value) + [("term", s["start"], s["end"]) for s in (spot.as_py() or [])]
                 value = redacted(value, spans) if spans else value
             out.append(value)
+        trim()
         return pa.array(out, pa.string())
 
     return of(text, terms)
@@ -284,7 +286,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """docs, all rows and columns, with personal data and disclosing terms replaced in text; other texts as they are."""
     scratch = Scratch(docs.sparkSession, "sanitise")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = scratch.keep(keyed.mapInArrow(_found, FOUND), "found")
+    found = scratch.keep(keyed.mapInArrow(trimmed(_found), FOUND), "found")
     new = _sanitised(F.col("text"), spots(F.col("text"), told_terms(keyed, found, scratch)))
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     texts = docs.select(*rest, new.alias("text"), *(["n_chars"] if "n_chars" in docs.columns else []))
