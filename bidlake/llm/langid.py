@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -72,19 +73,24 @@ def features(text: str) -> np.ndarray:
     return x
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear machine with squared hinge loss, by accelerated gradient steps; y is 1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    v = np.ones(x.shape[1], x.dtype)
+def svm(left: np.ndarray, right: np.ndarray, c: float = 10.0, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear machine with squared hinge loss, by accelerated gradient steps: left is 1, right -1.
+
+    The last column of both is 1, for the bias. Neither is copied.
+    """
+
+    def back(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return left.T @ a + right.T @ b
+
+    v = np.ones(left.shape[1], left.dtype)
     for _ in range(20):
-        v = x.T @ (x @ v)
+        v = back(left @ v, right @ v)
         v /= np.linalg.norm(v) or 1
-    step = 1 / (1 + 2 * c * float(np.linalg.norm(x @ v)) ** 2)
-    w = z = np.zeros(x.shape[1], x.dtype)
+    step = 1 / (1 + 2 * c * float(np.hypot(np.linalg.norm(left @ v), np.linalg.norm(right @ v))) ** 2)
+    w = z = np.zeros(left.shape[1], left.dtype)
     t = 1.0
     for _ in range(rounds):
-        miss = np.maximum(0, 1 - y * (x @ z))
-        new = z - step * (z - 2 * c * (x.T @ (y * miss)))
+        new = z - step * (z - 2 * c * back(np.maximum(0, 1 - left @ z), -np.maximum(0, 1 + right @ z)))
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z, w, t = new + (t - 1) / t_new * (new - w), new, t_new
     return w[:-1], float(w[-1])
@@ -112,29 +118,34 @@ def letters_of(texts: Iterable[str]) -> frozenset[str]:
 
 
 def fit_features(rows: list[tuple[np.ndarray, str]], letters: frozenset[str]) -> Model:
-    """rows: (features, lang)."""
-    by_lang: dict[str, list[np.ndarray]] = {}
-    for vector, lang in rows:
-        by_lang.setdefault(lang, []).append(vector)
+    """rows: (features, lang). One matrix holds them all, a language's rows together and a family's; machines see views of it."""
     langs: dict[str, list[str]] = {}
-    for lang in sorted(by_lang):
+    for lang in sorted({lang for _, lang in rows}):
         langs.setdefault(FAMILY_OF.get(lang, f"only-{lang}"), []).append(lang)
     model = Model(sorted(langs), langs, letters=letters)
-    x = {lang: np.array(vectors, np.float32) for lang, vectors in by_lang.items()}
-    scale = 1 / np.sqrt(np.mean([m.mean(0) for m in x.values()], axis=0) + 1e-5) if x else None
+    x = np.ones((len(rows), BUCKETS + 1), np.float32)
+    where: dict[tuple[bool, str], slice] = {}  # whether a family, its name
+    at = 0
+    for family in model.families:
+        start = at
+        for name in langs[family]:
+            first = at
+            for vector in (v for v, lang in rows if lang == name):
+                x[at, :-1] = vector
+                at += 1
+            where[False, name] = slice(first, at)
+        where[True, family] = slice(start, at)
+    if rows:
+        scale = 1 / np.sqrt(np.mean([x[where[False, name], :-1].mean(0) for of in langs.values() for name in of], axis=0) + 1e-5)
+        x[:, :-1] *= scale
     columns, biases = [], []
-
-    def machine(a: str, b: str, left: np.ndarray, right: np.ndarray) -> None:
-        y = np.r_[np.ones(len(left)), -np.ones(len(right))].astype(np.float32)
-        w, bias = svm(np.vstack([left, right]) * scale.astype(np.float32), y)
-        model.pairs.append((a, b))
-        columns.append(w * scale)
-        biases.append(bias)
-
-    for names, of in [(model.families, lambda f: np.vstack([x[n] for n in langs[f]])), *((langs[f], x.get) for f in model.families)]:
+    for whole, names in [(True, model.families), *((False, langs[f]) for f in model.families)]:
         for i, a in enumerate(names):
             for b in names[i + 1 :]:
-                machine(a, b, of(a), of(b))
+                w, bias = svm(x[where[whole, a]], x[where[whole, b]])
+                model.pairs.append((a, b))
+                columns.append(w * scale)
+                biases.append(bias)
     if columns:
         model.weights, model.bias = np.array(columns, np.float32).T.copy(), np.array(biases)
         model.weights[0] = 0
@@ -243,15 +254,20 @@ def train(docs: DataFrame, per_lang: int = 400) -> Model:
         return fit([])
     rate = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.2 * per_lang / n))))
     draw = (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) / 1_000_003.0) < F.element_at(rate, F.col("lang"))
+    found = known.where(draw).mapInArrow(trimmed(_features), "doc_id string, lang string, x binary, letters string").toArrow()
+    found = found.set_column(0, "doc_id", pc.fill_null(found["doc_id"], ""))
     taken: dict[str, int] = {}
     rows, letters = [], set()
-    found = known.where(draw).mapInArrow(trimmed(_features), "doc_id string, lang string, x binary, letters string").collect()
-    for r in sorted(found, key=lambda r: (r["doc_id"] or "", bytes(r["x"]))):
-        if taken.setdefault(r["lang"], 0) < per_lang:
-            taken[r["lang"]] += 1
-            rows.append((np.frombuffer(r["x"], np.float32), r["lang"]))
-            letters.update(r["letters"])
-    return fit_features(rows, frozenset(letters))
+    for i in pc.sort_indices(found, [("doc_id", "ascending"), ("x", "ascending")]).to_pylist():
+        lang = found["lang"][i].as_py()
+        if taken.setdefault(lang, 0) < per_lang:
+            taken[lang] += 1
+            rows.append((np.frombuffer(found["x"][i].as_buffer(), np.float32), lang))
+            letters.update(found["letters"][i].as_py())
+    model = fit_features(rows, frozenset(letters))
+    del rows, found
+    trim(now=True)
+    return model
 
 
 def predicted(text: Column, model: Model) -> Column:
