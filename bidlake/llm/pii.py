@@ -209,6 +209,13 @@ def told_terms(docs: DataFrame, found: DataFrame, scratch: Scratch) -> list[Broa
     return [docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in rows)) for rows in sets]
 
 
+def with_terms(value: str, old: list[dict], told: frozenset[str]) -> list[dict]:
+    """old and the places of the terms of told in value, outside base spans, by start."""
+    if any(m[0].lower() in told for m in TERM.finditer(value)):
+        old = old + [{"start": m.start(), "end": m.end()} for m in outside(value, base_spans(value)) if m[0].lower() in told]
+    return sorted(old, key=lambda s: s["start"])
+
+
 def spots(text: Column, parts: list[Broadcast]) -> Column:
     """Start and end of each occurrence of the terms in parts outside base spans, by place; null for none."""
     kind = "array<struct<start:int,end:int>>"
@@ -217,12 +224,7 @@ def spots(text: Column, parts: list[Broadcast]) -> Column:
     def add(told: Broadcast):
         @arrow_udf(kind)
         def of(texts: pa.Array, before: pa.Array) -> pa.Array:
-            new = []
-            for value, old in zip(texts, before, strict=True):
-                value, old = value.as_py() or "", old.as_py() or []
-                if any(m[0].lower() in told.value for m in TERM.finditer(value)):
-                    old += [{"start": m.start(), "end": m.end()} for m in outside(value, base_spans(value)) if m[0].lower() in told.value]
-                new.append(sorted(old, key=lambda s: s["start"]) or None)
+            new = [with_terms(value.as_py() or "", old.as_py() or [], told.value) or None for value, old in zip(texts, before, strict=True)]
             trim()
             return pa.array(new, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
@@ -266,20 +268,23 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _sanitised(text: Column, terms: Column) -> Column:
+def _sanitised(text: Column, parts: list[Broadcast]) -> Column:
+    """text with its spans replaced. The last part of the terms is looked up where spans are replaced, which saves a pass of the texts."""
+    last = parts[-1] if parts else None
+
     @arrow_udf("string")
     def of(texts: pa.Array, spots: pa.Array) -> pa.Array:
-        out = []
+        told, out = last.value if last else frozenset(), []
         for value, spot in zip(texts, spots, strict=True):
             value = value.as_py()
             if value is not None:
-                spans = base_spans(value) + [("term", s["start"], s["end"]) for s in (spot.as_py() or [])]
+                spans = base_spans(value) + [("term", s["start"], s["end"]) for s in with_terms(value, spot.as_py() or [], told)]
                 value = redacted(value, spans) if spans else value
             out.append(value)
         trim()
         return pa.array(out, pa.string())
 
-    return of(text, terms)
+    return of(text, spots(text, parts[:-1]))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -287,7 +292,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "sanitise")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = scratch.keep(keyed.mapInArrow(trimmed(_found), FOUND), "found")
-    new = _sanitised(F.col("text"), spots(F.col("text"), told_terms(keyed, found, scratch)))
+    new = _sanitised(F.col("text"), told_terms(keyed, found, scratch))
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     texts = docs.select(*rest, new.alias("text"), *(["n_chars"] if "n_chars" in docs.columns else []))
     if "n_chars" in docs.columns:
