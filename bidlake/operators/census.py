@@ -306,9 +306,10 @@ def with_population(roster: DataFrame, places: DataFrame) -> DataFrame:
     keys = roster.select("slug", F.posexplode(name_forms(F.col("name"))).alias("nth", "key"))
     area = roster.select("slug", F.posexplode(name_forms(F.col("area"))).alias("nth", "key")).join(divisions, "key").groupBy("slug").agg(F.min_by("code", "nth").alias("wanted"))
     own = keys.join(divisions, "key").groupBy("slug").agg(F.min_by("population", "nth").alias("division"))
-    at = F.struct("nth", "pos")
-    several = keys.join(subdivisions, "key").join(area, "slug", "left").groupBy("slug").agg(
-        F.count("*").alias("n"), F.min_by("population", at).alias("first"), F.min_by(F.when(F.col("code") == F.col("wanted"), F.col("population")), F.when(F.col("code") == F.col("wanted"), at)).alias("inside")
+    each = subdivisions.groupBy("key").agg(F.count("*").alias("n"), F.min_by("population", "pos").alias("first"))
+    inside = subdivisions.groupBy("key", F.col("code").alias("wanted")).agg(F.min_by("population", "pos").alias("inside"))
+    several = keys.join(each, "key").join(area, "slug", "left").join(inside, ["key", "wanted"], "left").groupBy("slug").agg(
+        F.sum("n").alias("n"), F.min_by("first", "nth").alias("first"), F.min_by("inside", F.when(F.col("inside").isNotNull(), F.col("nth"))).alias("inside")
     )
     rows = roster.join(own, "slug", "left").join(several, "slug", "left")
     upper, whole = (F.col("tier") == "upper") & F.col("division").isNotNull(), F.col("n").isNull() & (F.col("tier") == "single") & F.col("division").isNotNull()
