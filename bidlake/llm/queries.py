@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, hilbert, langid, mainblocks, minhash, pii, urllists, vectors, warc
+from . import bpe, centroids, decontaminate, hilbert, langid, mainblocks, minhash, pii, spelling, urllists, vafile, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,5 +34,8 @@ QUERIES = {
     "op8_vector_dedup": lambda spark, sf: vectors.near_duplicates(_table(spark, sf, "embeddings")),
     "op9_warc_index": lambda spark, sf: warc.round_trip(_table(spark, sf, "pages")),
     "op10_personal_data": lambda spark, sf: pii.personal_data(_table(spark, sf, "documents")),
+    "op11_spelling_variants": lambda spark, sf: spelling.variants(_table(spark, sf, "documents")),
+    "op12_centroid_clusters": lambda spark, sf: centroids.cluster(_table(spark, sf, "embeddings")),
+    "op13_exact_top_k": lambda spark, sf: vafile.top_k(_table(spark, sf, "embeddings")),
 }
-ORACLE_SQL = {"op4_url_lists": urllists.ORACLE_SQL}
+ORACLE_SQL = {"op4_url_lists": urllists.ORACLE_SQL, "op12_centroid_clusters": centroids.ORACLE_SQL, "op13_exact_top_k": vafile.ORACLE_SQL}
