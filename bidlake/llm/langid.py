@@ -288,22 +288,13 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-#: A text of at least SURE_LETTERS letters whose score is under LEAST_SCORE is in no learned language.
-SURE_LETTERS, LEAST_SCORE = 200, 0.40
-
-
 def rejected(model: Model, texts: list[str | None]) -> list[bool]:
-    """Texts predicted `und`, texts most of whose letters are in no training text, and longer texts that the machines are unsure of."""
-    langs, scores = predict(model, texts)
+    """Texts predicted `und` and texts most of whose letters are in no training text, at any length."""
+    langs, _ = predict(model, texts)
     out = []
-    for text, lang, score in zip(texts, langs, scores, strict=True):
-        no = lang == "und"
-        if not no:
-            count = Counter(text.lower())
-            letters = {c: n for c, n in count.items() if c.isalpha()}
-            every = sum(letters.values())
-            no = 2 * sum(n for c, n in letters.items() if c not in model.letters) > every or every >= SURE_LETTERS and score < LEAST_SCORE
-        out.append(no)
+    for text, lang in zip(texts, langs, strict=True):
+        letters = Counter() if lang == "und" else Counter({c: n for c, n in Counter(text.lower()).items() if c.isalpha()})
+        out.append(lang == "und" or 2 * sum(n for c, n in letters.items() if c not in model.letters) > letters.total())
     return out
 
 

@@ -138,8 +138,14 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def bands_for(threshold: float) -> int:
-    """So many bands that a pair at the threshold meets in none with a chance of APART at most: 24 for 0.85, 35 for 0.80."""
-    return min(MOST_HASHES // ROWS, ceil(log(APART) / log(1 - threshold**ROWS))) if threshold < 1 else 1
+    """So many bands that a pair at the threshold meets in none with a chance of APART at most: 24 for 0.85, 35 for 0.80.
+
+    A threshold that needs more hashes than MOST_HASHES, which is one under about 0.56, is an error: fewer bands would lose links.
+    """
+    bands = ceil(log(APART) / log(1 - threshold**ROWS)) if threshold < 1 else 1
+    if bands * ROWS > MOST_HASHES:
+        raise ValueError(f"a threshold of {threshold} needs {bands} bands, and no more than {MOST_HASHES // ROWS} are made")
+    return bands
 
 
 def signature(s: np.ndarray, hashes: int = HASHES) -> np.ndarray:

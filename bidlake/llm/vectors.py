@@ -8,7 +8,7 @@ meets, so that no pairs are written out: a block emits counts, and links enough
 
 Null, zero and empty vectors, those with null or non-finite components, and null labels link with nothing; each is its own component.
 Vectors of different lengths link with nothing. Repeated rows count as vectors of their own; null vec_ids pass through unlinked. A cosine
-of exactly the threshold is a link. Vectors of any length are read whole. An empty table gives no rows; columns other than vec_id, label
+of exactly the threshold is a link. Vectors of any length are read whole. Labels are whole numbers, or texts of such. An empty table gives no rows; columns other than vec_id, label
 and embedding are ignored.
 """
 
@@ -67,7 +67,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if np.isfinite(v).all() and v.any():
                     packed = v.tobytes()
             data.append(packed)
-            keys.append(hashlib.blake2b(packed, digest_size=16, salt=str(label).encode()[-16:]).digest() if packed else None)
+            keys.append(hashlib.blake2b(b"%d:" % label + packed, digest_size=16).digest() if packed else None)
         yield pa.RecordBatch.from_arrays([_column(batch, "vec_id"), _column(batch, "label"), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], names=["vec_id", "label", "key", "vec"])
 
 
@@ -99,7 +99,7 @@ def _block(rep: np.ndarray, label: np.ndarray, n: np.ndarray, data: list[bytes],
     table = int(np.bincount(first).argmax())
     same = left is right or np.array_equal(left, right)
     l, r = np.array([place[i] for i in left.tolist()]), np.array([place[i] for i in right.tolist()])  # noqa: E741
-    links, root = np.zeros(len(members), np.int64), list(range(len(members)))
+    links, root, own = np.zeros(len(members), np.int64), list(range(len(members))), label[members]
     edges: list[tuple[int, int]] = []
 
     def find(i: int) -> int:
@@ -110,7 +110,7 @@ def _block(rep: np.ndarray, label: np.ndarray, n: np.ndarray, data: list[bytes],
 
     for at in range(0, len(l), CHUNK):
         some = l[at : at + CHUNK]
-        close = x[some] @ x[r].T >= threshold
+        close = (x[some] @ x[r].T >= threshold) & (own[some][:, None] == own[r])
         for row, i in zip(close, some.tolist(), strict=True):
             others = r[row]
             others = others[others > i] if same else others[others != i]

@@ -19,7 +19,7 @@ NEAR_PERCENT = 80
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are in no learned language go: `und`, strange letters, or longer texts that the machines are unsure of."""
+    """Documents that are in no learned language go: those without letters, and those most of whose letters no training text has."""
     return langid.keep_known(docs)
 
 

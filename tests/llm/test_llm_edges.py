@@ -45,6 +45,15 @@ def test_langid_letters_are_unicode_letters():
     assert langid.rejected(model, ["½", None, "漢字" * 200, "это русский текст " * 30, WORDS["de"][1] + " " + " ".join(WORDS["de"])]) == [True, True, True, True, False]
 
 
+def test_langid_rejects_alike_at_every_length():
+    model = langid.fit([(t, lang) for k, lang in enumerate(WORDS) for t in sentences(lang, 30, k)])
+    mixed = " ".join(" ".join(words) for words in WORDS.values())
+    noise = "".join(random.Random(5).choices("abcdefghijklmnop ", k=70))
+    for text in (mixed, noise, "漢字", "это русский текст "):
+        assert len(set(langid.rejected(model, [(text + " ") * n for n in (1, 3, 10, 100)]))) == 1
+    assert langid.rejected(model, [mixed, mixed * 20]) == [False, False]
+
+
 def test_langid_equals_a_plain_loop():
     model = langid.fit([(t, lang) for k, lang in enumerate(WORDS) for t in sentences(lang, 30, k)])
     texts = [t for k, lang in enumerate(WORDS) for t in sentences(lang, 10, 90 + k)] + ["a", "la", "12 de", "the das la"]
@@ -133,6 +142,11 @@ def test_minhash_at_both_thresholds(spark, percent):
     assert kept == {i for i, (_, c) in enumerate(want) if i == c}
 
 
+def test_minhash_says_when_it_would_lose_links(spark):
+    with pytest.raises(ValueError, match="bands"):
+        minhash.near_duplicates(docs_of(spark, ["a b c d e f"]), 50)
+
+
 def test_minhash_bands_miss_little():
     for percent in (80, 85):
         assert (1 - (percent / 100) ** minhash.ROWS) ** minhash.bands_for(percent / 100) <= 1e-6
@@ -340,6 +354,13 @@ def test_vectors_larger_set_ties_and_clashing_columns(spark):
     assert got[5000][0] >= 1 and got[5003] == (0, 5003)
 
 
+def test_vectors_of_long_labels_that_end_alike_do_not_meet(spark):
+    v = [0.6, 0.8, 0.0]
+    rows = [(1, 10000000000000001, v), (2, 20000000000000001, v), (3, 20000000000000001, [1.2, 1.6, 0.0]), (4, 1, v), (5, 1 + 2**62, v), (6, 1 - 2**62, v), (7, -1, v), (8, -1, v)]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")).collect()}
+    assert got == {1: (0, 1), 2: (1, 2), 3: (1, 2), 4: (0, 4), 5: (0, 5), 6: (0, 6), 7: (1, 7), 8: (1, 7)}
+
+
 # 9
 
 
