@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -18,39 +19,24 @@ LEGAL_FORMS = (
 #: Names of contract sizes and their upper bounds, exclusive.
 BANDS = (("<$100K", 1e5), ("$100–500K", 5e5), ("$500K–2M", 2e6), ("$2–10M", 1e7), (">$10M", None))
 UNKNOWN_BAND = "unknown"
-#: Code points that fold() takes apart: Latin letters, punctuation, symbols, ligatures and full-width forms.
-FOLDED_RANGES = ((0x80, 0x250), (0x1E00, 0x1F00), (0x2000, 0x2190), (0xFB00, 0xFB07), (0xFF00, 0xFF5F))
+MARKS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c)) + "]+")
+PLAIN = str.maketrans("’‘`", "'''")
 
 
-@lru_cache(maxsize=1)
-def fold_table() -> tuple[str, str, list[tuple[str, str]]]:
-    """What signs of FOLDED_RANGES become, by the rule of compatibility decomposition without marks: single signs, and those that become more."""
-    one, to, more = [], [], []
-    for lo, hi in FOLDED_RANGES:
-        for sign in map(chr, range(lo, hi)):
-            new = "".join(c for c in unicodedata.normalize("NFKD", sign).casefold() if not unicodedata.combining(c)).replace("’", "'").replace("‘", "'")
-            if len(new) == 1 and new != sign.lower():
-                one.append(sign)
-                to.append(new)
-            elif len(new) != 1:
-                more.append((sign, new))
-    return "".join(one), "".join(to), more
+def plain_fold(text: str) -> str:
+    """Compatibility decomposition, case folded, without marks; typographic apostrophes and backticks made plain, white space collapsed."""
+    return " ".join(MARKS.sub("", unicodedata.normalize("NFKD", text).casefold()).translate(PLAIN).split())
 
 
 def fold(c: Column) -> Column:
-    """Lower case, without accents, ligatures taken apart, typographic apostrophes and backticks made plain, white space collapsed.
+    """plain_fold() of a column; null stays null. Texts of ASCII stay in the JVM, others go to Python a batch at a time: Spark has no decomposition."""
 
-    Null stays null. Scripts outside FOLDED_RANGES are put in lower case and lose combining marks.
-    """
-    one, to, more = fold_table()
-    plain = F.translate(c, one, to)
-    several = "".join(s for s, _ in more)
-    spread = plain
-    for sign, new in more:
-        spread = F.replace(spread, F.lit(sign), F.lit(new))
-    wide = F.when(plain.rlike(f"[{several}]"), spread).otherwise(plain)
-    folded = F.when(c.rlike(r"[^\x00-\x7f]"), F.regexp_replace(wide, "[\u0300-\u036f\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+", "")).otherwise(c)
-    return F.trim(F.regexp_replace(F.replace(F.lower(folded), F.lit("`"), F.lit("'")), r"[\s\p{Z}\x1c-\x1f\x85]+", " "))
+    @arrow_udf("string")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None else plain_fold(t) for t in texts.to_pylist()], pa.string())
+
+    wide = c.rlike(r"[^\x00-\x7f]")
+    return F.when(wide, of(F.when(wide, c))).otherwise(F.trim(F.regexp_replace(F.translate(F.lower(c), "`", "'"), r"[\s\x1c-\x1f]+", " ")))
 
 
 def blank(c: Column) -> Column:

@@ -94,26 +94,3 @@ statement(
 def firm_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = F.when(F.col("s_suppkey") % 3 == 0, " Construction Ltée. Inc.").when(F.col("s_suppkey") % 3 == 1, ", Société en nom collectif").otherwise(" (CO.)")
     return table(spark, sf_dir, "supplier").select("s_suppkey", firm_name(F.concat("s_name", ends)).alias("name"))
-
-
-# The names asked for are those of every customer whose id is divisible by 20, as a stated query set. A name meets what it begins with by the
-# prefixes that have the length of an asked name.
-@query(
-    "firm_lookup",
-    """WITH names AS (SELECT c_custkey AS firm_id, lower(concat(c_mktsegment, ' ', CAST(c_custkey % 40 AS VARCHAR))) AS name FROM {customer}),
-asked AS (SELECT DISTINCT lower(concat(c_mktsegment, ' ', CAST(CAST(floor(c_custkey / 20.0) AS BIGINT) % 4 AS VARCHAR))) AS asked FROM {customer} WHERE c_custkey % 20 = 0),
-exact AS (SELECT a.asked, min(n.firm_id) AS firm_id, count(*) AS n FROM asked a JOIN names n ON n.name = a.asked GROUP BY a.asked),
-begins AS (SELECT a.asked, min(n.name) AS name, count(*) AS n FROM asked a JOIN (SELECT DISTINCT name FROM names) n ON starts_with(n.name, a.asked) AND n.name <> a.asked GROUP BY a.asked)
-SELECT a.asked, e.firm_id, coalesce(e.n, 0) AS n_exact, b.name AS first_prefixed, coalesce(b.n, 0) AS n_prefixed FROM asked a LEFT JOIN exact e ON e.asked = a.asked LEFT JOIN begins b ON b.asked = a.asked""",
-)
-def firm_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer")
-    named = lambda k: F.lower(F.concat("c_mktsegment", F.lit(" "), k.cast("string")))
-    names = customers.select(F.col("c_custkey").alias("firm_id"), named(F.col("c_custkey") % 40).alias("name"))
-    asked = customers.where("c_custkey % 20 = 0").select(named(F.floor(F.col("c_custkey") / 20) % 4).alias("asked")).distinct()
-    exact = asked.join(names, F.col("asked") == F.col("name")).groupBy("asked").agg(F.min("firm_id").alias("firm_id"), F.count("*").alias("n_exact"))
-    lengths = [r[0] for r in asked.select(F.length("asked")).distinct().collect()]  # as many as a name is long
-    heads = names.select("name").distinct().select("name", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n")).where(F.length("name") > F.col("n"))
-    begins = heads.select("name", F.expr("substring(name, 1, n)").alias("asked")).join(asked, "asked").groupBy("asked").agg(F.min("name").alias("first_prefixed"), F.count("*").alias("n_prefixed"))
-    out = asked.join(exact, "asked", "left").join(begins, "asked", "left")
-    return out.select("asked", "firm_id", F.coalesce("n_exact", F.lit(0)).alias("n_exact"), "first_prefixed", F.coalesce("n_prefixed", F.lit(0)).alias("n_prefixed"))

@@ -33,7 +33,7 @@ def test_fold_equals_decomposition(spark):
 
     r = random.Random(1)
     signs = [*"aB z\t\n'`’‘-,.", *map(chr, range(0xA1, 0x250)), *map(chr, range(0x1E00, 0x1F00)), *"…ﬁﬂＡ½²é  "]
-    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(400)] + ["", "Égouts  d’Été", "STRAẞE ß"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(400)] + ["", "Égouts  d’Été", "STRAẞE ß", "Άλφα ΌΣ", "ёлка Йод", "ガギ ｶﾞ", "한국 각", "ǅ İ ﷺ", "A\x1cb\u2028c"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string").select("i", text.fold(F.col("t")).alias("f")).collect()
     got = {r.i: r.f for r in rows}
     assert got.pop(-1) is None and [t for i, t in enumerate(texts) if got[i] != plain(t)] == []
