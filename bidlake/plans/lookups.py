@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import firm_name
-from ..operators import firms
+from ..operators import entities, firms
 from .registry import query, table
 
 # Parts stand for firms: what they are called has five words, which many share, and a size for the number of bids.
@@ -37,3 +37,52 @@ def firm_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     index = parts.select(F.col("p_partkey").alias("firm_id"), firm_name(F.expr(RAW)).alias("name"), F.col("p_size").alias("bids"), F.lit(None).cast("date").alias("last"))
     return firms.lookup(parts.select(F.expr(TYPED).alias("asked")), index).withColumn("candidates", F.array_join(F.col("candidates").cast("array<string>"), ","))
+
+
+# A supplier's brands stand for firms. Each shares its name with a few; numbers make stars of ten, some of which share a member.
+FIRM = "l_suppkey * 100 + CAST(replace(p_brand, 'Brand#', '') AS INT)"
+ENTITIES = f"""WITH RECURSIVE bids AS (SELECT DISTINCT {FIRM} AS f, l_orderkey AS o FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey),
+seen AS (SELECT {FIRM} AS f, count(*) AS n FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey GROUP BY 1),
+firms AS (SELECT f, 'firm ' || (f * 7 % 977) AS name, n FROM seen),
+numbers AS (SELECT f, f // 40 AS k FROM firms WHERE f % 4 = 0 UNION SELECT f, f // 40 + 1 FROM firms WHERE f % 28 = 0),
+near AS (SELECT DISTINCT a.f, b.f AS g FROM numbers a JOIN numbers b USING (k)),
+reach AS (SELECT f, f AS g FROM firms UNION SELECT r.f, n.g FROM reach r JOIN near n ON r.g = n.f),
+biz AS (SELECT f, min(g) AS b FROM reach GROUP BY f),
+named AS (SELECT DISTINCT name, b FROM firms JOIN biz USING (f)),
+took AS (SELECT DISTINCT b, o FROM bids JOIN biz USING (f)),
+rival AS (SELECT name FROM named JOIN took USING (b) GROUP BY name, o HAVING count(*) > 1),
+free AS (SELECT * FROM named WHERE name NOT IN (SELECT name FROM rival) AND name IN (SELECT name FROM named GROUP BY name HAVING count(*) > 1)),
+kin AS (SELECT DISTINCT x.b, y.b AS c FROM free x JOIN free y USING (name)),
+far AS (SELECT b, b AS c FROM free UNION SELECT r.b, k.c FROM far r JOIN kin k ON r.c = k.b),
+comp AS (SELECT b, min(c) AS c FROM far GROUP BY b),
+broken AS (SELECT c FROM comp JOIN took USING (b) GROUP BY c, o HAVING count(*) > 1),
+whole AS (SELECT * FROM comp WHERE c NOT IN (SELECT c FROM broken))"""
+
+
+def entities_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    bids = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.expr(FIRM).alias("firm_id"), F.col("l_orderkey").alias("ocid"))
+    names = bids.select("firm_id").distinct().withColumn("name", F.concat(F.lit("Firm "), (F.col("firm_id") * 7 % 977).cast("string"), F.lit(" Ltée")))
+    star = F.floor(F.col("firm_id") / 40)
+    numbers = names.where("firm_id % 4 = 0").select("firm_id", star.alias("number")).union(names.where("firm_id % 28 = 0").select("firm_id", star + 1))
+    return entities.merged(names, numbers, bids)
+
+
+@query(
+    "entity_merge",
+    ENTITIES
+    + """ SELECT f AS firm_id, name AS normalized_name, coalesce(w.c, b) AS canonical_id, n AS observations,
+CASE WHEN w.c IS NOT NULL THEN 'name_no_rivalry' WHEN (SELECT count(*) FROM biz z WHERE z.b = biz.b) > 1 THEN 'shared_number' ELSE 'identifier' END AS merge_rule FROM firms JOIN biz USING (f) LEFT JOIN whole w USING (b)""",
+)
+def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities_of(spark, sf_dir)[0]
+
+
+@query(
+    "entity_review",
+    ENTITIES
+    + """ SELECT name AS normalized_name, count(*) AS businesses, CASE WHEN name IN (SELECT name FROM rival) THEN 'rivals' ELSE 'chained_rivals' END AS why FROM named
+WHERE name IN (SELECT name FROM rival) OR name IN (SELECT name FROM free JOIN comp USING (b) JOIN broken USING (c)) GROUP BY name""",
+)
+def entity_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities_of(spark, sf_dir)[1]

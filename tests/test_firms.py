@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidlake.functions import text
-from bidlake.operators import firms
+from bidlake.operators import entities, firms
 
 INDEX = "firm_id string, name string, bids int, last string"
 
@@ -70,3 +70,76 @@ def test_what_could_be_a_name(spark):
     assert [x[0] for x in rows.select(firms.could_be_name(F.col("t"))).collect()] == [True, False, False, False, True, False, False, False, False, True]
     marked = ["ABC ltée", "incense", "Co-op", "A&B", "groupe", "constructions x", "ltéee"]
     assert [x[0] for x in spark.createDataFrame(list(enumerate(marked)), "i int, t string").orderBy("i").select(firms.company_marked(F.col("t"))).collect()] == [True, False, True, True, True, True, False]
+
+
+def plain_merge(firms, numbers, bids):
+    root = {f: f for f in firms}
+
+    def find(x, root):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def union(pairs, root):
+        for a, b in pairs:
+            a, b = find(a, root), find(b, root)
+            root[max(a, b)] = min(a, b)
+
+    union([(a, b) for a, x in numbers for b, y in numbers if x == y and x], root)
+    business = {f: find(f, root) for f in firms}
+    on = {}
+    for f, o in bids:
+        on.setdefault(o, set()).add(business[f])
+    rivals = {frozenset((a, b)) for members in on.values() for a in members for b in members if a != b}
+    by_name = {}
+    for f, n in firms.items():
+        if n:
+            by_name.setdefault(n, set()).add(business[f])
+    apart, top = {}, {b: b for b in business.values()}
+    free = {}
+    for n, members in by_name.items():
+        if len(members) > 1 and any(frozenset((a, b)) in rivals for a in members for b in members):
+            apart[n] = (len(members), "rivals")
+        elif len(members) > 1:
+            free[n] = members
+            union([(a, b) for a in members for b in members], top)
+    comp = {b: find(b, top) for b in top}
+    broken = {comp[a] for a in comp for b in comp if a != b and comp[a] == comp[b] and frozenset((a, b)) in rivals}
+    for n, members in free.items():
+        if any(comp[b] in broken for b in members):
+            apart[n] = (len(members), "chained_rivals")
+    linked = {b for members in free.values() for b in members if comp[b] not in broken}
+    out = {}
+    for f in firms:
+        b = business[f]
+        same = sum(x == b for x in business.values())
+        out[f] = (firms[f], comp[b] if b in linked else b, "name_no_rivalry" if b in linked else "shared_number" if same > 1 else "identifier", sum(x == f for x, _ in bids))
+    return out, apart
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_merges_equal_union_find(spark, seed):
+    r = random.Random(seed)
+    firms_ = {i: r.choice([None, *(f"n{k}" for k in range(25))]) for i in range(80)}
+    numbers = [(i, r.choice(["", *(f"x{k}" for k in range(60))])) for i in range(80) if r.random() < 0.7] + [(i, f"chain{i // 2}") for i in range(60, 80)] + [(i + 1, f"chain{i // 2}") for i in range(61, 79, 2)]
+    bids = [(r.randrange(80), f"o{r.randrange(200)}") for _ in range(250)]
+    frames = spark.createDataFrame(list(firms_.items()), "firm_id int, name string"), spark.createDataFrame([*numbers, (999, "x1"), (3, None)], "firm_id int, number string"), spark.createDataFrame([*bids, (998, "o1"), (4, None)], "firm_id int, ocid string")
+    got, apart = entities.merged(*frames)
+    want = plain_merge(firms_, numbers, bids)
+    assert {x.firm_id: (x.normalized_name, x.canonical_id, x.merge_rule, x.observations) for x in got.collect()} == want[0]
+    assert {x.normalized_name: (x.businesses, x.why) for x in apart.collect()} == want[1]
+
+
+def test_components_of_stars_and_chains(spark):
+    star = [(i, "hub") for i in range(100, 160)]
+    chain = [(i, f"c{i}") for i in range(200, 300)] + [(i + 1, f"c{i}") for i in range(200, 299)]
+    frame = spark.createDataFrame([*star, *chain, (7, None), (8, "own"), (8, "own")], "id int, key string")
+    got = {x.id: x.component for x in entities.linked(frame).collect()}
+    assert got == {**{i: 100 for i in range(100, 160)}, **{i: 200 for i in range(200, 300)}, 8: 8}
+    assert entities.linked(frame.limit(0)).count() == 0
+
+
+def test_most_common_name_and_ties(spark):
+    seen = [("a", "X", 1), ("a", "Y", 2), ("a", "Y ", 3), ("b", "Q", 5), ("b", "P", 6), ("b", "P", 9), ("b", "Q", 9), ("c", " ", 1), (None, "Z", 1), ("d", "M", 4), ("d", "L", 4)]
+    got = entities.common_names(spark.createDataFrame(seen, "firm_id string, name string, pos int"), ["pos"]).collect()
+    assert {x.firm_id: x.name for x in got} == {"a": "Y", "b": "Q", "d": "L"}
