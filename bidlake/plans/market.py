@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import ranking
+from ..operators import asof, ranking
 from ..operators.features import unit_dot
 from ..operators.trees import sample_forest, tree_scores
 from .frames import INTERACTIONS
@@ -26,16 +26,33 @@ statement(
 )
 statement("blocked_merges", f"WITH {ENTITIES} SELECT n.name, count(*) AS firms FROM names n JOIN rivals r ON n.name = r.name GROUP BY n.name")
 
-# Strictly before the day: rows of a day are summed first, so a day's own rows are in no frame.
-statement(
+
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each firm and order: lines of an order are folded, the first one's amount, category and title stay."""
+    raw = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    first = F.min(F.struct("l_linenumber", "l_extendedprice", "p_type", "p_name"))
+    rows = raw.groupBy(F.col("l_suppkey").alias("firm_id"), F.col("l_orderkey").alias("ocid")).agg(F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("won"), F.max(F.col("o_orderdate").cast("date")).alias("day"), F.max("o_custkey").alias("buyer_id"), first.alias("f"))
+    return rows.select("firm_id", "ocid", "won", "day", "buyer_id", F.col("f.l_extendedprice").alias("amount"), F.col("f.p_type").alias("category"), F.col("f.p_name").alias("title"))
+
+
+# Strictly before the day: frames end on the day before.
+@query(
     "firm_history_asof",
-    f"""WITH {INTERACTIONS},
-days AS (SELECT firm_id, day, <<datediff(day, DATE '1970-01-01')||date_diff('day', DATE '1970-01-01', day)>> AS d, count(*) AS n, sum(won) AS wins, sum(amount) AS total FROM interactions GROUP BY firm_id, day),
+    other_engine(
+        f"""WITH {INTERACTIONS},
 firsts AS (SELECT firm_id, first_day AS day, count(*) AS n_new FROM (SELECT firm_id, buyer_id, min(day) AS first_day FROM interactions GROUP BY firm_id, buyer_id) x GROUP BY firm_id, first_day),
-run AS (SELECT d.firm_id, d.day, sum(d.n) OVER w AS bids, sum(d.wins) OVER w AS wins, sum(coalesce(f.n_new, 0)) OVER w AS buyers, min(d.day) OVER w AS first_day, max(d.day) OVER w AS last_day
-        FROM days d LEFT JOIN firsts f ON d.firm_id = f.firm_id AND d.day = f.day WINDOW w AS (PARTITION BY d.firm_id ORDER BY d.d RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT firm_id, day, CAST(coalesce(bids, 0) AS BIGINT) AS bids, CAST(coalesce(wins, 0) AS BIGINT) AS wins, CAST(coalesce(buyers, 0) AS BIGINT) AS buyers, first_day, last_day FROM run""",
+run AS (SELECT i.firm_id, i.day, count(*) OVER w AS bids, sum(won) OVER w AS wins, min(i.day) OVER w AS first_day, max(i.day) OVER w AS last_day, quantile_cont(amount, 0.5) OVER w AS median_bid, stddev_pop(ln(1 + amount)) OVER w AS spread
+        FROM interactions i WINDOW w AS (PARTITION BY i.firm_id ORDER BY i.day RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+days AS (SELECT DISTINCT * FROM run)
+SELECT d.firm_id, d.day, coalesce(bids, 0) AS bids, CAST(coalesce(wins, 0) AS BIGINT) AS wins, (SELECT CAST(coalesce(sum(n_new), 0) AS BIGINT) FROM firsts f WHERE f.firm_id = d.firm_id AND f.day < d.day) AS buyers, first_day, last_day,
+  round(median_bid, 4) AS median_bid, round(spread, 4) AS spread FROM days d"""
+    ),
 )
+def firm_history_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = asof.histories(interactions(spark, sf_dir))
+    return rows.select("firm_id", "day", "bids", "wins", "buyers", "first_day", "last_day", F.round("median_bid", 4).alias("median_bid"), F.round("spread", 4).alias("spread"))
+
+
 HISTORY = f"""{INTERACTIONS},
 past AS (SELECT * FROM interactions WHERE day < DATE '1999-01-01'),
 counts AS (SELECT firm_id, category, count(*) AS n FROM past GROUP BY firm_id, category),

@@ -1,13 +1,16 @@
 """Firms by typed names, firms that are one, histories and profiles, on literal frames against plain versions."""
 
+import datetime as dt
+import math
 import random
 import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from bidlake.functions import text
-from bidlake.operators import entities, firms
+from bidlake.operators import asof, entities, firms
 
 INDEX = "firm_id string, name string, bids int, last string"
 
@@ -143,3 +146,25 @@ def test_most_common_name_and_ties(spark):
     seen = [("a", "X", 1), ("a", "Y", 2), ("a", "Y ", 3), ("b", "Q", 5), ("b", "P", 6), ("b", "P", 9), ("b", "Q", 9), ("c", " ", 1), (None, "Z", 1), ("d", "M", 4), ("d", "L", 4)]
     got = entities.common_names(spark.createDataFrame(seen, "firm_id string, name string, pos int"), ["pos"]).collect()
     assert {x.firm_id: x.name for x in got} == {"a": "Y", "b": "Q", "d": "L"}
+
+
+@pytest.mark.parametrize("most", [10**6, 7, 0])
+def test_histories_as_of_each_day(spark, monkeypatch, most):
+    monkeypatch.setattr(asof, "MOST_AMOUNTS", most)
+    r = random.Random(3)
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(k)
+    rows = [(r.choice(["a", "a", "a", "b", "c"]), day(r.randrange(12)), r.choice([0, 1, None]), r.choice([None, 0.0, -4.0, float("nan"), float("inf"), 5e-324, 1.0, 1.0, 2.5, 1e9, 1e9 + 1e-6, r.random() * 1000]), r.choice([None, "x", "y", "z"])) for _ in range(150)]
+    rows += [("d", None, 1, 2.0, "x"), ("e", day(3), 1, 2.0, "x"), rows[0], rows[0]]
+    got = {(x.firm_id, x.day): x for x in asof.histories(spark.createDataFrame(rows, "firm_id string, day date, won int, amount double, buyer_id string")).collect()}
+    assert set(got) == {(f, d) for f, d, *_ in rows if d}
+    for (firm, d), x in got.items():
+        past = [q for q in rows if q[0] == firm and q[1] and q[1] < d]
+        paid = [q[3] for q in past if q[3] is not None and 0 < q[3] < math.inf]
+        assert (x.bids, x.wins, x.buyers, x.amounts) == (len(past), sum(q[2] or 0 for q in past), len({q[4] for q in past} - {None}), len(paid))
+        assert (x.first_day, x.last_day) == ((min(q[1] for q in past), max(q[1] for q in past)) if past else (None, None))
+        assert x.median_bid == (statistics.median(paid) if paid else None)
+        assert (x.spread is None) == (not paid) and (not paid or abs(x.spread - statistics.pstdev(map(math.log1p, paid))) < 1e-6)
+
+
+def test_histories_of_an_empty_table(spark):
+    assert asof.histories(spark.createDataFrame([], "firm_id string, day date, won int, amount double, buyer_id string")).count() == 0
