@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, ranking
+from ..operators import asof, divergence, ranking
 from ..operators.features import unit_dot
 from ..operators.trees import sample_forest, tree_scores
 from .frames import INTERACTIONS
@@ -198,6 +198,45 @@ statement("int8_roundtrip", f"WITH {INT8} SELECT vec_id, CAST(sum(q) AS BIGINT)
 statement("quant_divergence", f"WITH {INT8} SELECT vec_id, round(1 - sum(v * q) / sqrt(sum(v * v) * sum(q * q)), 6) AS cosine_error FROM packed GROUP BY vec_id")
 
 
+# Labels are firms, and their centroids, in eight bits, rank all vectors anew.
+DIVERGENCE = f"""WITH {CENTROIDS}, q AS (SELECT label, k, v, round_even(v * 127 / max(abs(v)) OVER (PARTITION BY label), 0) AS q FROM centroids),
+norms AS (SELECT vec_id, sqrt(sum(v * v)) AS size FROM long GROUP BY vec_id), whole AS (SELECT label, sqrt(sum(v * v)) AS nv, sqrt(sum(q * q)) AS nq FROM q GROUP BY label),
+s AS (SELECT q.label, l.vec_id, round(sum(l.v * q.v) / any_value(n.size * w.nv), 12) AS e, round(sum(l.v * q.q) / any_value(n.size * w.nq), 12) AS a FROM q JOIN long l ON q.k = l.k JOIN norms n ON n.vec_id = l.vec_id JOIN whole w ON w.label = q.label GROUP BY q.label, l.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY e DESC, vec_id) AS ep, row_number() OVER (PARTITION BY label ORDER BY a DESC, vec_id) AS ap, max(abs(e - a)) OVER (PARTITION BY label) AS err FROM s),
+f AS (SELECT label, count(*) AS n, max(err) AS err, max(abs(ep - ap)) AS shift, bool_or(ep <> ap AND least(ep, ap) <= 10) AS changed FROM p GROUP BY label)"""
+
+
+def divergence_of(spark: SparkSession, sf_dir: str, factor: float) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+    means = rows.select("label", F.posexplode("vector").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("m"))
+    firms = means.groupBy(F.col("label").alias("firm_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda p: p["m"]).alias("vector"))
+    return divergence.by_firm(firms, rows.select(F.col("vec_id").alias("tender_id"), "vector"), factor)
+
+
+@query(
+    "rank_shifts",
+    other_engine(
+        DIVERGENCE
+        + " SELECT f.label AS firm_id, n AS tenders, round(err, 8) AS max_cosine_error, shift AS max_rank_shift, changed AS changed_first, (SELECT count(*) FROM p x JOIN p y ON x.label = y.label AND x.e - y.e > x.err / 4 AND x.ap > y.ap WHERE x.label = f.label) AS reorderings FROM f"
+    ),
+)
+def rank_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs count from a quarter of the error apart, so that there are some."""
+    return divergence_of(spark, sf_dir, 0.25).withColumn("max_cosine_error", F.round("max_cosine_error", 8))
+
+
+@query(
+    "quantisation_report",
+    other_engine(
+        DIVERGENCE
+        + """ SELECT count(*) AS firms, max(n) AS tenders, round(max(err), 8) AS max_cosine_error, max(shift) AS max_rank_shift, round(avg(shift), 4) AS mean_rank_shift, count(*) FILTER (changed) AS firms_with_changed_top10,
+(SELECT count(*) FROM p x JOIN p y ON x.label = y.label AND x.e - y.e > 2 * x.err AND x.ap > y.ap) AS material_reorderings FROM f"""
+    ),
+)
+def quantisation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(divergence_of(spark, sf_dir, 2.0))
+
+
 @query("tree_score")
 def tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small forest over vectors; rows only, as the walk is not a statement."""
