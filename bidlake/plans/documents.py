@@ -62,15 +62,3 @@ def requirement_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy_dedup(rows)
 
 
-statement(
-    "qualification_verdict",
-    """WITH judged AS (SELECT conv_id, turn, CASE WHEN length(text) % 7 = 0 THEN 'fail' WHEN length(text) % 5 = 0 THEN 'uncertain' ELSE 'pass' END AS outcome FROM {conversations} WHERE role <> 'system')
-SELECT conv_id, count(*) AS n, count(CASE WHEN outcome = 'fail' THEN 1 END) AS blockers, count(CASE WHEN outcome = 'uncertain' THEN 1 END) AS questions,
-  CASE WHEN count(CASE WHEN outcome = 'fail' THEN 1 END) > 0 THEN 'no_bid' WHEN count(CASE WHEN outcome = 'uncertain' THEN 1 END) > 0 THEN 'review' ELSE 'bid' END AS verdict,
-  CASE WHEN count(CASE WHEN outcome = 'uncertain' THEN 1 END) >= greatest(2, CAST(floor(count(*) / 2.0) AS INT)) THEN 'low' ELSE 'high' END AS confidence FROM judged GROUP BY conv_id""",
-)
-statement(
-    "precision_at_k",
-    """WITH ranked AS (SELECT l.doc_id, l.quality, d.lang, row_number() OVER (PARTITION BY d.lang ORDER BY d.n_chars DESC, d.doc_id) AS place FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id)
-SELECT coalesce(lang, 'all') AS cohort, count(*) AS labelled, CAST(sum(quality) AS BIGINT) AS relevant, round(CAST(sum(quality) AS DOUBLE) / nullif(count(*), 0), 6) AS precision_at_k FROM ranked WHERE place <= 20 GROUP BY GROUPING SETS ((lang), ())""",
-)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, divergence, ranking
+from ..functions.text import band
+from ..operators import asof, awards, divergence, ranking
 from ..operators.features import unit_dot
 from ..operators.trees import sample_forest, tree_scores
 from .frames import INTERACTIONS
@@ -136,39 +137,83 @@ def cohort_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("cohort").agg(F.count("*").alias("firms"), F.round(F.avg("recall_10"), 6).alias("recall_10"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))
 
 
-BAND = "CASE WHEN {0} IS NULL OR {0} <= 0 THEN 'unknown' WHEN {0} < 20000 THEN 'small' WHEN {0} < 50000 THEN 'medium' ELSE 'large' END"
-statement(
-    "pattern_bands",
-    r"""SELECT band, count(*) AS n FROM (SELECT CASE WHEN large AND NOT small THEN 'large' WHEN small AND NOT large THEN 'small' ELSE 'unknown' END AS band
-  FROM (SELECT <<regexp_like||regexp_matches>>(lower(text), '(^|[^a-z0-9])(thing|lich|phase [0-9]+)') AS large, <<regexp_like||regexp_matches>>(lower(text), '(^|[^a-z0-9])(idiot|token|elle)($|[^a-z0-9])') AS small FROM {documents}) x) y GROUP BY band""",
-)
-INDEX = "price_index AS (SELECT * FROM (VALUES (1996, 1, 90.0), (1996, 3, 95.0), (1997, 1, 100.0), (1997, 3, 104.0), (1998, 1, 110.0), (1998, 3, 115.0), (1999, 1, 121.0)) AS t(y, q, v))"
-AWARDS = f"""{INTERACTIONS}, {INDEX},
-bounds AS (SELECT max(y * 2 + q / 3) AS last_half, min(y * 2 + q / 3) AS first_half FROM (SELECT y, CAST(q AS INT) AS q FROM price_index) i),
-halves AS (SELECT CAST(y * 2 + CASE WHEN q = 3 THEN 1 ELSE 0 END AS BIGINT) AS half, v FROM price_index),
-won AS (SELECT ocid, firm_id, category, buyer_id, day, amount, CAST(year(day) * 2 + CASE WHEN month(day) > 6 THEN 1 ELSE 0 END AS BIGINT) AS half FROM interactions WHERE won = 1 AND amount BETWEEN 1000 AND 2000000000),
-awards AS (SELECT w.*, w.amount * 121.0 / h.v AS adjusted FROM won w CROSS JOIN (SELECT max(half) AS last FROM halves) m JOIN halves h ON h.half = least(w.half, m.last))""".replace(
-    "bounds AS (SELECT max(y * 2 + q / 3) AS last_half, min(y * 2 + q / 3) AS first_half FROM (SELECT y, CAST(q AS INT) AS q FROM price_index) i),\n", ""
+
+# Orders won are awards: a part's type is the trade, buyers and suppliers are dealt to types and regions. The series lacks two quarters.
+INDEX = [(f"{y}-Q{q}", 90.0 + 4 * (y - 1995) + 1.5 * q) for y in range(1995, 2000) for q in range(1, 5) if (y, q) not in ((1996, 2), (1998, 4), (1999, 3), (1999, 4))]
+SINCE, CUTOFF = "1995-04-01", "1999-01-01"
+BUYER_TYPE, REGION, SLUG = "CAST(buyer_id % 5 AS STRING)", "CASE WHEN firm_id % 4 > 0 THEN CAST(firm_id % 4 AS STRING) END", "CASE WHEN ocid % 29 <> 0 THEN category END"
+AWARDS = other_engine(
+    f"""{INTERACTIONS}, idx(q, v) AS (VALUES {", ".join(f"('{q}', {v})" for q, v in INDEX)}),
+won AS (SELECT ocid, firm_id, day, amount, title, {SLUG} AS slug, {BUYER_TYPE} AS buyer_type, {REGION} AS region, least(year(day) || '-Q' || quarter(day), (SELECT max(q) FROM idx)) AS q FROM interactions WHERE won = 1 AND amount BETWEEN 1000 AND 2000000000 AND day >= DATE '{SINCE}'),
+awards AS (SELECT won.*, amount * (SELECT arg_max(v, q) FROM idx) / v AS adjusted FROM won JOIN idx USING (q))"""
 )
-statement("inflation_adjust", f"WITH {AWARDS} SELECT ocid, firm_id, round(CAST(adjusted AS DOUBLE), 4) AS adjusted FROM awards")
-MEDIAN = "<<percentile(adjusted, 0.5)||quantile_cont(adjusted, 0.5)>>"
-statement(
-    "scale_lookup",
-    f"""WITH {AWARDS}, keyed AS (SELECT category, buyer_id % 5 AS buyer_type, CAST(firm_id % 4 AS BIGINT) AS region, adjusted FROM awards)
-SELECT category, buyer_type, region, count(*) AS n, round(CAST({MEDIAN} AS DOUBLE), 4) AS median_amount FROM keyed
-GROUP BY GROUPING SETS ((category, buyer_type, region), (category, buyer_type), (category, region), (category), (buyer_type, region), ()) HAVING count(*) >= 12""",
+BAND = "CASE WHEN {0} IS NULL OR {0} <= 0 THEN 'unknown' WHEN {0} < 100000 THEN '<$100K' WHEN {0} < 500000 THEN '$100–500K' WHEN {0} < 2000000 THEN '$500K–2M' WHEN {0} < 10000000 THEN '$2–10M' ELSE '>$10M' END"
+
+
+def awarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = interactions(spark, sf_dir).select("ocid", "firm_id", "day", "won", "amount", "title", F.expr(SLUG).alias("slug"), F.expr(BUYER_TYPE).alias("buyer_type"), F.expr(REGION).alias("region"))
+    return awards.corpus(rows, spark.createDataFrame(INDEX, "quarter string, value double"), SINCE)
+
+
+@query("inflation_adjust", f"WITH {AWARDS} SELECT ocid, firm_id, CAST(floor(adjusted * 100 + 0.370313) AS BIGINT) AS adjusted_cents FROM awards")
+def inflation_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return awarded(spark, sf_dir).select("ocid", "firm_id", F.floor(F.col("adjusted") * 100 + 0.370313).alias("adjusted_cents"))
+
+
+LEVELS = "\nUNION ALL ".join(
+    f"SELECT {k} AS level, {', '.join(c if c in keys else f'NULL AS {c}' for c in awards.KEYS[0])}, count(*) AS n, quantile_cont(adjusted, 0.5) AS median FROM {{0}} {'WHERE slug IS NOT NULL' if 'slug' in keys else ''} {'GROUP BY ' + ', '.join(keys) + ' HAVING count(*) >= 12' if keys else ''}"
+    for k, keys in enumerate((*awards.KEYS, ()))
 )
-ESTIMATE = f"""{AWARDS}, keyed AS (SELECT ocid, firm_id, day, category, buyer_id % 5 AS bt, CAST(firm_id % 4 AS BIGINT) AS rg, adjusted FROM awards), fit AS (SELECT * FROM keyed WHERE day < DATE '1999-01-01'),
-l3 AS (SELECT category, bt, rg, {MEDIAN} AS m FROM fit GROUP BY category, bt, rg HAVING count(*) >= 12), l2 AS (SELECT category, bt, {MEDIAN} AS m FROM fit GROUP BY category, bt HAVING count(*) >= 12),
-l1 AS (SELECT category, {MEDIAN} AS m FROM fit GROUP BY category HAVING count(*) >= 12), l0 AS (SELECT {MEDIAN} AS m FROM fit),
-est AS (SELECT k.ocid, k.firm_id, k.adjusted, CAST(coalesce(l3.m, l2.m, l1.m, l0.m) AS DOUBLE) AS estimate, CASE WHEN l3.m IS NOT NULL THEN 0.7 WHEN l2.m IS NOT NULL THEN 0.6 WHEN l1.m IS NOT NULL THEN 0.5 ELSE 0.3 END AS confidence
-  FROM keyed k LEFT JOIN l3 ON l3.category = k.category AND l3.bt = k.bt AND l3.rg = k.rg LEFT JOIN l2 ON l2.category = k.category AND l2.bt = k.bt LEFT JOIN l1 ON l1.category = k.category CROSS JOIN l0 WHERE k.day >= DATE '1999-01-01')"""
-statement("scale_estimate", f"WITH {ESTIMATE} SELECT ocid, firm_id, round(estimate, 4) AS estimate, CAST(confidence AS DOUBLE) AS confidence, {BAND.format('estimate')} AS band FROM est")
-statement(
+
+
+@query("scale_lookup", f"WITH {AWARDS} SELECT level, slug, buyer_type, region, n, round(median, 4) AS median FROM ({LEVELS.format('awards')})")
+def scale_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return awards.cells(awarded(spark, sf_dir)).withColumn("median", F.round("median", 4))
+
+
+# Awards from the cutoff on are notices, of which some have published values, some a model's and some no trade.
+PUBLISHED, MODELLED = "CASE WHEN firm_id % 9 = 0 THEN amount * 3 WHEN firm_id % 9 = 1 THEN -1 END", "CASE WHEN firm_id % 7 = 2 THEN amount * 40 END"
+ESTIMATES = f"""{AWARDS}, fit AS (SELECT * FROM awards WHERE day < DATE '{CUTOFF}'), cells AS ({LEVELS.format('fit')}),
+asked AS (SELECT *, {PUBLISHED} AS published, {MODELLED} AS modelled FROM awards WHERE day >= DATE '{CUTOFF}'),
+hit AS (SELECT a.ocid, a.firm_id, min(level) AS level, arg_min(median, level) AS m FROM asked a JOIN cells c ON (level IN (4, 5) OR c.slug = a.slug) AND (level IN (2, 3, 5) OR c.buyer_type = a.buyer_type) AND (level IN (1, 3, 5) OR c.region IS NOT DISTINCT FROM a.region) GROUP BY a.ocid, a.firm_id),
+est AS (SELECT a.*, level, m, CASE WHEN title LIKE '%anvil%' AND title NOT LIKE '%red%' THEN '$2–10M' WHEN title LIKE '%red%' AND title NOT LIKE '%anvil%' THEN '<$100K' ELSE 'unknown' END AS pattern FROM asked a LEFT JOIN hit h USING (ocid, firm_id)),
+best AS (SELECT ocid, firm_id, adjusted, CASE WHEN published > 0 THEN {BAND.format('published')} WHEN slug IS NOT NULL AND modelled IS NOT NULL THEN {BAND.format('modelled')} WHEN slug IS NOT NULL AND m IS NOT NULL THEN {BAND.format('m')} ELSE pattern END AS band,
+  CASE WHEN published > 0 THEN 'published' WHEN slug IS NOT NULL AND coalesce(modelled, m) IS NOT NULL THEN 'estimated_model' WHEN pattern <> 'unknown' THEN 'estimated_pattern' ELSE 'unknown' END AS source,
+  CASE WHEN published > 0 THEN 1.0 WHEN slug IS NOT NULL AND modelled IS NOT NULL THEN 0.6 WHEN slug IS NOT NULL AND m IS NOT NULL THEN [0.7, 0.6, 0.6, 0.5, 0.35, 0.3][level + 1] WHEN pattern <> 'unknown' THEN 0.35 ELSE 0.0 END::DOUBLE AS confidence FROM est)"""
+
+
+def estimated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Notices with their best estimates, and the awards before them."""
+    rows = awarded(spark, sf_dir)
+    old, new = (rows.where(F.col("day") < F.lit(CUTOFF).cast("date")), rows.where(F.col("day") >= F.lit(CUTOFF).cast("date")))
+    asked = new.withColumns({"estimated_value": F.expr(PUBLISHED), "modelled": F.expr(MODELLED)})
+    return awards.best_estimates(asked, awards.cells(old), [r"\banvil"], [r"\bred\b"], ("$2–10M", "<$100K")), old
+
+
+@query("scale_estimate", f"WITH {ESTIMATES} SELECT ocid, firm_id, band, source, confidence FROM best")
+def scale_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return estimated(spark, sf_dir)[0].select("ocid", "firm_id", "band", "source", "confidence")
+
+
+PLACE = "list_position(['<$100K', '$100–500K', '$500K–2M', '$2–10M', '>$10M'], {0})"
+SHARES = "count(*) AS n, round(count(*) FILTER (guess = truth AND truth <> 'unknown') / count(*), 4) AS exact, round(count(*) FILTER (abs({0} - {1}) <= 1) / count(*), 4) AS within_one".format(PLACE.format("guess"), PLACE.format("truth"))
+
+
+@query(
     "scale_accuracy",
-    f"""WITH {ESTIMATE}, b AS (SELECT CASE WHEN estimate < 20000 THEN 0 WHEN estimate < 50000 THEN 1 ELSE 2 END AS e, CASE WHEN adjusted < 20000 THEN 0 WHEN adjusted < 50000 THEN 1 ELSE 2 END AS a FROM est)
-SELECT count(*) AS n, round(avg(CASE WHEN e = a THEN 1.0 ELSE 0.0 END), 6) AS exact, round(avg(CASE WHEN abs(e - a) <= 1 THEN 1.0 ELSE 0.0 END), 6) AS within_one FROM b""".replace("round(avg(CASE WHEN e = a THEN 1.0 ELSE 0.0 END), 6)", "CAST(round(avg(CASE WHEN e = a THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS DOUBLE)").replace("round(avg(CASE WHEN abs(e - a) <= 1 THEN 1.0 ELSE 0.0 END), 6)", "CAST(round(avg(CASE WHEN abs(e - a) <= 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS DOUBLE)"),
+    f"""WITH {ESTIMATES}, usual AS (SELECT band FROM (SELECT {BAND.format('adjusted')} AS band, count(*) AS n, min((day, ocid, firm_id)) AS f FROM fit GROUP BY 1) ORDER BY n DESC, f LIMIT 1),
+guesses AS (SELECT 'best' AS guesser, band AS guess, {BAND.format('adjusted')} AS truth FROM best UNION ALL SELECT 'usual', (SELECT band FROM usual), {BAND.format('adjusted')} FROM best) SELECT guesser, {SHARES} FROM guesses GROUP BY guesser""",
 )
+def scale_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best estimates beside always guessing the most frequent size of the past."""
+    best, old = estimated(spark, sf_dir)
+    truth = band(F.col("adjusted"))
+    usual = awards.usual(old.withColumn("usual", truth), "usual", ["day", "ocid", "firm_id"])  # one row
+    tries = (("best", best, F.col("band")), ("usual", best.join(F.broadcast(usual), how="cross"), F.col("usual")))
+    parts = [awards.accuracy(rows, guess, truth).withColumn("guesser", F.lit(name)) for name, rows, guess in tries]
+    return parts[0].unionByName(parts[1])
+
+
 LONG_VECTORS = "<<SELECT vec_id, label, pos AS k, CAST(v AS DOUBLE) AS v FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS pos, v||SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM {embeddings}>>"
 CENTROIDS = f"long AS ({LONG_VECTORS}), means AS (SELECT label, k, avg(v) AS v FROM long GROUP BY label, k), sizes AS (SELECT label, sqrt(sum(v * v)) AS size FROM means GROUP BY label), centroids AS (SELECT m.label, m.k, m.v / s.size AS v FROM means m JOIN sizes s ON m.label = s.label)"
 statement("centroids", f"WITH {CENTROIDS} SELECT label, k, round(v, 6) AS v FROM centroids")

@@ -66,25 +66,6 @@ statement(
   count(CASE WHEN lang IN ('en', 'fr') AND n_chars > 500 AND doc_id % 3 <> 0 THEN 1 END) AS in_future,
   count(CASE WHEN lang IN ('en', 'fr') AND n_chars > 500 AND doc_id % 3 <> 0 AND text LIKE '%@%' THEN 1 END) AS with_attachments FROM {documents}""",
 )
-statement(
-    "status_normalize",
-    f"""WITH {NOTICES} SELECT status_new, count(*) AS n FROM (
-  SELECT CASE WHEN status IN ('open', 'unknown') AND closing_ts < {NOW} THEN 'closed' ELSE status END AS status_new FROM notices) x GROUP BY status_new""",
-)
-statement(
-    "category_normalize",
-    r"""SELECT doc_id, CASE WHEN lower(source) IN ('src1', 'src2') THEN 'services' WHEN doc_id % 100 IN (72, 30) THEN 'construction'
-  WHEN <<regexp_like||regexp_matches>>(lower(text), '(^|[^a-z0-9_])(thing|tion|blest|road)($|[^a-z0-9_])') THEN 'construction' ELSE 'other' END AS category FROM {documents}""",
-)
-statement(
-    "region_normalize",
-    """SELECT n.n_nationkey, concat_ws(',', CASE WHEN lower(r.r_name) LIKE '%america%' THEN 'AM' END, CASE WHEN lower(r.r_name) LIKE '%asia%' THEN 'AS' END, CASE WHEN lower(r.r_name) LIKE '%europe%' THEN 'EU' END) AS codes
-  FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey""",
-)
-statement(
-    "buyer_type_alias",
-    "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'municipal' WHEN 'MACHINERY' THEN 'provincial' WHEN 'unknown' THEN NULL ELSE 'other' END AS buyer_type FROM {customer}",
-)
 
 
 @query(

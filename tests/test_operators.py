@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import statistics
 import unicodedata
 
 import pytest
@@ -539,3 +540,37 @@ def test_rate_limits_keep_state(spark, tmp_path):
     events.run_once(events.limited(stream, "user_id"), "limited", str(tmp_path / "c"), "append")
     got = {r.event_id: r.allowed for r in spark.table("limited").collect()}
     assert got == {**{i: i < 10 for i in range(12)}, 20: True, 21: True}
+
+
+def test_medians_equal_percentiles(spark):
+    r = random.Random(7)
+    rows = [(r.choice(["a", "b", None, "one"]), r.choice([1.0, 1.0, 2.5, 2.5000001, 1e-9, 1e9, r.random() * 1e5, None, 0.0, -3.0])) for _ in range(300)] + [("single", 4.0), ("two", 4.0), ("two", 1e6), ("none", None)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    got = {x.k: (x.n, x.median) for x in awards.medians(frame, ("k",), "v").collect()}
+    want = {k: [v for j, v in rows if j == k and v and v > 0] for k in {k for k, _ in rows}}
+    assert got == {k: (len(v), statistics.median(v)) for k, v in want.items() if v}
+    every = [v for _, v in rows if v and v > 0]
+    assert [tuple(x) for x in awards.medians(frame, (), "v").collect()] == [(len(every), statistics.median(every))]
+    assert awards.medians(frame.limit(0), (), "v").count() == 0
+
+
+def test_best_estimates_by_tier(spark):
+    past = [("road", "municipal", "QC", 200_000.0)] * 12 + [("road", "federal", "ON", 50_000.0)] * 3
+    found = awards.cells(spark.createDataFrame(past, "slug string, buyer_type string, region string, adjusted double"))
+    asked = [
+        (1, 3e6, "road", "municipal", "QC", "x", 1.0), (2, -1.0, "road", "municipal", "QC", "x", 7e5), (3, None, "road", "municipal", "QC", "x", None), (4, None, "road", "health", "QC", "x", None),
+        (5, None, "other", "health", "QC", "phase 2", None), (6, None, None, "municipal", "QC", "phase 2", 9e9), (7, None, "", "municipal", "QC", "travaux mineurs", None), (8, None, None, None, None, None, None),
+    ]
+    rows = spark.createDataFrame(asked, "i int, estimated_value double, slug string, buyer_type string, region string, title string, modelled double")
+    got = {x.i: (x.band, x.source, x.confidence, x.level) for x in awards.best_estimates(rows, found, [r"\bphase\s*[0-9]+\b"], [r"\btravaux mineurs\b"], (">$10M", "<$100K")).collect()}
+    assert got == {
+        1: ("$2–10M", "published", 1.0, None), 2: ("$500K–2M", "estimated_model", 0.6, None), 3: ("$100–500K", "estimated_model", 0.7, 0), 4: ("$100–500K", "estimated_model", 0.6, 2), 5: ("$100–500K", "estimated_model", 0.3, 5),
+        6: (">$10M", "estimated_pattern", 0.35, None), 7: ("<$100K", "estimated_pattern", 0.35, None), 8: ("unknown", "unknown", 0.0, None),
+    }
+
+
+def test_usual_size_and_accuracy(spark):
+    rows = spark.createDataFrame([("b", 1), ("a", 2), ("a", 3), ("b", 4), (None, 0), ("c", 0)], "v string, pos int")
+    assert awards.usual(rows, "v", ["pos"]).first()[0] == "b"
+    pairs = spark.createDataFrame([("<$100K", "<$100K"), ("<$100K", "$100–500K"), ("unknown", "unknown"), ("<$100K", ">$10M"), (None, ">$10M")], "g string, t string")
+    assert tuple(awards.accuracy(pairs, F.col("g"), F.col("t")).first()) == (5, 0.2, 0.4)
