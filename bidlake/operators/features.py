@@ -31,6 +31,19 @@ def past(interactions: DataFrame, as_of: Column) -> DataFrame:
     return interactions.where(F.col("date").isNotNull() & (F.col("date") < as_of))
 
 
+def competitive(interactions: DataFrame) -> DataFrame:
+    """interactions on procurements with more than one bidder, with bidders; a firm's repeated rows on one are one bidder."""
+    many = interactions.groupBy("ocid", "canonical_id").agg(F.lit(1).alias("_one")).groupBy("ocid").agg(F.count("*").alias("bidders")).where("bidders > 1")
+    return interactions.drop("bidders").join(many, "ocid")
+
+
+def eligible(interactions: DataFrame, cutoff: Column, end: Column, least: int = 5) -> DataFrame:
+    """canonical_id, n_train and n_test of firms with at least `least` interactions before the cutoff, and as many from it to before the end."""
+    date = F.col("date")
+    n = interactions.groupBy("canonical_id").agg(F.count(F.when(date < cutoff, 1)).alias("n_train"), F.count(F.when((date >= cutoff) & (date < end), 1)).alias("n_test"))
+    return n.where((F.col("n_train") >= least) & (F.col("n_test") >= least))
+
+
 def key_counts(rows: DataFrame, key: str) -> DataFrame:
     """(canonical_id, key, n) of values that are not null or empty."""
     return rows.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).groupBy("canonical_id", key).agg(F.count("*").alias("n"))

@@ -6,26 +6,54 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import band
-from ..operators import asof, awards, divergence, ranking
+from ..operators import asof, awards, divergence, entities, features, ranking
 from ..operators.features import unit_dot
 from ..operators.trees import sample_forest, tree_scores
+from ..sources import releases
 from .frames import INTERACTIONS
 from .registry import other_engine, query, statement, table
 
-statement("fold_interactions", f"WITH {INTERACTIONS} SELECT firm_id, ocid, won, amount, day, buyer_id, category FROM interactions")
-statement(
+
+@query("fold_interactions", other_engine(f"WITH {INTERACTIONS} SELECT firm_id, ocid, won, amount, day, buyer_id, category FROM interactions"))
+def fold_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = raw.select(
+        F.col("l_suppkey").alias("firm_id"), F.col("l_orderkey").alias("ocid"), F.col("l_linenumber").alias("pos"), F.col("l_extendedprice").alias("price"), (F.col("l_returnflag") == "R").alias("won"), F.col("l_extendedprice").alias("amount"),
+        F.col("o_orderdate").cast("date").alias("day"), F.col("o_custkey").alias("buyer_id"), F.col("p_type").alias("category"),
+    )
+    return releases.folded(rows, ["firm_id", "ocid"], ["pos", "price"])
+
+
+@query(
     "competitive_interactions",
-    f"WITH {INTERACTIONS}, bidders AS (SELECT ocid, count(*) AS bidders FROM interactions GROUP BY ocid HAVING count(*) > 1) SELECT i.firm_id, i.ocid, i.won, b.bidders FROM interactions i JOIN bidders b ON i.ocid = b.ocid",
+    other_engine(f"WITH {INTERACTIONS}, bidders AS (SELECT ocid, count(*) AS bidders FROM interactions GROUP BY ocid HAVING count(*) > 1) SELECT i.firm_id, i.ocid, i.won, b.bidders FROM interactions i JOIN bidders b ON i.ocid = b.ocid"),
 )
+def competitive_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.competitive(interactions(spark, sf_dir).withColumnRenamed("firm_id", "canonical_id")).select(F.col("canonical_id").alias("firm_id"), "ocid", "won", "bidders")
+
+
 ENTITIES = f"""{INTERACTIONS},
 names AS (SELECT s_suppkey AS firm_id, concat('firm ', CAST(s_suppkey % 40 AS <<STRING||VARCHAR>>)) AS name FROM {{supplier}}),
 rivals AS (SELECT DISTINCT a.name FROM (SELECT i.ocid, n.name, n.firm_id FROM interactions i JOIN names n ON i.firm_id = n.firm_id) a
            JOIN (SELECT i.ocid, n.name, n.firm_id FROM interactions i JOIN names n ON i.firm_id = n.firm_id) b ON a.ocid = b.ocid AND a.name = b.name AND a.firm_id < b.firm_id)"""
-statement(
+
+
+def resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    firms = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("firm_id"), F.concat(F.lit("Firm "), (F.col("s_suppkey") % 40).cast("string"), F.lit(" Inc.")).alias("name"))
+    return entities.merged(firms, spark.createDataFrame([], "firm_id long, number string"), interactions(spark, sf_dir).select("firm_id", "ocid"))
+
+
+@query(
     "entity_resolution",
-    f"WITH {ENTITIES} SELECT n.firm_id, CASE WHEN r.name IS NULL THEN min(n.firm_id) OVER (PARTITION BY n.name) ELSE n.firm_id END AS canonical_id FROM names n LEFT JOIN rivals r ON n.name = r.name",
+    other_engine(f"WITH {ENTITIES} SELECT n.firm_id, CASE WHEN r.name IS NULL THEN min(n.firm_id) OVER (PARTITION BY n.name) ELSE n.firm_id END AS canonical_id FROM names n LEFT JOIN rivals r ON n.name = r.name"),
 )
-statement("blocked_merges", f"WITH {ENTITIES} SELECT n.name, count(*) AS firms FROM names n JOIN rivals r ON n.name = r.name GROUP BY n.name")
+def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolved(spark, sf_dir)[0].select("firm_id", "canonical_id")
+
+
+@query("blocked_merges", other_engine(f"WITH {ENTITIES} SELECT n.name, count(*) AS firms FROM names n JOIN rivals r ON n.name = r.name GROUP BY n.name"))
+def blocked_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolved(spark, sf_dir)[1].where("why = 'rivals'").select(F.col("normalized_name").alias("name"), F.col("businesses").alias("firms"))
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,29 +86,66 @@ HISTORY = f"""{INTERACTIONS},
 past AS (SELECT * FROM interactions WHERE day < DATE '1999-01-01'),
 counts AS (SELECT firm_id, category, count(*) AS n FROM past GROUP BY firm_id, category),
 spread AS (SELECT firm_id, sum(CAST(n AS DOUBLE) * n) / (sum(n) * sum(n)) AS concentration, count(*) AS categories FROM counts GROUP BY firm_id),
-history AS (SELECT firm_id, count(*) AS bids, sum(won) AS wins, count(DISTINCT buyer_id) AS buyers, <<percentile(amount, 0.5)||quantile_cont(amount, 0.5)>> AS median_amount,
-                   stddev_pop(<<log1p(amount)||ln(1 + amount)>>) AS spread_amount, max(day) AS last_day, min(day) AS first_day FROM past WHERE amount > 0 GROUP BY firm_id)"""
-statement(
-    "firm_history_cutoff",
-    f"WITH {HISTORY} SELECT firm_id, bids, CAST(wins AS BIGINT) AS wins, buyers, round(median_amount, 4) AS median_amount, first_day, last_day FROM history",
-)
-statement(
+history AS (SELECT firm_id, count(*) AS bids, sum(won) AS wins, count(DISTINCT buyer_id) AS buyers, quantile_cont(CASE WHEN amount > 0 THEN amount END, 0.5) AS median_amount,
+                   stddev_pop(CASE WHEN amount > 0 THEN ln(1 + amount) END) AS spread_amount, max(day) AS last_day, min(day) AS first_day FROM past GROUP BY firm_id)"""
+DAY = "1999-01-01"
+
+
+def with_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Interactions as the features' operators take them, and the firms' histories before the day."""
+    rows = interactions(spark, sf_dir).withColumnsRenamed({"firm_id": "canonical_id", "day": "date", "amount": "bid_amount"}).withColumn("region", F.lit(None).cast("string"))
+    return rows, features.histories(rows, F.lit(DAY).cast("date"))
+
+
+@query("firm_history_cutoff", other_engine(f"WITH {HISTORY} SELECT firm_id, bids, CAST(wins AS BIGINT) AS wins, buyers, round(median_amount, 4) AS median_amount, first_day, last_day FROM history"))
+def firm_history_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = with_history(spark, sf_dir)[1]
+    return h.select(F.col("canonical_id").alias("firm_id"), F.col("interactions").alias("bids"), "wins", "buyers", F.round("median_bid", 4).alias("median_amount"), F.col("first_date").alias("first_day"), F.col("last_date").alias("last_day"))
+
+
+@query(
     "firm_features",
-    f"""WITH {HISTORY} SELECT s.s_suppkey AS firm_id, coalesce(h.bids, 0) AS bids, round(coalesce(CAST(h.wins AS DOUBLE) / h.bids, 0.0), 6) AS win_rate, round(coalesce(ln(1 + h.median_amount), 0.0), 6) AS log_median,
-  round(coalesce(h.spread_amount, 0.0), 6) AS spread, coalesce(<<datediff(DATE '1999-01-01', h.last_day)||date_diff('day', h.last_day, DATE '1999-01-01')>>, 3650) AS days_since_last,
-  round(coalesce(c.concentration, 0.0), 6) AS concentration, coalesce(c.categories, 0) AS categories FROM {{supplier}} s LEFT JOIN history h ON s.s_suppkey = h.firm_id LEFT JOIN spread c ON s.s_suppkey = c.firm_id""",
+    other_engine(
+        f"""WITH {HISTORY} SELECT s.s_suppkey AS firm_id, coalesce(h.bids, 0)::DOUBLE AS bids, round(coalesce(CAST(h.wins AS DOUBLE) / h.bids, 0.0), 6) AS win_rate, round(coalesce(ln(1 + h.median_amount), 0.0), 6) AS log_median, round(coalesce(h.spread_amount, 0.0), 6) AS spread,
+  coalesce(date_diff('day', h.last_day, DATE '1999-01-01'), 3650)::DOUBLE AS days_since_last, round(coalesce(c.concentration, 0.0), 6) AS concentration, coalesce(c.categories, 0)::DOUBLE AS categories
+  FROM {{supplier}} s LEFT JOIN history h ON s.s_suppkey = h.firm_id LEFT JOIN spread c ON s.s_suppkey = c.firm_id"""
+    ),
 )
-statement(
+def firm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    firms = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("canonical_id"))
+    found = features.firm_features(firms, with_history(spark, sf_dir)[1], F.lit(DAY).cast("date"))
+    r = lambda c, name: F.round(f"firm_{c}", 6).alias(name)
+    return found.select(F.col("canonical_id").alias("firm_id"), F.col("firm_interactions").alias("bids"), r("win_rate", "win_rate"), r("log_median_bid", "log_median"), r("bid_spread", "spread"), F.col("firm_days_since_last").alias("days_since_last"), r("category_concentration", "concentration"), F.col("firm_distinct_categories").alias("categories"))
+
+
+@query(
     "cross_features",
-    f"""WITH {HISTORY}, buyers AS (SELECT firm_id, buyer_id, count(*) AS n FROM past GROUP BY firm_id, buyer_id),
+    other_engine(
+        f"""WITH {HISTORY}, buyers AS (SELECT firm_id, buyer_id, count(*) AS n FROM past GROUP BY firm_id, buyer_id),
 next AS (SELECT * FROM interactions WHERE day >= DATE '1999-01-01' AND day < DATE '1999-04-01')
-SELECT i.firm_id, i.ocid, round(coalesce(CAST(c.n AS DOUBLE) / h.bids, 0.0), 6) AS category_share, CASE WHEN c.n IS NULL THEN 0 ELSE 1 END AS category_seen, coalesce(b.n, 0) AS prior_bids, CAST(least(coalesce(b.n, 0), coalesce(h.wins, 0)) AS BIGINT) AS prior_wins
-FROM next i LEFT JOIN history h ON h.firm_id = i.firm_id LEFT JOIN counts c ON c.firm_id = i.firm_id AND c.category = i.category LEFT JOIN buyers b ON b.firm_id = i.firm_id AND b.buyer_id = i.buyer_id""",
+SELECT i.firm_id, i.ocid, round(coalesce(CAST(c.n AS DOUBLE) / h.bids, 0.0), 6) AS category_share, CASE WHEN c.n IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS category_seen, coalesce(b.n, 0)::DOUBLE AS prior_bids, least(coalesce(b.n, 0), coalesce(h.wins, 0))::DOUBLE AS prior_wins
+FROM next i LEFT JOIN history h ON h.firm_id = i.firm_id LEFT JOIN counts c ON c.firm_id = i.firm_id AND c.category = i.category LEFT JOIN buyers b ON b.firm_id = i.firm_id AND b.buyer_id = i.buyer_id"""
+    ),
 )
+def cross_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, history = with_history(spark, sf_dir)
+    day = F.lit(DAY).cast("date")
+    pairs = rows.where((F.col("date") >= day) & (F.col("date") < F.lit("1999-04-01").cast("date"))).select("canonical_id", "ocid", "category", "buyer_id", "region", F.lit(None).cast("double").alias("value"))
+    found = features.cross_features(pairs, rows, history, day)
+    return found.select(F.col("canonical_id").alias("firm_id"), "ocid", F.round("cross_category_share", 6).alias("category_share"), F.col("cross_category_seen").alias("category_seen"), F.col("cross_buyer_prior_bids").alias("prior_bids"), F.col("cross_buyer_prior_wins").alias("prior_wins"))
+
+
 SPLIT = f"""{INTERACTIONS},
 train AS (SELECT firm_id, count(*) AS n_train FROM interactions WHERE day < DATE '1999-01-01' GROUP BY firm_id HAVING count(*) >= 5),
 test AS (SELECT firm_id, count(*) AS n_test FROM interactions WHERE day >= DATE '1999-01-01' AND day < DATE '1999-07-01' GROUP BY firm_id HAVING count(*) >= 5)"""
-statement("temporal_split", f"WITH {SPLIT} SELECT t.firm_id, t.n_train, e.n_test FROM train t JOIN test e ON t.firm_id = e.firm_id")
+
+
+@query("temporal_split", other_engine(f"WITH {SPLIT} SELECT t.firm_id, t.n_train, e.n_test FROM train t JOIN test e ON t.firm_id = e.firm_id"))
+def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = with_history(spark, sf_dir)
+    return features.eligible(rows, F.lit(DAY).cast("date"), F.lit("1999-07-01").cast("date")).withColumnRenamed("canonical_id", "firm_id")
+
+
 RANKED = f"""{SPLIT},
 pool AS (SELECT ocid, min(category) AS category, min(buyer_id) AS buyer_id FROM interactions WHERE day >= DATE '1999-01-01' AND day < DATE '1999-07-01' GROUP BY ocid),
 eligible AS (SELECT t.firm_id, t.n_train FROM train t JOIN test e ON t.firm_id = e.firm_id),
@@ -166,9 +231,9 @@ LEVELS = "\nUNION ALL ".join(
 )
 
 
-@query("scale_lookup", f"WITH {AWARDS} SELECT level, slug, buyer_type, region, n, round(median, 4) AS median FROM ({LEVELS.format('awards')})")
+@query("scale_lookup", f"WITH {AWARDS} SELECT level, slug, buyer_type, region, n, CAST(floor(median * 100 + 0.370313) AS BIGINT) AS median_cents FROM ({LEVELS.format('awards')})")
 def scale_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return awards.cells(awarded(spark, sf_dir)).withColumn("median", F.round("median", 4))
+    return awards.cells(awarded(spark, sf_dir)).select("level", "slug", "buyer_type", "region", "n", F.floor(F.col("median") * 100 + 0.370313).alias("median_cents"))
 
 
 # Awards from the cutoff on are notices, of which some have published values, some a model's and some no trade.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import firm_name
 from ..operators.upsert import stale, upsert
+from ..sources import releases
 from .frames import NOTICES, NOW
 from .registry import query, statement, table
 
@@ -51,11 +52,19 @@ def stale_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stale(table(spark, sf_dir, "customer").select("c_custkey"), kept, ["c_custkey"])
 
 
-statement(
+
+# Orders of a customer are releases of one record, in files by month.
+@query(
     "latest_release",
     """SELECT ocid, day, status FROM (
-  SELECT o_custkey AS ocid, CAST(o_orderdate AS DATE) AS day, o_orderstatus AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM {orders}) x WHERE n = 1""",
+  SELECT o_custkey AS ocid, CAST(o_orderdate AS DATE) AS day, o_orderstatus AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y%m') DESC, o_orderdate DESC, o_orderkey DESC) AS n FROM {orders}) x WHERE n = 1""",
 )
+def latest_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.col("o_orderdate").cast("date")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), F.date_format(day, "yyyyMM").alias("file"), day.cast("string").alias("release_date"), F.col("o_orderkey").alias("place"), day.alias("day"), F.col("o_orderstatus").alias("status"))
+    return releases.newest(rows).select(F.col("source_id").alias("ocid"), "day", "status")
+
+
 statement(
     "closing_utc_backfill",
     """SELECT event_id, <<convert_timezone('America/Toronto', 'UTC', CAST(ts AS TIMESTAMP_NTZ))||(ts AT TIME ZONE 'America/Toronto') AT TIME ZONE 'UTC'>> AS closing_utc FROM {events} WHERE event_type = 'purchase'""",

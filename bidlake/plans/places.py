@@ -64,4 +64,4 @@ def document_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         html = F.regexp_replace(html, f'<li><a href="/({words})">([A-Za-z]+)</a></li>', shape)
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("slug"), F.lit("Town").alias("buyer_name"), "url", html.alias("html"), F.lit(True).alias("documents_open"))
     found = municipal.records(pages, F.lit("2027-01-01 00:00:00").cast("timestamp"))
-    return found.select("source_id", "title", F.size("documents").cast("long").alias("n_documents"), "closing_text", "status", "closing_date")
+    return found.select("source_id", "title", F.size("documents").cast("long").alias("n_documents"), "closing_text", "status", F.col("closing_date").cast("timestamp_ntz").alias("closing_date"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -88,3 +89,38 @@ def limited(events: DataFrame, key: str, per_minute: int = 10, per_hour: int = 6
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", allowed boolean"
     return events.groupBy(key).applyInPandasWithState(decide, out, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def limits(events: DataFrame, key: str, rules: tuple[tuple[int, int], ...] = ((60, 10), (3600, 60))) -> DataFrame:
+    """events (event_id, ts, key) that are all there, with allowed and retry_after in seconds, judged in the order of ts and event_id.
+
+    rules are (seconds, most). An event is refused where one of them had its most allowed events within its last seconds, and may come again once
+    the oldest of these is out of that window; the first rule that refuses says when. Refused ones don't count. A key's events pass through one
+    task in order, which holds no more of them than the largest rule allows. A null key is a key; null times are refused with retry_after null.
+    """
+    longest, schema = max(s for s, _ in rules) * 1_000_000, events.schema
+    names = [f.name for f in schema.fields if f.name not in ("allowed", "retry_after")]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, times = (None,), []
+        for batch in batches:
+            allowed, retry = [], []
+            for name, now in zip(batch.column("_key").to_pylist(), batch.column("_at").to_pylist(), strict=True):
+                if (name,) != at:
+                    at, times = (name,), []
+                wait = None
+                if now is not None:
+                    times = [t for t in times if t > now - longest]
+                    for seconds, most in rules:
+                        recent = [t for t in times if t > now - seconds * 1_000_000]
+                        if len(recent) >= most:
+                            wait = max(1, -((now - recent[0] - seconds * 1_000_000) // 1_000_000))
+                            break
+                    times += [now] if wait is None else []
+                allowed.append(now is not None and wait is None)
+                retry.append(wait)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(allowed, pa.bool_()), pa.array(retry, pa.int64())], names=[*names, "allowed", "retry_after"])
+
+    rows = events.select(*names, F.col(key).cast("string").alias("_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name in names) + ", allowed boolean, retry_after long"
+    return rows.repartition("_key").sortWithinPartitions("_key", "_at", "event_id").mapInArrow(judge, out)

@@ -1,5 +1,6 @@
 """Operators on literal frames: cases of filters, scores, rules, quotes, sources, features and streams."""
 
+import datetime as dt
 import json
 import math
 import random
@@ -574,3 +575,29 @@ def test_usual_size_and_accuracy(spark):
     assert awards.usual(rows, "v", ["pos"]).first()[0] == "b"
     pairs = spark.createDataFrame([("<$100K", "<$100K"), ("<$100K", "$100–500K"), ("unknown", "unknown"), ("<$100K", ">$10M"), (None, ">$10M")], "g string, t string")
     assert tuple(awards.accuracy(pairs, F.col("g"), F.col("t")).first()) == (5, 0.2, 0.4)
+
+
+def test_limits_do_not_count_refused_events(spark):
+    r = random.Random(11)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(seconds=r.randrange(600), microseconds=r.choice([0, 0, 1, 999_999])), r.choice(["a", "a", "a", "b", None])) for i in range(300)] + [(900, None, "a")]
+    got = {x.event_id: (x.allowed, x.retry_after) for x in events.limits(spark.createDataFrame(rows, "event_id long, ts timestamp, who string"), "who", ((10, 2), (60, 5))).collect()}
+    want, hits = {900: (False, None)}, {}
+    for i, ts, who in sorted((x for x in rows if x[1]), key=lambda x: (x[1], x[0])):
+        mine, wait = hits.setdefault(who, []), None
+        for seconds, most in ((10, 2), (60, 5)):
+            recent = [t for t in mine if t > ts - dt.timedelta(seconds=seconds)]
+            if len(recent) >= most and wait is None:
+                wait = max(1, math.ceil(round((recent[0] + dt.timedelta(seconds=seconds) - ts).total_seconds(), 6)))
+        mine += [ts] if wait is None else []
+        want[i] = (wait is None, wait)
+    assert got == want and sum(not a for a, _ in want.values()) > 50
+
+
+def test_competitive_and_eligible(spark):
+    day = lambda k: dt.date(2024, 1, k)
+    rows = [("a", "o1", day(1)), ("b", "o1", day(1)), ("a", "o2", day(2)), ("a", "o2", day(2)), ("b", "o3", day(9)), ("c", "o3", day(9)), ("a", "o4", day(9)), ("b", "o4", None)]
+    frame = spark.createDataFrame(rows, "canonical_id string, ocid string, date date")
+    assert sorted((x.canonical_id, x.ocid, x.bidders) for x in features.competitive(frame).collect()) == [("a", "o1", 2), ("a", "o4", 2), ("b", "o1", 2), ("b", "o3", 2), ("b", "o4", 2), ("c", "o3", 2)]
+    got = features.eligible(frame, F.lit("2024-01-05").cast("date"), F.lit("2024-01-10").cast("date"), 1).collect()
+    assert sorted(map(tuple, got)) == [("a", 3, 1), ("b", 1, 1)]
