@@ -7,7 +7,7 @@ import sys
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -72,6 +72,22 @@ def amount(c: Column) -> Column:
     return F.when((head != "") & ~t.contains("%") & ~t.contains("percent"), number * scale)
 
 
+#: How sums are written in descriptions, in the order in which they are tried, and what one of them is times.
+SUMS = ((r"(\d[\d\s.,]*)\s*(?:m\$|\$m|million|millions|m\b)", 1e6), (r"(\d[\d\s.,]*)\s*(?:k\$|\$k|thousand|k\b)", 1e3), (r"\$\s*(\d[\d\s.,]*)", 1.0), (r"(\d[\d\s.,]*)\s*\$", 1.0))
+
+
+def stated_value(folded: Column) -> Column:
+    """The sum that a folded description states, above 0, else null. One comma before one or two digits is a decimal comma, others group digits."""
+
+    def number(pattern: str) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract(folded, pattern, 1), r"\s", ""), r"\.$", ""), ",$", "")
+        plain = F.when(plain.rlike(r"^\d+,\d{1,2}$"), F.replace(plain, F.lit(","), F.lit("."))).otherwise(F.replace(plain, F.lit(","), F.lit("")))
+        value = F.regexp_extract(plain, r"^\d+(?:\.\d+)?", 0).try_cast("double")
+        return F.when(value > 0, value)
+
+    return F.coalesce(*(number(pattern) * times for pattern, times in SUMS))
+
+
 def band(c: Column) -> Column:
     """The name of the size that an amount falls in; unknown for null and for no more than 0."""
     out = F.when(c.isNull() | (c <= 0), UNKNOWN_BAND)
@@ -103,3 +119,16 @@ def normal_quote(c: Column) -> Column:
         return pa.array([quote_form(t) for t in texts.to_pylist()], pa.string())
 
     return of(c)
+
+
+def register(spark: SparkSession) -> None:
+    """fold, normalize_name, band_of and amount_of for SQL statements of this session; cosine of two arrays as well."""
+    spark.udf.register("fold", arrow_udf(lambda texts: pa.array([t if t is None else plain_fold(t) for t in texts.to_pylist()], pa.string()), "string"))
+    suffix = re.compile(rf"(?: (?:{'|'.join(LEGAL_FORMS)}))+$")
+    name = lambda t: suffix.sub("", re.sub("[^a-z0-9]+", " ", plain_fold(t)).strip())
+    spark.udf.register("normalize_name", arrow_udf(lambda texts: pa.array([t if t is None else name(t) for t in texts.to_pylist()], pa.string()), "string"))
+    steps = " ".join(f"WHEN value < {upper} THEN '{label}'" for label, upper in BANDS if upper)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION band_of(value DOUBLE) RETURNS STRING RETURN CASE WHEN value IS NULL OR value <= 0 THEN '{UNKNOWN_BAND}' {steps} ELSE '{BANDS[-1][0]}' END")
+    dot = "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, v) -> s + v)"
+    size = lambda c: f"sqrt(aggregate({c}, 0D, (s, v) -> s + v * v))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN CASE WHEN {size('a')} * {size('b')} > 0 THEN {dot} / ({size('a')} * {size('b')}) ELSE 0D END")

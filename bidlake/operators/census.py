@@ -355,3 +355,20 @@ def pending(places: DataFrame, resume: bool = True, before: Column | None = None
         due = due | F.coalesce(F.col("class").isin(list(classes)), F.lit(False))
     rows = places.where(F.coalesce(F.col("website") != "", F.lit(False)))
     return (rows.where(due) if resume else rows).orderBy(F.col("population").desc_nulls_last(), "name")
+
+
+#: Hosts of directories, and paths on which a firm speaks of itself.
+DIRECTORIES = r"(?i)(linkedin|facebook|instagram|yelp|yellowpages|pagesjaunes|bbb\.org|indeed|glassdoor|crunchbase|dnb\.com|opencorporates)\."
+USEFUL = r"(?i)/(services?|about|projects?|work|realisations?|apropos|a-propos)"
+
+
+def select_pages(hits: DataFrame, by: list[str], limit: int = 4) -> DataFrame:
+    """by, url, score and place of the search hits (by, pos, url) worth reading: no directories, a site's root, useful paths and https first.
+
+    Equal scores keep the order of the hits; a url counts once; what is no URL is left out.
+    """
+    path = F.coalesce(F.try_parse_url(F.col("url"), F.lit("PATH")), F.lit(""))
+    scheme = F.lower(F.try_parse_url(F.col("url"), F.lit("PROTOCOL")))
+    score = F.when(path.isin("", "/"), 3).otherwise(0) + F.when(path.rlike(USEFUL), 2).otherwise(0) + F.when(scheme == "https", 1).otherwise(0)
+    rows = hits.where(scheme.isNotNull() & ~F.col("url").rlike(DIRECTORIES)).groupBy(*by, "url").agg(F.min("pos").alias("pos")).withColumn("score", score)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "pos"))).where(F.col("place") <= limit).select(*by, "url", "score", "place")

@@ -105,3 +105,9 @@ def ranked(scored: DataFrame, top: int, firm: str = "firm_id", notice: str = "no
     part = scored.withColumn("_block", F.pmod(F.xxhash64(notice), F.lit(blocks)))
     part = part.withColumn("_n", F.row_number().over(Window.partitionBy(firm, "_block").orderBy(*order))).where(F.col("_n") <= top)
     return part.withColumn("place", F.row_number().over(Window.partitionBy(firm).orderBy(*order)).cast("long")).where(F.col("place") <= top).drop("_block", "_n")
+
+
+def top_components(points: Column, limit: int = 2) -> Column:
+    """The names and points of a map's components with the most points, equal ones by name."""
+    ordered = F.array_sort(F.transform(F.map_entries(points), lambda e: F.struct((-e["value"]).alias("less"), e["key"].alias("name"))))
+    return F.transform(F.slice(ordered, 1, limit), lambda e: F.struct(e["name"].alias("name"), (-e["less"]).alias("points")))

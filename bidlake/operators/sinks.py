@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LABELS = ("relevant", "marginal", "irrelevant")
@@ -88,3 +88,51 @@ def precision(labelled: DataFrame, k: int, by: list[str] | None = None) -> DataF
     counts = [F.count(F.when(F.col("label") == name, 1)).alias(name) for name in LABELS]
     out = rows.groupBy(*(by or [])).agg(F.count("*").alias("labelled"), *counts)
     return out.withColumn("precision_at_k", F.when(F.col("labelled") > 0, F.col("relevant") / F.col("labelled")))
+
+
+def apply_labels(snapshot: DataFrame, rows: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """snapshot (rank, notice_url, label, ...) with the labels of rows (line, rank, notice_url, label), and a tally.
+
+    Rows must be the snapshot's: as many, each rank there, each with that rank's url; else the first line that is not is named in an error. An
+    empty label clears one. A snapshot is a top list, so its size is bounded; the check and the tally are each one aggregate.
+    """
+    n, m = snapshot.count(), rows.count()
+    if n != m:
+        raise ValueError(f"{m} rows for a snapshot of {n}")
+    said = rows.select("line", "rank", F.coalesce(F.trim("notice_url"), F.lit("")).alias("_url"), F.col("label").alias("_label"))
+    old = snapshot.select("rank", F.coalesce("notice_url", F.lit("")).alias("_known"), F.col("label").alias("_was"))
+    both = said.join(old, "rank", "left")
+    bad = both.where(F.col("_known").isNull() | (F.col("_known") != F.col("_url"))).agg(F.min_by(F.struct("line", "rank", "_known", "_url"), "line").alias("b")).first()["b"]
+    if bad:
+        raise ValueError(f"line {bad['line']}: " + (f"rank {bad['rank']} is not in this snapshot" if bad["_known"] is None else f"{bad['_url']!r} is not the url of rank {bad['rank']}, {bad['_known']!r}"))
+    change = F.when(F.col("_was").eqNullSafe(F.col("_label")), "unchanged").when(F.col("_label").isNull(), "cleared").otherwise("labelled")
+    found = {r["change"]: r["n"] for r in both.groupBy(change.alias("change")).agg(F.count("*").alias("n")).collect()}
+    total = rows.where(F.col("label").isin(*LABELS)).count()
+    out = snapshot.join(said.select("rank", "_label"), "rank", "left").withColumn("label", F.col("_label")).select(*snapshot.columns)
+    return out, {k: found.get(k, 0) for k in ("labelled", "cleared", "unchanged")} | {"labelled_total": total, "rows": n}
+
+
+def run_log(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old with new's rows put in or in the place of those with their keys; of new rows with equal keys one stays. Null keys are keys."""
+    new = new.dropDuplicates(keys)
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    return old.alias("o").join(new.alias("n"), same, "left_anti").unionByName(new.select(*old.columns))
+
+
+def firms_by_name(old: DataFrame, new: DataFrame, fields: list[str], token: Column) -> DataFrame:
+    """Firms upserted by name: known ones get new's fields and keep firm_id and board_token, others get the next ids and a token of their own.
+
+    old has firm_id, name, board_token and fields; of new rows with one name the last by pos counts. token is a column that mints one, as a
+    random text; it is only used for firms without one. Names are trimmed, blank ones are left out.
+    """
+    last = new.withColumn("name", F.trim("name")).where("name != ''").groupBy("name").agg(F.max_by(F.struct(*fields), "pos").alias("_n"))
+    known = old.join(last, "name", "left").select("firm_id", "name", *(F.when(F.col("_n").isNotNull(), F.col(f"_n.{c}")).otherwise(F.col(c)).alias(c) for c in fields), "board_token")
+    fresh = last.join(old.select("name"), "name", "left_anti").select("name", *(F.col(f"_n.{c}").alias(c) for c in fields))
+    top = old.agg(F.coalesce(F.max("firm_id"), F.lit(0)).cast("long").alias("_top"))  # one row
+    numbered = fresh.withColumn("_nth", F.row_number().over(Window.orderBy("name"))).join(F.broadcast(top), how="cross")  # new firms of one import
+    return known.unionByName(numbered.select((F.col("_top") + F.col("_nth")).cast(dict(old.dtypes)["firm_id"]).alias("firm_id"), "name", *fields, token.alias("board_token")))
+
+
+def token_key(token: Column) -> Column:
+    """What a board is stored under: nothing leads back to the token."""
+    return F.sha2(token.cast("string"), 256)

@@ -43,4 +43,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from . import census, documents, domain, features, lookups, market, matching, places, rules, streams  # noqa: E402, F401
+from . import census, documents, domain, features, lookups, market, matching, places, profiles, rules, streams  # noqa: E402, F401
