@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import preferred_buyer
+from . import filters
+from .shared import kept, small
 
 COMPONENTS = ("trade_match", "region_match", "buyer_type_preference", "recency_urgency")
 #: The weights, scores and curve that ranked results must follow.
@@ -107,6 +109,41 @@ def ranked(scored: DataFrame, top: int, firm: str = "firm_id", notice: str = "no
     return part.withColumn("place", F.row_number().over(Window.partitionBy(firm).orderBy(*order)).cast("long")).where(F.col("place") <= top).drop("_block", "_n")
 
 
+def best(notices: DataFrame, firms: DataFrame, family_of: dict[str, str], now: Column, top: int, weights: dict = WEIGHTS) -> DataFrame:
+    """firm_id, place, notice_id, base_score, value_modifier and final_score of the best `top` notices of each firm, as ranked() has them.
+
+    All but the value's part depends on what notices of a cell (trades, region, buyer type, step of the recency curve) and firms of a kind (trades,
+    regions, preferred buyers) share, so cells are judged against kinds, and a pair costs one comparison and one curve. A notice without a value
+    scores its cell's base for every firm of a kind: where enough of those are there, cells whose base can't reach them with the largest modifier go.
+    """
+    w = checked(weights)
+    value = w.get("value_modifier", {})
+    most, ratio = float(value.get("max_points", 10)), float(value.get("sigma_ratio", 0.6))
+    rows = notices.where((F.lower(F.trim("status")) == "open") & (filters.hours_until(F.col("closing_utc"), now) > filters.FLOOR_HOURS) & ~F.col("mapping_status").eqNullSafe(F.lit("non_construction")))
+    days = filters.hours_until(F.col("closing_utc"), now) / 24.0
+    step = F.size(F.array_compact(F.array(*(F.when(days >= float(s["max_days"]), 1) for s in w["recency_curve"] if s.get("max_days") is not None))))
+    alike = ["mapping_status", "trade_slugs", "_sources", "construction_marked", "region", "buyer_type", "_step"]
+    rows = rows.withColumns({"_sources": F.array_sort(F.map_entries("slug_sources")), "_step": step})
+    rows = kept(rows.select("notice_id", "status", "closing_utc", F.col("estimated_value").try_cast("double").alias("_amount"), *alike).withColumn("_cell", F.xxhash64(*alike)), "notices")
+    cells = rows.groupBy("_cell", *alike).agg(F.min("closing_utc").alias("closing_utc"), F.count(F.when(F.col("_amount").isNull(), 1)).alias("_without"))
+    cells = cells.withColumns({"status": F.lit("open"), "slug_sources": F.map_from_entries("_sources"), "estimated_value": F.lit(None).cast("double")})
+    firms = kept(firms.select("firm_id", "trades", "regions", "buyer_type_preferences", "value_min", "value_max", median(F.col("baseline_values")).alias("_middle")).withColumn("_kind", F.xxhash64("trades", "regions", "buyer_type_preferences")), "firms")
+    kinds = firms.select("_kind", "trades", "regions", "buyer_type_preferences").dropDuplicates(["_kind"])
+    nothing = F.lit(None).cast("double")
+    kinds = kinds.withColumns({"value_min": nothing, "value_max": nothing, "baseline_values": F.array().cast("array<double>")})
+    judged = score(filters.evaluate(filters.candidates(cells, kinds, family_of, "_kind"), family_of, now).where("included"), w).select("_cell", "_kind", "base_score", "_without")
+    down = Window.partitionBy("_kind").orderBy(F.desc("base_score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sure = judged.withColumn("_sure", F.sum("_without").over(down))
+    floor = F.max(F.when(F.col("_sure") >= top, F.col("base_score"))).over(Window.partitionBy("_kind"))
+    judged = kept(sure.withColumn("_floor", floor).where("_floor is null or base_score + {0} >= _floor".format(most)).select("_cell", "_kind", "base_score"), "judged")
+    pairs = rows.select("notice_id", "closing_utc", "_amount", "_cell").join(small(judged, 64), "_cell").join(small(firms.select("firm_id", "_kind", "value_min", "value_max", "_middle"), 64), "_kind")
+    pairs = pairs.where("_amount is null or not (coalesce(_amount < value_min, false) or coalesce(_amount > value_max, false))")
+    modifier = F.coalesce(F.round(gauss_points(F.col("_amount"), F.col("_middle"), most, ratio), 2), F.lit(0.0))
+    final = F.round(F.least(F.greatest(F.col("base_score") + F.col("value_modifier"), F.lit(0.0)), F.lit(100.0)), 2)
+    pairs = pairs.withColumn("value_modifier", modifier).withColumn("final_score", final)
+    return ranked(pairs, top).select("firm_id", "place", "notice_id", "base_score", "value_modifier", "final_score")
+
+
 def top_components(points: Column, limit: int = 2) -> Column:
     """The names and points of a map's components with the most points, equal ones by name."""
     ordered = F.array_sort(F.transform(F.map_entries(points), lambda e: F.struct((-e["value"]).alias("less"), e["key"].alias("name"))))

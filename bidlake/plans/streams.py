@@ -46,3 +46,15 @@ SELECT user_id, min(ts) AS session_start, count(*) AS n FROM numbered GROUP BY u
 )
 def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.sessions(log(spark, sf_dir)).withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+
+
+# An answer lives a day: a user's first event asks, and then the first one a day or more after the last that asked.
+@query(
+    "ttl_cache",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM {events}),
+j AS (SELECT event_id, user_id, n, ts AS answered, false AS cached FROM e WHERE n = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.n, CASE WHEN e.ts - j.answered < INTERVAL 1 DAY THEN j.answered ELSE e.ts END, e.ts - j.answered < INTERVAL 1 DAY FROM j JOIN e ON e.user_id = j.user_id AND e.n = j.n + 1)
+SELECT event_id, cached FROM j""",
+)
+def ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.limits(log(spark, sf_dir), "user_id", ((86400, 1),)).select("event_id", (~F.col("allowed")).alias("cached"))

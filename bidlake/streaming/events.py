@@ -124,3 +124,31 @@ def limits(events: DataFrame, key: str, rules: tuple[tuple[int, int], ...] = ((6
     rows = events.select(*names, F.col(key).cast("string").alias("_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name in names) + ", allowed boolean, retry_after long"
     return rows.repartition("_key").sortWithinPartitions("_key", "_at", "event_id").mapInArrow(judge, out)
+
+
+def asked_again(asks: DataFrame, key: str, seconds: int = 86_400, late: str = "10 minutes") -> DataFrame:
+    """asks (event_id, ts, key) with `cached`: whether the key's last answer, given at its last ask that was not cached, still lives.
+
+    A stream's state is one time a key. It goes once the watermark is past the answer's life, so keys that are not asked for leave nothing behind;
+    a stream that starts again from its checkpoint knows what it knew. In a batch, limits() with one event in `seconds` says the same.
+    """
+    schema, asks = asks.schema, asks.withWatermark("ts", late)
+    life = seconds * 1_000_000
+
+    def answer(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        cached = []
+        for now in rows["ts"].astype("datetime64[us]").astype("int64"):
+            hit = last is not None and now - last < life
+            cached.append(hit)
+            last = last if hit else now
+        state.update((int(last),))
+        state.setTimeoutTimestamp(max(int(last) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield rows.assign(cached=cached)
+
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", cached boolean"
+    return asks.groupBy(key).applyInPandasWithState(answer, out, "last long", "append", GroupStateTimeout.EventTimeTimeout)

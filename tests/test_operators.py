@@ -601,3 +601,42 @@ def test_competitive_and_eligible(spark):
     assert sorted((x.canonical_id, x.ocid, x.bidders) for x in features.competitive(frame).collect()) == [("a", "o1", 2), ("a", "o4", 2), ("b", "o1", 2), ("b", "o3", 2), ("b", "o4", 2), ("c", "o3", 2)]
     got = features.eligible(frame, F.lit("2024-01-05").cast("date"), F.lit("2024-01-10").cast("date"), 1).collect()
     assert sorted(map(tuple, got)) == [("a", 3, 1), ("b", 1, 1)]
+
+
+def test_answers_live_for_their_time_across_restarts(spark, tmp_path):
+    schema, start = "event_id long, ts timestamp, who string", dt.datetime(2024, 1, 1)
+    at = lambda i, minutes, who: (i, start + dt.timedelta(minutes=minutes), who)
+    parts = [[at(1, 0, "a"), at(2, 30, "a"), at(3, 61, "a"), at(4, 5, "b")], [at(5, 100, "a"), at(6, 64, "b"), at(7, 121, "a")], [at(8, 300, "c"), at(9, 300, "b")], [at(10, 310, "a"), at(11, 355, "b"), at(12, 359, "c"), at(13, 360, "c")]]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = events.asked_again(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "who", 3600)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()  # a new query from the same checkpoint
+    got = {x.event_id: x.cached for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False, 5: True, 6: True, 7: False, 8: False, 9: False, 10: False, 11: True, 12: True, 13: False}
+    every = spark.createDataFrame([x for rows in parts for x in rows], schema)
+    assert {x.event_id: not x.allowed for x in events.limits(every, "who", ((3600, 1),)).collect()} == got
+
+
+def test_best_notices_by_cells_equal_all_pairs(spark):
+    r = random.Random(13)
+    now = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    slugs = ["a", "b", "c", "d"]
+    some = lambda values, k: r.sample(values, r.randrange(k))
+    notices = []
+    for i in range(260):
+        own = some(slugs, 4)
+        notices.append((
+            i, r.choice(["open", "open", "open", "closed", "unknown", " Open"]), r.choice([None, *(dt.datetime(2024, 3, 1) + dt.timedelta(days=d, hours=5) for d in (0, 1, 4, 9, 30, 200))]), own, {s: r.choice(["title", "description"]) for s in own},
+            "mapped" if own else r.choice(["unmapped", "non_construction"]), r.choice([True, False]), r.choice([None, "", "QC", "ON", "QC,ON", "CA", "AB"]), r.choice([None, "municipal", "federal", "health"]), r.choice([None, 50.0, 100.0, 1e5, 2e5, 1e6]),
+        ))
+    firms = [(k, some(slugs, 3), some(["quebec", "ontario_any", "federal_any", "x"], 3), some(["municipal", "federal", "hospital"], 3), r.choice([None, 60.0]), r.choice([None, 5e5]), r.choice([[], [1e5], [1e5, 3e5, 50.0], None])) for k in range(25)]
+    schema = "notice_id int, status string, closing_utc timestamp, trade_slugs array<string>, slug_sources map<string,string>, mapping_status string, construction_marked boolean, region string, buyer_type string, estimated_value double"
+    notices = spark.createDataFrame(notices, schema)
+    firms = spark.createDataFrame(firms, "firm_id int, trades array<string>, regions array<string>, buyer_type_preferences array<string>, value_min double, value_max double, baseline_values array<double>")
+    kin = {"a": "f", "b": "f", "c": "g"}
+    keys = ["firm_id", "place", "notice_id", "base_score", "value_modifier", "final_score"]
+    for top in (1, 3, 500):
+        want = scoring.ranked(scoring.score(filters.evaluate(filters.against(notices, firms), kin, now).where("included")), top).select(keys)
+        got = scoring.best(notices, firms, kin, now, top)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() > 300 and scoring.best(notices.limit(0), firms, kin, now, 3).count() == 0
