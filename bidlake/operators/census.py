@@ -357,6 +357,24 @@ def pending(places: DataFrame, resume: bool = True, before: Column | None = None
     return (rows.where(due) if resume else rows).orderBy(F.col("population").desc_nulls_last(), "name")
 
 
+#: Words of links that lead to a notice's documents.
+DOCUMENT_HINT = r"(?i)attachment|document|download|bid[\s_-]*package"
+
+
+def document_links(html: Column, url: Column) -> Column:
+    """array<string>: where the page's links to documents lead, in order, each once: by the file's ending, or by a word of the link."""
+    path = lambda c: F.lower(F.coalesce(F.try_parse_url(c, F.lit("PATH")), F.lit("")))
+    ends = rf"(?:{'|'.join(e.replace('.', '[.]') for e in EXTENSIONS)})$"
+    found = F.filter(anchors(html, url), lambda a: path(a["url"]).rlike(ends) | F.concat_ws(" ", a["text"], a["href"]).rlike(DOCUMENT_HINT))
+    return F.array_distinct(F.transform(found, lambda a: a["url"]))
+
+
+def run_report(runs: DataFrame, places: DataFrame) -> DataFrame:
+    """Runs of a crawl (slug, status, ...) with their places' name, class and confidence, the sure ones first, then by name."""
+    order = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "low", 1).otherwise(2)
+    return runs.join(places.select("slug", "name", "class", "confidence"), "slug").orderBy(order, "name", "slug")
+
+
 #: Hosts of directories, and paths on which a firm speaks of itself.
 DIRECTORIES = r"(?i)(linkedin|facebook|instagram|yelp|yellowpages|pagesjaunes|bbb\.org|indeed|glassdoor|crunchbase|dnb\.com|opencorporates)\."
 USEFUL = r"(?i)/(services?|about|projects?|work|realisations?|apropos|a-propos)"

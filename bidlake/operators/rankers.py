@@ -5,6 +5,8 @@ Where the usual gradient-boosted ranker learns from lists, the one here learns f
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -13,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .boards import deterministic_score
 from .features import NAMES, group_of
 
 #: What the compact model sees, and what is known only after bids have closed.
@@ -61,6 +64,17 @@ def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select(*rows.columns, vector_to_array("probability")[1].alias("score"))
 
 
+def with_title(rows: DataFrame, title: str = "title", embedding: str | None = None, dim: int = 0) -> tuple[DataFrame, tuple[str, ...]]:
+    """rows with what a size regressor sees of a title: its length, its words, and the numbers of its embedding; and the names of these columns.
+
+    A null title has neither signs nor words; a null or shorter embedding is filled up with zeros.
+    """
+    text = F.coalesce(title, F.lit(""))
+    columns = {"title_signs": F.length(text).cast("double"), "title_words": (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("double")}
+    columns |= {f"title_{k}": F.coalesce(F.get(embedding, F.lit(k)).cast("double"), F.lit(0.0)) for k in range(dim if embedding else 0)}
+    return rows.withColumns(columns), tuple(columns)
+
+
 def fit_size(awards: DataFrame, kinds: tuple[str, ...], numbers: tuple[str, ...], amount: str = "amount", trees: int = 50) -> PipelineModel:
     """Boosted trees for log10 of a positive amount, over kinds as indicators and numbers; unseen kinds are one of their own."""
     steps = [
@@ -101,3 +115,24 @@ def firm_results(rows: DataFrame, k: int = 10, score: Column | None = None) -> D
         F.count("*").alias("candidates"), n.alias("positives"), F.coalesce(F.count(F.when(hit & (F.col("place") <= k), 1)) / F.nullif(n, F.lit(0)), F.lit(0.0)).alias(f"recall_{k}"),
         F.coalesce(1.0 / F.min(F.when(hit, F.col("place"))), F.lit(0.0)).alias("reciprocal_rank"),
     )
+
+
+#: Models of compared(), by name: how each is fitted and what it sees.
+MODELS = ("deterministic", "embedding_only", "compact_linear", "boosted", "boosted_no_leakage")
+
+
+def compared(train: DataFrame, test: DataFrame, columns: tuple[str, ...] = NAMES, k: int = 10, trees: int = 50) -> DataFrame:
+    """model, firms, recall at k and mrr over all test firms, of every model of MODELS fitted on the same candidates.
+
+    train and test have firm_id, ocid, label and the columns. The rule-based score and the similarity alone need no fitting; the last model does
+    without what is known only after bids have closed, and is the one that can be used.
+    """
+    clean = tuple(c for c in columns if c not in LEAKY)
+    rule = deterministic_score(F.col("cross_category_seen"), F.col("cross_buyer_prior_bids"), F.col("cross_region_seen"))
+    runs = {
+        "deterministic": lambda: test.withColumn("score", rule), "embedding_only": lambda: test.withColumn("score", F.col("cross_embedding_similarity")), "compact_linear": lambda: scored(fit_compact(train), test),
+        "boosted": lambda: scored(fit_boosted(train, columns, trees), test), "boosted_no_leakage": lambda: scored(fit_boosted(train, clean, trees), test),
+    }
+    each = [firm_results(runs[name]().select("firm_id", "ocid", "label", "score"), k).withColumn("model", F.lit(name)) for name in MODELS]
+    rows = reduce(DataFrame.unionByName, each)
+    return rows.groupBy("model").agg(F.count("*").alias("firms"), F.avg(f"recall_{k}").alias(f"recall_{k}"), F.avg("reciprocal_rank").alias("mrr"))

@@ -39,3 +39,9 @@ def upsert(old: DataFrame, batch: DataFrame, keys: list[str], content: list[str]
 
 def stale(existing: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     return existing.join(kept, keys, "left_anti")
+
+
+def recomputed(rows: DataFrame, keys: list[str], new: dict[str, Column]) -> DataFrame:
+    """keys and the new values of the columns in new, of the rows where one of them differs from what is there; nulls equal each other."""
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(v) for c, v in new.items()], F.lit(True))
+    return rows.where(~same).select(*keys, *(v.alias(c) for c, v in new.items()))

@@ -74,6 +74,21 @@ def page_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(spark, sf_dir).select("page_id", "class", "platform", "confidence", F.col("n_tender").cast("long").alias("n_tender"), F.col("n_policy").cast("long").alias("n_policy"), "gated")
 
 
+DOCUMENTS = (
+    ("a-dA-D", '<a href="/x/$1">Bid  package $1</a>'), ("e-hE-H", '<a href="/files/$1.PDF?v=2">$1</a> <a href="/files/$1.PDF?v=2">again</a>'), ("i-oI-O", '<a href="/download/$1">$1</a>'), ("p-zP-Z", '<a href="/other/$1">$1</a>'),
+)
+
+
+@query(
+    "document_links",
+    f"""WITH {WORDS}, l AS (SELECT page_id, host || CASE WHEN c <= 'D' THEN '/x/' || w WHEN c <= 'H' THEN '/files/' || w || '.PDF?v=2' ELSE '/download/' || w END AS link, min(pos) AS pos FROM words WHERE c <= 'O' GROUP BY 1, 2)
+SELECT p.page_id, count(link) AS n, coalesce(string_agg(link, ' ' ORDER BY pos), '') AS links FROM {{pages}} p LEFT JOIN l USING (page_id) GROUP BY p.page_id""",
+)
+def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = menus(spark, sf_dir, DOCUMENTS).select("page_id", census.document_links(F.col("html"), F.col("url")).alias("links"))
+    return rows.select("page_id", F.size("links").cast("long").alias("n"), F.array_join("links", " ").alias("links"))
+
+
 PEOPLE = "CASE WHEN page_id % 11 <> 3 THEN page_id * 37 % 1000 END"
 DISTRIBUTION = f"""{PAGE_CLASS}, people AS (SELECT *, {PEOPLE} AS people, page_id NOT IN (1, 7, 20, 33) AS stays FROM classes),
 d AS (SELECT class, count(*) AS places, coalesce(sum(people), 0)::BIGINT AS population, count(*) - count(people) AS unmatched, count(*) FILTER (stays) AS kept, coalesce(sum(people) FILTER (stays), 0)::BIGINT AS kept_people FROM people GROUP BY class)"""

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import firm_name
-from ..operators.upsert import stale, upsert
-from ..sources import releases
+from ..operators.upsert import recomputed, stale, upsert
+from ..sources import federal_csv, releases
 from .frames import NOTICES, NOW
 from .registry import query, statement, table
+from .rules import dealt
 
 statement("source_counts", "SELECT source, count(*) AS n FROM {documents} GROUP BY source")
 statement("staleness_probe", "SELECT count(*) AS n, count(DISTINCT o_orderpriority) AS versions, min(o_orderpriority) AS version FROM {orders}")
@@ -65,16 +66,34 @@ def latest_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     return releases.newest(rows).select(F.col("source_id").alias("ocid"), "day", "status")
 
 
-statement(
-    "closing_utc_backfill",
-    """SELECT event_id, <<convert_timezone('America/Toronto', 'UTC', CAST(ts AS TIMESTAMP_NTZ))||(ts AT TIME ZONE 'America/Toronto') AT TIME ZONE 'UTC'>> AS closing_utc FROM {events} WHERE event_type = 'purchase'""",
-)
-statement(
+# A third of the stored instants are right already and are not given back.
+LOCAL = "(ts AT TIME ZONE 'America/Toronto') AT TIME ZONE 'UTC'"
+
+
+@query("closing_utc_backfill", f"SELECT event_id, {LOCAL} AS closing_utc FROM {{events}} WHERE event_id % 3 <> 0 AND (event_id % 3 = 1 OR {LOCAL} <> ts)")
+def closing_utc_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp_ntz")
+    rows = table(spark, sf_dir, "events").withColumn("right", F.convert_timezone(F.lit("America/Toronto"), F.lit("UTC"), ts))
+    rows = rows.withColumn("closing_utc", F.when(F.col("event_id") % 3 == 0, F.col("right")).when(F.col("event_id") % 3 == 2, ts))
+    return recomputed(rows, ["event_id"], {"closing_utc": F.col("right")})
+
+
+REGIONS, CODED = ["Ontario", "QC, on", "Ontario, Canada", "London", "", None], ["*CNST", "*SRV", None]
+CLOSING = ["1998-09-01T10:00:00", "1998-09-01T10:00:00Z", "1997-01-01", "soon", "", None, "1999-01-01 00:00:00+00:00"]
+FILES = ["https://a.ca/x.pdf", "see below | http://b.ca", "none", None]
+
+
+@query(
     "csv_funnel",
-    """SELECT count(*) AS total, count(CASE WHEN lang IN ('en', 'fr') THEN 1 END) AS in_region, count(CASE WHEN lang IN ('en', 'fr') AND n_chars > 500 THEN 1 END) AS in_category,
-  count(CASE WHEN lang IN ('en', 'fr') AND n_chars > 500 AND doc_id % 3 <> 0 THEN 1 END) AS in_future,
-  count(CASE WHEN lang IN ('en', 'fr') AND n_chars > 500 AND doc_id % 3 <> 0 AND text LIKE '%@%' THEN 1 END) AS with_attachments FROM {documents}""",
+    f"""WITH t AS (SELECT o_orderkey % 6 IN (0, 1, 2) AS r, o_orderkey % 3 = 0 AS coded, o_orderpriority LIKE '%HIGH%' AS worded, o_orderkey % 7 AS c, o_orderkey % 4 IN (0, 1) AS files FROM {{orders}}), k AS (SELECT *, r AND (coded OR worded) AS kept FROM t)
+SELECT count(*) AS total, count(*) FILTER (r) AS in_region, count(*) FILTER (kept) AS in_category, count(*) FILTER (kept AND coded) AS coded, count(*) FILTER (kept AND NOT coded) AS by_word, count(*) FILTER (kept AND c IN (0, 2)) AS naive, count(*) FILTER (kept AND c IN (1, 6)) AS aware,
+  count(*) FILTER (kept AND c IN (3, 4, 5)) AS invalid, count(*) FILTER (kept AND c IN (0, 1, 6)) AS future, count(*) FILTER (kept AND c = 2) AS closed, count(*) FILTER (kept AND c IN (0, 1, 6) AND files) AS with_attachments FROM k""",
 )
+def csv_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda values: dealt(values, "o_orderkey")
+    title = F.regexp_replace("o_orderpriority", "2-HIGH", "New road, bridges")
+    rows = table(spark, sf_dir, "orders").select(of(REGIONS).alias("regions"), of(CODED).alias("category"), title.alias("title"), F.lit("broadroad_x").alias("description"), of(CLOSING).alias("closing_date"), of(FILES).alias("attachments"))
+    return federal_csv.funnel(rows, "Ontario", F.lit("1998-08-02 00:00:00").cast("timestamp"))
 
 
 @query(

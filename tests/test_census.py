@@ -109,3 +109,16 @@ def test_candidates_and_rankers(spark):
     model = rankers.fit_size(awards, ("kind",), ("n",), trees=5)
     sizes = rankers.sized(model, spark.createDataFrame([("a", 3.0), ("b", 4.0), ("zzz", None)], "kind string, n double"), ("kind",), ("n",)).collect()
     assert 900 < sizes[0].estimate < 1100 and 9000 < sizes[1].estimate < 11000 and sizes[2].estimate > 0
+
+
+def test_document_links_of_pages(spark):
+    page = """<a href="/files/A.PDF?x=1">one</a><a href="/files/A.PDF?x=1">again</a><a href="docs/b.zip">two</a><a href="/page">Bid  package here</a><a href="/download/9">x</a><a href="/about">About</a><a href="http://[bad/x.pdf">y</a>"""
+    rows = spark.createDataFrame([(1, page), (2, None), (3, "")], "i int, html string").withColumn("url", F.lit("https://a.ca/t/"))
+    got = {r.i: list(r.d) for r in rows.select("i", census.document_links(F.col("html"), F.col("url")).alias("d")).collect()}
+    assert got == {1: ["https://a.ca/files/A.PDF?x=1", "https://a.ca/t/docs/b.zip", "https://a.ca/page", "https://a.ca/download/9"], 2: [], 3: []}
+
+
+def test_runs_with_their_places(spark):
+    places = spark.createDataFrame([("a", "Ajax", "own_site_open", "low"), ("b", "Barrie", "own_site_open", "high"), ("c", "Aurora", "x", None)], "slug string, name string, class string, confidence string")
+    runs = spark.createDataFrame([("a", "parsed"), ("c", "failed"), ("b", "parsed"), ("z", "parsed")], "slug string, status string")
+    assert [r.slug for r in census.run_report(runs, places).collect()] == ["b", "a", "c"]

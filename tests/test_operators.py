@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidlake.functions import normalize, text
-from bidlake.operators import awards, boards, features, filters, packing, quotes, ranking, requirements, scoring, sinks, trades, trees
+from bidlake.operators import awards, boards, features, filters, packing, quotes, ranking, requirements, scoring, sinks, trades, trees, upsert
 from bidlake.sources import federal_csv, releases, tables
 from bidlake.streaming import events
 
@@ -640,3 +640,27 @@ def test_best_notices_by_cells_equal_all_pairs(spark):
         got = scoring.best(notices, firms, kin, now, top)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.count() > 300 and scoring.best(notices.limit(0), firms, kin, now, 3).count() == 0
+
+
+def test_federal_csv_in_either_encoding(spark, tmp_path):
+    head = "referenceNumber-numeroReference,title-titre-eng,tenderClosingDate-appelOffresDateCloture"
+    for name, data in (("bom", f"﻿{head}\nA1,Égouts,2030-01-01\n".encode()), ("latin", f"{head}\nA1,Égouts,2030-01-01\n".encode("latin-1"))):
+        (tmp_path / f"{name}.csv").write_bytes(data)
+        assert [(r.source_id, r.title) for r in federal_csv.read(spark, str(tmp_path / f"{name}.csv"), now()).collect()] == [("A1", "Égouts")]
+    assert federal_csv.encoding_of(spark, str(tmp_path / "bom.csv")) == "UTF-8" and federal_csv.encoding_of(spark, str(tmp_path / "latin.csv")) == "ISO-8859-1"
+
+
+def test_funnel_counts_each_step(spark):
+    rows = [
+        ("Ontario", "*CNST", "x", "y", "2030-01-01", "https://a.ca/x"), ("QC, ON", None, "New road", None, "2030-01-01T10:00:00Z", None), ("Ontario", "*SRV", "broadroad", None, "2030-01-01", None), ("Quebec", "*CNST", "x", None, "2030-01-01", None),
+        ("ontario", "cnst", None, None, "2020-01-01", "http://b.ca|x"), ("Ontario", "*CNST", None, None, "soon", None), (None, "*CNST", None, None, None, None), ("London", None, "a", "the sewer", None, None),
+    ]
+    frame = spark.createDataFrame(rows, "regions string, category string, title string, description string, closing_date string, attachments string")
+    assert tuple(federal_csv.funnel(frame, "Ontario", F.lit("2026-01-01").cast("timestamp")).first()) == (8, 5, 4, 3, 1, 2, 1, 1, 2, 1, 1)
+    assert federal_csv.funnel(frame, "", F.lit("2026-01-01").cast("timestamp")).first().in_region == 8 and federal_csv.funnel(frame, "quebec", F.lit("2026-01-01").cast("timestamp")).first().in_region == 1
+
+
+def test_only_what_changed_is_given_back(spark):
+    rows = spark.createDataFrame([(1, 10, "a"), (2, None, "b"), (3, 30, None), (4, 40, "d")], "k int, x int, y string")
+    new = {"x": F.when(F.col("k") == 4, 41).when(F.col("k") != 2, F.col("k") * 10), "y": F.when(F.col("k") == 3, "c").otherwise(F.col("y"))}
+    assert sorted(map(tuple, upsert.recomputed(rows, ["k"], new).collect())) == [(3, 30, "c"), (4, 41, "d")]
