@@ -271,16 +271,21 @@ def repaired(c: Column) -> Column:
     return F.coalesce(twice, c)
 
 
+def _bare_name(folded: Column) -> Column:
+    name = F.regexp_replace(folded, rf",\s*(?:{STATUSES})\s*(?:of)?\s*$", "")
+    return F.regexp_replace(F.regexp_replace(name, r"\s*\([^)]*\)\s*$", ""), r"^[ .,]+|[ .,]+$", "")
+
+
 def place_name(c: Column) -> Column:
     """A place's name folded, without its status and a type in brackets at the end."""
-    name = F.regexp_replace(fold(repaired(F.coalesce(c, F.lit("")))), rf",\s*(?:{STATUSES})\s*(?:of)?\s*$", "")
-    return F.regexp_replace(F.regexp_replace(name, r"\s*\([^)]*\)\s*$", ""), r"^[ .,]+|[ .,]+$", "")
+    return _bare_name(fold(repaired(F.coalesce(c, F.lit("")))))
 
 
 def name_forms(c: Column) -> Column:
     """The names a place may be listed under, in order: the whole, each side of a blank-slash-blank, and the whole with blanks for hyphens."""
     c = F.coalesce(c, F.lit(""))
-    sides = F.when(c.contains(" / "), F.transform(F.split(c, " / "), place_name)).otherwise(F.array().cast("array<string>"))
+    parted = F.split(fold(repaired(F.replace(c, F.lit(" / "), F.lit("\x01")))), "\x01")  # a sign that folding leaves
+    sides = F.when(c.contains(" / "), F.transform(parted, lambda side: _bare_name(F.trim(side)))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.filter(F.concat(F.array(place_name(c)), sides, F.array(F.replace(place_name(c), F.lit("-"), F.lit(" ")))), lambda n: n != ""))
 
 

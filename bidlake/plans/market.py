@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import band
 from ..operators import asof, awards, divergence, entities, features, ranking
 from ..operators.features import unit_dot
+from ..operators.shared import small
 from ..operators.trees import sample_forest, tree_scores
 from ..sources import releases
 from .frames import INTERACTIONS
@@ -297,7 +298,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     means = rows.select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("m"))
     centroids = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda p: p["m"]).alias("c"))
-    near = rows.select("vec_id", "v").join(F.broadcast(centroids), how="cross").select("label", "vec_id", F.round(unit_dot(F.col("v"), F.col("c")), 6).alias("cosine"))
+    near = rows.select("vec_id", "v").join(small(centroids, 4096), how="cross").select("label", "vec_id", F.round(unit_dot(F.col("v"), F.col("c")), 6).alias("cosine"))
     order = [F.desc("cosine"), F.col("vec_id")]
     first = near.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(16))).withColumn("n", F.row_number().over(Window.partitionBy("label", "b").orderBy(*order))).where("n <= 10")
     return first.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(*order)).cast("long")).where("place <= 10").select("label", "vec_id", "cosine", "place")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bidlake.functions import normalize, text
 from bidlake.operators import awards, boards, features, filters, packing, quotes, ranking, requirements, scoring, sinks, trades, trees, upsert
+from bidlake.plans import domain
 from bidlake.sources import federal_csv, releases, tables
 from bidlake.streaming import events
 
@@ -664,3 +665,14 @@ def test_only_what_changed_is_given_back(spark):
     rows = spark.createDataFrame([(1, 10, "a"), (2, None, "b"), (3, 30, None), (4, 40, "d")], "k int, x int, y string")
     new = {"x": F.when(F.col("k") == 4, 41).when(F.col("k") != 2, F.col("k") * 10), "y": F.when(F.col("k") == 3, "c").otherwise(F.col("y"))}
     assert sorted(map(tuple, upsert.recomputed(rows, ["k"], new).collect())) == [(3, 30, "c"), (4, 41, "d")]
+
+
+def test_values_outside_bounds_either_way(spark, monkeypatch):
+    r = random.Random(3)
+    values = [(r.choice("ab"), r.choice([1.0, 5.0, 5.000001, 1e6, -3.0, 0.0, r.random() * 100])) for _ in range(200)]
+    bounds = [(1.0, 5.0), (5.0, 5.0), (-10.0, 1e9), (0.0, 50.0), (200.0, 300.0), (1.0, 50.0)]
+    want = {(c, lo, hi): n for c in "ab" for lo, hi in bounds if (n := sum(k == c and not lo <= v <= hi for k, v in values))}
+    frames = spark.createDataFrame(values, "cell string, v double"), spark.createDataFrame(bounds, "value_min double, value_max double")
+    for most in (500, 3):
+        monkeypatch.setattr(domain, "MOST_MARKS", most)
+        assert {(x.cell, x.value_min, x.value_max): x.out for x in domain.below_and_above(*frames).collect()} == want
