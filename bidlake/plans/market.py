@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import band
-from ..operators import asof, awards, divergence, entities, features, ranking
+from ..operators import asof, awards, boards, divergence, entities, features, profiles, ranking
 from ..operators.features import unit_dot
 from ..operators.shared import small
 from ..operators.trees import sample_forest, tree_scores
 from ..sources import releases
 from .frames import INTERACTIONS
-from .registry import other_engine, query, statement, table
+from .registry import other_engine, query, table
 
 
 @query("fold_interactions", other_engine(f"WITH {INTERACTIONS} SELECT firm_id, ocid, won, amount, day, buyer_id, category FROM interactions"))
@@ -282,7 +282,16 @@ def scale_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LONG_VECTORS = "<<SELECT vec_id, label, pos AS k, CAST(v AS DOUBLE) AS v FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS pos, v||SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM {embeddings}>>"
 CENTROIDS = f"long AS ({LONG_VECTORS}), means AS (SELECT label, k, avg(v) AS v FROM long GROUP BY label, k), sizes AS (SELECT label, sqrt(sum(v * v)) AS size FROM means GROUP BY label), centroids AS (SELECT m.label, m.k, m.v / s.size AS v FROM means m JOIN sizes s ON m.label = s.label)"
-statement("centroids", f"WITH {CENTROIDS} SELECT label, k, round(v, 6) AS v FROM centroids")
+
+
+def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+
+
+@query("centroids", other_engine(f"WITH {CENTROIDS} SELECT label, k, round(v, 6) AS v FROM centroids"))
+def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = profiles.unit_means(vectors_of(spark, sf_dir).withColumnRenamed("label", "canonical_id"))
+    return means.select(F.col("canonical_id").alias("label"), F.posexplode("vector").alias("k", "v")).select("label", F.col("k").cast("long").alias("k"), F.round("v", 6).alias("v"))
 
 
 @query(
@@ -304,9 +313,25 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(*order)).cast("long")).where("place <= 10").select("label", "vec_id", "cosine", "place")
 
 
-INT8 = f"long AS ({LONG_VECTORS}), scales AS (SELECT vec_id, max(abs(v)) / 127 AS scale FROM long GROUP BY vec_id), packed AS (SELECT l.vec_id, l.k, l.v, s.scale, <<bround||round_even>>(l.v / s.scale, 0) AS q FROM long l JOIN scales s ON l.vec_id = s.vec_id)"
-statement("int8_roundtrip", f"WITH {INT8} SELECT vec_id, CAST(sum(q) AS BIGINT) AS sum_q, round(max(abs(v - q * scale)) / max(scale), 4) AS worst_step FROM packed GROUP BY vec_id")
-statement("quant_divergence", f"WITH {INT8} SELECT vec_id, round(1 - sum(v * q) / sqrt(sum(v * v) * sum(q * q)), 6) AS cosine_error FROM packed GROUP BY vec_id")
+INT8 = f"long AS ({LONG_VECTORS}), scales AS (SELECT vec_id, max(abs(v)) / 127 AS scale FROM long GROUP BY vec_id), packed AS (SELECT l.vec_id, l.k, l.v, s.scale, round_even(l.v / s.scale, 0) AS q FROM long l JOIN scales s ON l.vec_id = s.vec_id)"
+
+
+def there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, vector, its scale, and what is read back from its eight bits."""
+    rows = vectors_of(spark, sf_dir).select("vec_id", "vector", profiles.packed(F.col("vector")).alias("p"))
+    return rows.select("vec_id", "vector", F.col("p.scale").alias("scale"), profiles.unpacked(F.col("p.centroid"), F.col("p.scale")).alias("back"))
+
+
+@query("int8_roundtrip", other_engine(f"WITH {INT8} SELECT vec_id, CAST(sum(q) AS BIGINT) AS sum_q, round(max(abs(v - q * scale)) / max(scale), 4) AS worst_step FROM packed GROUP BY vec_id"))
+def int8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = F.aggregate(F.transform("back", lambda x: F.round(x / F.col("scale")).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    worst = F.array_max(F.zip_with("vector", "back", lambda a, b: F.abs(a - b))) / F.col("scale")
+    return there_and_back(spark, sf_dir).select("vec_id", steps.alias("sum_q"), F.round(worst, 4).alias("worst_step"))
+
+
+@query("quant_divergence", other_engine(f"WITH {INT8} SELECT vec_id, round(1 - sum(v * q) / sqrt(sum(v * v) * sum(q * q)), 6) AS cosine_error FROM packed GROUP BY vec_id"))
+def quant_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return there_and_back(spark, sf_dir).select("vec_id", F.round(1 - unit_dot(F.col("vector"), F.col("back")), 6).alias("cosine_error"))
 
 
 # Labels are firms, and their centroids, in eight bits, rank all vectors anew.
@@ -354,7 +379,14 @@ def tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", tree_scores(F.col("embedding"), sample_forest()).alias("score"))
 
 
-statement(
+# Customers' nations lie in provinces, some of them in two; segments are firms.
+@query(
     "province_skew",
-    "WITH by_region AS (SELECT n_regionkey, count(*) AS n FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey GROUP BY n_regionkey) SELECT n_regionkey, n, round(CAST(n AS DOUBLE) / sum(n) OVER (), 6) AS share FROM by_region ORDER BY n DESC, n_regionkey LIMIT 1",
+    """WITH t AS (SELECT c_mktsegment AS segment, n_regionkey AS r FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey),
+s AS (SELECT segment, count(*) AS n, count(*) FILTER (r = 0) AS onts, count(*) FILTER (r IN (1, 4)) AS qcs FROM t GROUP BY 1)
+SELECT segment, CASE WHEN qcs > onts THEN 'QC' ELSE 'ON' END AS province, round(greatest(onts, qcs) / n, 6) AS share FROM s WHERE onts + qcs > 0""",
 )
+def province_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = F.get(F.array(*map(F.lit, ("ON", "QC", "ON, QC", "AB", " QC ,CA"))), F.col("n_regionkey"))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("segment"), there.alias("region"))
+    return boards.province_skew(rows, ["segment"]).withColumn("share", F.round("share", 6))
