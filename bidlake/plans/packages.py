@@ -5,10 +5,13 @@ An order is a procurement, its lines are bids, returned lines are awards. A pack
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import releases
+from ..operators.shared import shared_dir
+from ..sources import federal_csv, releases
 from .registry import query, table
 from .rules import dealt, said
 
@@ -65,3 +68,28 @@ SELECT k::VARCHAR AS source_id, CASE WHEN c % 2 = 1 THEN 'municipal' ELSE 'provi
 def release_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = releases.newest(releases.notices(packages(spark, sf_dir), F.lit("1998-08-02 12:00:00").cast("timestamp")))
     return rows.select("source_id", "buyer_type", "category_normalized", "estimated_value", "currency", "region", "status")
+
+
+CATEGORIES, REGIONS = ["*CNST", "*SRV", None], ["Ontario", "Québec, Nouvelle-Écosse", "Canada", None, ""]
+ATTACHED = ["https://a.example/x.pdf, https://a.example/y.pdf|https://a.example/x.pdf", "none", None]
+
+
+@query(
+    "federal_notices",
+    f"""SELECT 'cb-' || o_orderkey AS source_id, 'Supply, "' || o_orderpriority || '"' AS title, CASE o_orderkey % 3 WHEN 0 THEN 'construction' WHEN 1 THEN 'services' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'construction' ELSE 'other' END END AS category_normalized,
+  [ 'ON', 'NS,QC', 'CA', NULL, NULL ][o_orderkey % 5 + 1] AS region, CASE WHEN o_orderkey % 4 = 0 THEN 'municipal' ELSE 'federal' END AS buyer_type, o_orderkey % 3 = 0 AS documents_open, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END AS attachments,
+  CASE WHEN o_orderdate <= TIMESTAMP '1998-08-02 12:00:00' THEN 'closed' ELSE 'open' END AS status FROM {{orders}} WHERE o_orderkey % 13 <> 5""",
+)
+def federal_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as a federal file, written under the shared folder and read by the reader of such files."""
+    key = F.col("o_orderkey")
+    cells = {
+        "referenceNumber-numeroReference": F.when(key % 13 != 5, F.concat(F.lit(" cb-"), key.cast("string"))), "title-titre-eng": F.concat(F.lit('Supply, "'), F.col("o_orderpriority"), F.lit('"')), "title-titre-fra": F.lit("Titre"),
+        "tenderClosingDate-appelOffresDateCloture": F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), "tenderStatus-appelOffresStatut-eng": F.lit("Open"), "procurementCategory-categorieApprovisionnement": dealt(CATEGORIES, "o_orderkey"),
+        "unspsc": F.when(key % 2 == 0, "*72100000").otherwise("*81100000"), "regionsOfDelivery-regionsLivraison-eng": dealt(REGIONS, "o_orderkey"), "contractingEntityName-nomEntitContractante-eng": F.when(key % 4 == 0, "City of Guelph").otherwise("Department"),
+        "attachment-piecesJointes-eng": dealt(ATTACHED, "o_orderkey"),
+    }
+    path = f"{shared_dir(spark)}/bidlake/federal-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "orders").select(*(c.alias(name) for name, c in cells.items())).write.csv(path, header=True, escape='"')
+    rows = federal_csv.read(spark, path, F.lit("1998-08-02 12:00:00").cast("timestamp"))
+    return rows.select("source_id", "title", "category_normalized", "region", "buyer_type", "documents_open", F.size("attachments").alias("attachments"), "status")

@@ -43,4 +43,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from . import cards, census, documents, domain, features, lookups, market, matching, packages, places, profiles, rules, streams  # noqa: E402, F401
+from . import boards, cards, census, documents, domain, features, lookups, market, matching, packages, places, profiles, rules, streams  # noqa: E402, F401
