@@ -136,3 +136,33 @@ def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = rows.select("doc_id", "lang", label.alias("label"), F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
     each = sinks.precision(ranked, 50, ["lang"]).withColumnRenamed("lang", "cohort").unionByName(sinks.precision(ranked, 50).withColumn("cohort", F.lit("all")))
     return each.withColumn("precision_at_k", F.round("precision_at_k", 6))
+
+
+# Parts are requirements of six fields, beside three profiles.
+FIELDS, OPERATORS = ["certification", "bonding_capacity", "insurance_cgl", "region", "submission_method", "other"], ["==", "in", ">=", "!="]
+CERTIFICATES, SUMS, PLACED, WAYS = ["COR", "ISO 9001", "", None, "x1"], ["1,000,000", "2 million", "10%", "", "500k"], ["Ontario", "quebec", "", None, "Yukon"], ["email", "fax", "hard copy", "as stated", ""]
+HELD = [["cor ", "Other"], [], ["iso 9001"]]
+ABLE, OWN = [["email", "portal"], ["courier"], []], [["ontario", "Quebec"], ["yukon"], []]
+
+
+@query(
+    "requirement_rules",
+    f"""WITH t AS (SELECT p_partkey AS k, {said(FIELDS, 'p_partkey')} AS field, {said(OPERATORS, 'p_size')} AS op, {said(CERTIFICATES, 'p_size')} AS cert, [1000000, 2000000, NULL, NULL, 500000][p_size % 5 + 1] AS needed, lower({said(PLACED, 'p_size')}) AS place,
+  [['email'], ['fax'], ['in_person', 'mail', 'physical'], CASE WHEN p_partkey % 4 < 2 THEN ['portal'] ELSE [] END, []][p_size % 5 + 1] AS wanted, p_partkey // 6 % 3 AS who, [NULL, 1500000, 400000, 5000000][p_partkey // 6 % 4 + 1] AS held, p_partkey % 31 <> 7 AS checkable FROM {{part}}),
+u AS (SELECT *, [['cor', 'other'], [], ['iso 9001']][who + 1] AS certs, [['email', 'portal'], ['mail', 'physical', 'in_person'], []][who + 1] AS able, [['ontario', 'quebec'], ['yukon'], []][who + 1] AS regions FROM t)
+SELECT k AS req_id, CASE WHEN NOT checkable THEN 'unknown' WHEN field = 'certification' THEN CASE WHEN coalesce(cert, '') = '' THEN 'unknown' WHEN list_contains(certs, lower(cert)) THEN 'pass' ELSE 'fail' END
+  WHEN field IN ('bonding_capacity', 'insurance_cgl') THEN CASE WHEN needed IS NULL OR held IS NULL THEN 'unknown' WHEN held >= needed THEN 'pass' ELSE 'fail' END
+  WHEN field = 'region' THEN CASE WHEN coalesce(place, '') = '' THEN 'unknown' WHEN list_contains(regions, place) THEN 'pass' ELSE 'fail' END
+  WHEN field = 'submission_method' THEN CASE WHEN len(wanted) = 0 OR op = '>=' THEN 'unknown' WHEN op = '!=' THEN CASE WHEN len(list_filter(able, lambda x: NOT list_contains(wanted, x))) > 0 THEN 'pass' ELSE 'fail' END WHEN list_has_any(able, wanted) THEN 'pass' ELSE 'fail' END
+  ELSE 'unknown' END AS outcome FROM u""",
+)
+def requirement_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field, who, none = dealt(FIELDS, "p_partkey"), F.floor(F.col("p_partkey") / 6), F.array().cast("array<string>")
+    value = F.when(field == "certification", dealt(CERTIFICATES, "p_size")).when(field == "region", dealt(PLACED, "p_size")).when(field == "submission_method", dealt(WAYS, "p_size")).otherwise(dealt(SUMS, "p_size"))
+    held = F.get(F.array(F.lit(None), F.lit(1.5e6), F.lit(4e5), F.lit(5e6)), (who % 4).cast("int"))
+    pairs = table(spark, sf_dir, "part").withColumn("who", who).select(
+        F.col("p_partkey").alias("req_id"), field.alias("check_field"), dealt(OPERATORS, "p_size").alias("check_operator"), value.alias("check_value"), none.alias("check_values"), (F.col("p_partkey") % 31 != 7).alias("machine_checkable"),
+        F.when(F.col("p_partkey") % 4 < 2, "bids come through MERX").otherwise("see the terms").alias("requirement_text"), F.lit("").alias("verbatim_quote"), dealt(HELD, "who").alias("certifications"), held.alias("bonding_capacity"), held.alias("cgl_limit"),
+        F.lit(None).cast("double").alias("auto_limit"), dealt(OWN, "who").alias("regions"), dealt(ABLE, "who").alias("submission_capabilities"),
+    )
+    return requirements.evaluate_rules(pairs).select("req_id", "outcome")
