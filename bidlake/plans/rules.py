@@ -166,3 +166,23 @@ def requirement_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("double").alias("auto_limit"), dealt(OWN, "who").alias("regions"), dealt(ABLE, "who").alias("submission_capabilities"),
     )
     return requirements.evaluate_rules(pairs).select("req_id", "outcome")
+
+
+# Turns are asked for by six ids a tender; every other turn is a judgment of one of eight, so some are missing, some twice there, some of no asked id.
+SAID, WHY, PHASED = ["satisfied", " Not_Satisfied", "maybe", None], ["because", " ", None, "see 3"], ["contract_condition", "Bid_Phase_Mandatory ", "nonsense", None, "not_a_requirement"]
+
+
+@query(
+    "requirement_judgments",
+    f"""WITH a AS (SELECT DISTINCT conv_id, 'r' || turn % 6 AS id FROM {{conversations}} WHERE role <> 'system'), j AS (SELECT conv_id, 'r' || turn % 8 AS id, turn, {said(SAID, 'turn // 2')} AS v, {said(WHY, 'turn // 2')} AS w, lower(trim({said(PHASED, 'turn')})) AS p FROM {{conversations}} WHERE turn % 2 = 0),
+f AS (SELECT conv_id, id, arg_min(struct_pack(v := v, w := w), turn) AS j FROM j GROUP BY 1, 2), p AS (SELECT conv_id, id, arg_max(p, turn) AS p FROM j WHERE p IN ('contract_condition', 'bid_phase_mandatory', 'not_a_requirement') GROUP BY 1, 2)
+SELECT a.conv_id AS tender_id, a.id AS req_id, CASE WHEN lower(trim(j.v)) IN ('satisfied', 'not_satisfied') THEN lower(trim(j.v)) ELSE 'uncertain' END AS verdict, CASE WHEN f.id IS NULL THEN 'No valid judgment was returned.' ELSE coalesce(nullif(trim(j.w), ''), 'The model did not provide a rationale.') END AS rationale,
+  CASE WHEN f.id IS NULL THEN 'defaulted' WHEN j.v IS NULL OR lower(trim(j.v)) IN ('satisfied', 'not_satisfied') THEN 'explicit' ELSE 'coerced' END AS source, coalesce(p.p, 'bid_phase_mandatory') AS phase FROM a LEFT JOIN f ON f.conv_id = a.conv_id AND f.id = a.id LEFT JOIN p ON p.conv_id = a.conv_id AND p.id = a.id""",
+)
+def requirement_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").withColumns({"tender_id": F.col("conv_id"), "half": F.floor(F.col("turn") / 2)})
+    of = lambda n: F.concat(F.lit("r"), (F.col("turn") % n).cast("string")).alias("req_id")
+    asked = turns.where("role <> 'system'").select("tender_id", of(6)).distinct()
+    judged = turns.where("turn % 2 = 0").select("tender_id", of(8), F.col("turn").alias("pos"), dealt(SAID, "half").alias("verdict"), dealt(WHY, "half").alias("rationale"), dealt(PHASED, "turn").alias("phase"))
+    found = requirements.with_phases(requirements.with_judgments(asked, judged), judged)
+    return found.select("tender_id", "req_id", "verdict", "rationale", "source", "phase")
