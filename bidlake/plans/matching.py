@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import firm_name
+from ..operators.sinks import insert_or_ignore, keep_columns, replace_group
 from ..operators.upsert import recomputed, stale, upsert
 from ..sources import federal_csv, releases
 from .frames import NOTICES, NOW
@@ -103,3 +104,33 @@ def csv_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def firm_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = F.when(F.col("s_suppkey") % 3 == 0, " Construction Ltée. Inc.").when(F.col("s_suppkey") % 3 == 1, ", Société en nom collectif").otherwise(" (CO.)")
     return table(spark, sf_dir, "supplier").select("s_suppkey", firm_name(F.concat("s_name", ends)).alias("name"))
+
+
+# Known events stay as they are; of the new ones each key comes once, in two batches that agree.
+@query("links_inserted", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'new' END AS event_type FROM {events} WHERE event_id % 3 = 0 OR event_id % 2 = 0")
+def links_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    new = events.where("event_id % 2 = 0").withColumn("event_type", F.lit("new"))
+    return insert_or_ignore(events.where("event_id % 3 = 0"), new.union(new), ["event_id"])
+
+
+# A roster is read again: places that are still there keep their verdicts, new ones have none, and those that are gone stay.
+@query(
+    "roster_kept",
+    """SELECT c_custkey AS slug, CASE WHEN c_custkey % 4 <> 0 THEN upper(c_name) ELSE c_name END AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS class FROM {customer} WHERE c_custkey % 3 <> 0 OR c_custkey % 4 <> 0""",
+)
+def roster_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("slug"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("class"))
+    new = rows.where("slug % 4 <> 0").select("slug", F.upper("name").alias("name"), F.lit("overwritten").alias("class"))
+    return keep_columns(rows.where("slug % 3 <> 0"), new, ["slug"], ["class"])
+
+
+# All scores of the firms that were scored anew are replaced, also those that the new run has no more.
+@query(
+    "scores_replaced",
+    "SELECT l_suppkey AS firm_id, l_orderkey AS notice_id, max(l_extendedprice) + CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 0 END AS score FROM {lineitem} WHERE l_suppkey % 5 <> 0 OR l_orderkey % 2 = 0 GROUP BY l_suppkey, l_orderkey",
+)
+def scores_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("firm_id"), F.col("l_orderkey").alias("notice_id")).agg(F.max("l_extendedprice").alias("score"))
+    new = rows.where("firm_id % 5 = 0 and notice_id % 2 = 0").withColumn("score", F.col("score") + 1)
+    return replace_group(rows, new, ["firm_id"])
