@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from ..operators import quotes
 from ..operators.packing import greedy_dedup, pack_pages
 from .registry import query, statement, table
 
@@ -62,3 +63,23 @@ def requirement_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy_dedup(rows)
 
 
+
+
+# Turns are pages of two files a conversation. A page's quote is its own, runs on into the next page, is of nowhere, or is empty; some name another page.
+QUOTE = "CASE turn % 5 WHEN 0 THEN substr(text, 4, 40) WHEN 1 THEN substr(text, greatest(1, length(text) - 14), 15) || ' ' || coalesce(substr(next, 1, 12), '') WHEN 2 THEN 'zzz ' || substr(text, 1, 9) WHEN 3 THEN '  ' ELSE upper(substr(text, 2, 25)) END"
+FORM = r"lower(trim(regexp_replace(replace(replace(replace({}, '’', ''''), '–', '-'), '—', '-'), '\s+', ' ', 'g')))"
+
+
+@query(
+    "quotes_located",
+    f"""WITH t AS (SELECT conv_id, turn, 'f' || turn % 2 AS file, text, lead(text) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS next, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS place FROM {{conversations}}),
+p AS (SELECT *, {FORM.format('text')} AS one, {FORM.format("text || ' ' || next")} AS two FROM t), q AS (SELECT conv_id, turn, file, CASE WHEN turn % 4 = 3 THEN turn + 2 ELSE turn END AS claimed, {FORM.format(QUOTE)} AS q FROM t),
+m AS (SELECT q.conv_id, q.turn, arg_min(struct_pack(f := p.file, g := p.turn), (p.file <> q.file, CASE WHEN p.file = q.file THEN '' ELSE p.file END, CASE WHEN contains(one, q) THEN 0 ELSE 2 END, p.place)) AS b FROM q JOIN p ON p.conv_id = q.conv_id AND (contains(one, q) OR contains(two, q)) WHERE q <> '' GROUP BY 1, 2)
+SELECT q.conv_id AS tender_id, q.turn AS req_id, CASE WHEN q = '' THEN 'empty_quote' WHEN b IS NULL THEN 'quote_not_found' WHEN b.f = file AND b.g = claimed THEN 'verified' ELSE 'page_repaired' END AS status, b.f AS found_file, b.g::VARCHAR AS found_page FROM q LEFT JOIN m ON m.conv_id = q.conv_id AND m.turn = q.turn""",
+)
+def quotes_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").withColumn("file", F.concat(F.lit("f"), (F.col("turn") % 2).cast("string")))
+    turns = turns.withColumn("next", F.lead("text").over(Window.partitionBy("conv_id", "file").orderBy("turn")))
+    asked = turns.select(F.col("conv_id").alias("tender_id"), F.col("turn").alias("req_id"), F.expr(QUOTE).alias("quote"), F.col("file").alias("source_file"), F.when(F.col("turn") % 4 == 3, F.col("turn") + 2).otherwise(F.col("turn")).alias("page"))
+    found = quotes.locate(asked, turns.select(F.col("conv_id").alias("tender_id"), "file", F.col("turn").alias("page"), "text"))
+    return found.select("tender_id", "req_id", "status", "found_file", "found_page")
