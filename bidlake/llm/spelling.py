@@ -278,3 +278,22 @@ def variants(docs: DataFrame, least: int = 7, times: int = 2, ratio: int = 10) -
         if not moved:
             break
     return found.join(links, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+#: The checksum is spelt out, as the other engine has none: a table of 256 steps, walked over the bytes of the id, a colon and the word.
+ORACLE_SQL = r"""
+WITH RECURSIVE steps AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+each AS (SELECT doc_id, w, count(*) AS n FROM runs WHERE length(w) >= 7 GROUP BY ALL),
+hashed AS (SELECT w, n, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)), '..'), lambda b: ((instr('0123456789ABCDEF', b[1]) - 1) * 16 + instr('0123456789ABCDEF', b[2]) - 1)::BIGINT),
+  lambda c, b: xor(c >> 8, t[xor(c % 256, b) + 1]), 4294967295), 4294967295) AS h FROM each, steps),
+words AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, sum(n)::BIGINT AS n FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+gaps AS (SELECT word, unnest(range(length(word))) AS i FROM words), open AS (SELECT word, substr(word, 1, i) || '*' || substr(word, i + 2) AS k FROM gaps), less AS (SELECT DISTINCT word, substr(word, 1, i) || substr(word, i + 2) AS k FROM gaps),
+pairs AS (SELECT a.word, b.word AS other FROM open a JOIN open b ON a.k = b.k AND a.word <> b.word UNION SELECT l.word, l.k FROM less l JOIN words w ON w.word = l.k UNION SELECT l.k, l.word FROM less l JOIN words w ON w.word = l.k),
+near AS (SELECT p.word, count(*) AS n_near, max(o.n) AS best_n FROM pairs p JOIN words o ON o.word = p.other GROUP BY p.word),
+best AS (SELECT p.word, n.n_near, n.best_n, min(p.other) AS other FROM pairs p JOIN words o ON o.word = p.other JOIN near n ON n.word = p.word AND n.best_n = o.n GROUP BY ALL),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN other END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+walk AS (SELECT word, word AS root FROM forms UNION ALL SELECT k.word, f.form FROM walk k JOIN forms f ON f.word = k.root WHERE f.form IS NOT NULL),
+ends AS (SELECT k.word, k.root FROM walk k JOIN forms f ON f.word = k.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN ends e ON e.word = f.word
+"""
