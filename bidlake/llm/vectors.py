@@ -185,3 +185,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     linked = packed.where("key is not null").select("vec_id", "key").join(classes, "key").select("vec_id", "n_links", "component_id")
     alone = packed.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+#: All pairs of a label, for small tables; components by walking the links.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+good AS (SELECT r, vec_id, label, list_transform(e, lambda x: x / list_max(list_transform(e, lambda y: abs(y)))) AS e FROM v
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+unit AS (SELECT r, vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM good),
+links AS (SELECT a.r, b.r AS s FROM unit a JOIN unit b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r WHERE list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) >= 0.93),
+reach AS (SELECT r, r AS s FROM v UNION SELECT k.r, l.s FROM reach k JOIN links l ON l.r = k.s),
+low AS (SELECT k.r, min(o.vec_id) AS component_id FROM reach k JOIN v o ON o.r = k.s GROUP BY k.r), n AS (SELECT r, count(*) AS n FROM links GROUP BY r)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN low ON low.r = v.r LEFT JOIN n ON n.r = v.r
+"""

@@ -332,3 +332,12 @@ class Archive:
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every page, written to archives and read back from them."""
     return Archive.write(pages).read_all()
+
+
+#: What the archive must hold, from the table alone; five digits of the digest are four of base 32.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, url, octet_length(b)::BIGINT AS n, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS last FROM p),
+c AS (SELECT *, list_transform(range(8), lambda i: list_reduce(range(1, 6), lambda s, k: s * 16 + instr('0123456789abcdef', h[i * 5 + k]) - 1, 0)) AS parts FROM d)
+SELECT page_id, url, n AS payload_bytes, array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) % 32 + 1)::INT, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM c
+"""
