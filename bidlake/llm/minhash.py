@@ -410,3 +410,14 @@ def keep_one(docs: DataFrame, percent: int = 85, miss: float = 1e-6) -> DataFram
     free = rows.where(F.col("doc_id").isNull() & F.col(key).isNull())
     held = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & F.col(key).eqNullSafe(F.col("stay_key")), "left_semi")
     return kept.unionByName(held.dropDuplicates(["doc_id", key]).drop(key)).unionByName(free.drop(key))
+
+
+#: Whole sets of shingles and all pairs that share one, for small tables; components by walking the links.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, g FROM (SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r), met AS (SELECT a.r, b.r AS q, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+half AS (SELECT b.r, b.q FROM met b JOIN n x ON x.r = b.r JOIN n y ON y.r = b.q WHERE 100 * shared >= 85 * (x.n + y.n - shared)), links AS (FROM half UNION SELECT q, r FROM half),
+reach AS (SELECT r, r AS q FROM d UNION SELECT k.r, l.q FROM reach k JOIN links l ON l.r = k.q), low AS (SELECT k.r, min(o.doc_id) AS component_id FROM reach k JOIN d o ON o.r = k.q GROUP BY k.r)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN low ON low.r = d.r LEFT JOIN n ON n.r = d.r
+"""

@@ -38,4 +38,4 @@ QUERIES = {
     "op12_centroid_clusters": lambda spark, sf: centroids.cluster(_table(spark, sf, "embeddings")),
     "op13_exact_top_k": lambda spark, sf: vafile.top_k(_table(spark, sf, "embeddings")),
 }
-ORACLE_SQL = {"op4_url_lists": urllists.ORACLE_SQL, "op8_vector_dedup": vectors.ORACLE_SQL, "op9_warc_index": warc.ORACLE_SQL, "op11_spelling_variants": spelling.ORACLE_SQL, "op12_centroid_clusters": centroids.ORACLE_SQL, "op13_exact_top_k": vafile.ORACLE_SQL}
+ORACLE_SQL = {"op3_minhash_dedup": minhash.ORACLE_SQL, "op4_url_lists": urllists.ORACLE_SQL, "op8_vector_dedup": vectors.ORACLE_SQL, "op9_warc_index": warc.ORACLE_SQL, "op11_spelling_variants": spelling.ORACLE_SQL, "op12_centroid_clusters": centroids.ORACLE_SQL, "op13_exact_top_k": vafile.ORACLE_SQL}
