@@ -42,10 +42,10 @@ def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     "events_sessions",
     """WITH marked AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM {events}),
 numbered AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM marked)
-SELECT user_id, min(ts) AS session_start, count(*) AS n FROM numbered GROUP BY user_id, session""",
+SELECT user_id, min(ts) AS session_start, max(ts) AS last_event, count(*) AS n FROM numbered GROUP BY user_id, session""",
 )
 def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.sessions(log(spark, sf_dir)).withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+    return events.sessions(log(spark, sf_dir)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "last_event")})
 
 
 # An answer lives a day: a user's first event asks, and then the first one a day or more after the last that asked.

@@ -26,8 +26,8 @@ def tumbling(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> D
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
-    return out.select("user_id", F.col("w.start").alias("session_start"), "n")
+    out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.max("ts").alias("last_event"), F.count("*").alias("n"))
+    return out.select("user_id", F.col("w.start").alias("session_start"), "last_event", "n")
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from bidlake.operators import filters, scoring
+from bidlake.streaming import events
 
 
 def test_best_pairs_stay_few(spark, monkeypatch):
@@ -23,3 +24,10 @@ def test_best_pairs_stay_few(spark, monkeypatch):
     got = scoring.best(notices, firms, {"a": "f", "b": "g"}, now, 5)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     assert pairs[0] < 3000 < 1500 * 60
+
+
+def test_sessions_have_their_last_event(spark):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rows = spark.createDataFrame([(1, at(0)), (1, at(20)), (1, at(49)), (1, at(80)), (2, at(5))], "user_id int, ts timestamp")
+    got = sorted((x.user_id, x.session_start, x.last_event, x.n) for x in events.sessions(rows).collect())
+    assert got == [(1, at(0), at(49), 3), (1, at(80), at(80), 1), (2, at(5), at(5), 1)]
