@@ -31,3 +31,24 @@ def test_sessions_have_their_last_event(spark):
     rows = spark.createDataFrame([(1, at(0)), (1, at(20)), (1, at(49)), (1, at(80)), (2, at(5))], "user_id int, ts timestamp")
     got = sorted((x.user_id, x.session_start, x.last_event, x.n) for x in events.sessions(rows).collect())
     assert got == [(1, at(0), at(49), 3), (1, at(80), at(80), 1), (2, at(5), at(5), 1)]
+
+
+def test_filters_by_kinds_equal_each_pair(spark, monkeypatch):
+    r = random.Random(7)
+    now = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    some = lambda values, k: r.sample(values, r.randrange(k))
+    notices = [
+        (i, r.choice(["open", " Open", "closed", "unknown", None]), r.choice([None, dt.datetime(2024, 3, 1), dt.datetime(2024, 3, 2), dt.datetime(2024, 3, 2, 0, 0, 1), dt.datetime(2024, 9, 1)]), some(["a", "b", "c"], 3), {}, r.choice(["mapped", "unmapped", "non_construction", None]), True,
+         r.choice([None, "", "QC", "ON, QC", "CA"]), r.choice([None, "federal", "health"]), r.choice([None, 50.0, 100.0, 1e6, float("nan")])) for i in range(150)
+    ]
+    firms = [(k, some(["a", "b", "c"], 3), some(["quebec", "federal_any"], 3), r.choice([None, 60.0]), r.choice([None, 5e5])) for k in range(20)]
+    notices = spark.createDataFrame(notices, "notice_id int, status string, closing_utc timestamp, trade_slugs array<string>, slug_sources map<string,string>, mapping_status string, construction_marked boolean, region string, buyer_type string, estimated_value double")
+    firms = spark.createDataFrame(firms, "firm_id int, trades array<string>, regions array<string>, value_min double, value_max double")
+    kin = {"a": "f", "b": "f"}
+    keys = ["notice_id", "firm_id", "included", "reasons", "flags", "region_kind", "affinity"]
+    joined = {c: F.array_join(c, ",") for c in ("reasons", "flags")}
+    want = filters.evaluate(filters.against(notices, firms), kin, now).withColumns(joined).select(keys).collect()
+    judge, judged = filters.evaluate, []
+    monkeypatch.setattr(filters, "evaluate", lambda df, *args: judged.append(df.count()) or judge(df, *args))
+    got = filters.evaluated_by_kinds(notices, firms, kin, now).select(keys).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 3000 and judged[0] < 3000
