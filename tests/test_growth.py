@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from bidlake.operators import filters, scoring
+from bidlake.operators import filters, scoring, trades
+from bidlake.plans import domain
 from bidlake.streaming import events
 
 
@@ -52,3 +53,18 @@ def test_filters_by_kinds_equal_each_pair(spark, monkeypatch):
     monkeypatch.setattr(filters, "evaluate", lambda df, *args: judged.append(df.count()) or judge(df, *args))
     got = filters.evaluated_by_kinds(notices, firms, kin, now).select(keys).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 3000 and judged[0] < 3000
+
+
+def test_equal_texts_are_classified_once(spark, monkeypatch):
+    rows = [("a ring", "LARGE", None, None, "s1"), ("red", None, "x", None, "s1"), ("hat", "TINY", None, None, "s2"), ("cap", "TINY", None, None, "s2")]
+    rows = spark.createDataFrame([x for k, x in enumerate(rows) for _ in range(50 * (k + 1))], "title string, category_raw string, description string, category_normalized string, source string")
+    once = trades.distinct_texts(rows)
+    assert once.count() == 4
+    want = trades.unmapped_categories(trades.classify(rows, domain.PART_RULES)).collect()
+    assert trades.unmapped_categories(trades.classify(once, domain.PART_RULES), weight=F.col("notices")).collect() == want == [("TINY", "s2", 350, "cap"), ("(none)", "s1", 100, "red")]
+    classify, seen = trades.classify, []
+    monkeypatch.setattr(trades, "classify", lambda df, *args: seen.append(df.count()) or classify(df, *args))
+    part = spark.read.parquet("/root/testdata/sf0.01/part.parquet").where("p_partkey < 200")
+    monkeypatch.setattr(domain, "table", lambda *_: part.union(part).union(part))
+    domain.unmapped_categories(spark, "")
+    assert seen[0] <= 200  # of 600 parts
