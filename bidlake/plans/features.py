@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features as f
-from .registry import query, table
+from .registry import lines_joined, query, table
 
 DAY = "1999-01-01"
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each firm and order: won if any line was returned, the first line's amount and category."""
-    raw = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    raw = lines_joined(spark, sf_dir)
     at = F.struct("l_linenumber", "l_extendedprice")
     return raw.groupBy(F.col("l_suppkey").alias("canonical_id"), F.col("l_orderkey").alias("ocid")).agg(
         F.max((F.col("l_returnflag") == "R").cast("int")).alias("won"), F.max(F.col("o_orderdate").cast("date")).alias("date"), F.max("o_custkey").alias("buyer_id"), F.max("o_orderpriority").alias("region"),

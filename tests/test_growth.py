@@ -5,8 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from bidlake.operators import filters, scoring, trades
-from bidlake.plans import domain
+from bidlake.operators import filters, scoring, shared, trades
+from bidlake.plans import domain, registry
 from bidlake.streaming import events
 
 
@@ -68,3 +68,10 @@ def test_equal_texts_are_classified_once(spark, monkeypatch):
     monkeypatch.setattr(domain, "table", lambda *_: part.union(part).union(part))
     domain.unmapped_categories(spark, "")
     assert seen[0] <= 200  # of 600 parts
+
+
+def test_parts_of_joined_lines_follow_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "PART_ROWS", 500)
+    rows = registry.lines_joined(spark, "/root/testdata/sf0.001")
+    sizes = [x["count"] for x in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 1500 and sum(sizes) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
