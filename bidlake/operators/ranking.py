@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 BLOCK = 4096
 
 
@@ -26,26 +28,53 @@ def counts_below(pool: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.join(before, ["category", "b"]).select("category", "ocid", (F.col("before") + F.col("within")).alias("below"))
 
 
-def places(pool: DataFrame, scores: DataFrame, positives: DataFrame) -> DataFrame:
-    """positives (firm_id, ocid) of the pool (ocid, category) with place, by score (firm_id, category, score > 0) and then ocid."""
-    every = pool.select("ocid", F.lit(None).cast("string").alias("category"))
+def standings(pool: DataFrame, scores: DataFrame, positives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pool and scores with categories that are never null, and positives with own score and `better`, the notices of better categories."""
     keyed = pool.select("ocid", F.concat(F.lit("c"), F.col("category").cast("string")).alias("category"))
     sizes = keyed.groupBy("category").agg(F.count("*").alias("size"))
-    scored = scores.select("firm_id", F.concat(F.lit("c"), F.col("category").cast("string")).alias("category"), "score").where("score > 0").join(sizes, "category")
+    scored = kept(scores.select("firm_id", F.concat(F.lit("c"), F.col("category").cast("string")).alias("category"), "score").where("score > 0").join(sizes, "category"), "scored")
     mine = positives.join(keyed, "ocid").join(scored.select("firm_id", "category", F.col("score").alias("own")), ["firm_id", "category"], "left").select("firm_id", "ocid", F.coalesce("own", F.lit(0.0)).alias("own"))
-    pairs = mine.join(scored.select("firm_id", "category", "score", "size"), "firm_id")
-    asked = pairs.select("category", "ocid").union(mine.select(F.lit("all"), "ocid")).distinct()
-    below = counts_below(keyed.unionByName(every.withColumn("category", F.lit("all"))), asked)
-    pairs = pairs.join(below, ["category", "ocid"])
-    sums = pairs.groupBy("firm_id", "ocid").agg(
-        F.sum(F.when(F.col("score") > F.col("own"), F.col("size"))).alias("better"), F.sum(F.when(F.col("score") == F.col("own"), F.col("below"))).alias("equal"), F.sum("below").alias("scored_below")
-    )
-    rows = mine.join(sums, ["firm_id", "ocid"], "left").join(below.where("category = 'all'").select("ocid", F.col("below").alias("all_below")), "ocid")
+    levels = scored.select("firm_id", F.col("score").alias("own"), "size").union(scored.select("firm_id", F.lit(0.0), F.lit(0).cast("long")).distinct()).groupBy("firm_id", "own").agg(F.sum("size").alias("size"))
+    above = Window.partitionBy("firm_id").orderBy(F.desc("own")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.select("firm_id", "own", F.coalesce(F.sum("size").over(above), F.lit(0)).alias("better"))
+    return keyed, scored, mine.join(levels, ["firm_id", "own"], "left").withColumn("better", F.coalesce("better", F.lit(0)))
+
+
+def _placed(keyed: DataFrame, scored: DataFrame, mine: DataFrame) -> DataFrame:
+    """mine (firm_id, ocid, own, better and others) with place; only categories of a positive's own score are joined with it, and all where that is 0."""
+    every = keyed.select("ocid", F.lit("all").alias("category"))
+    pairs = mine.where("own > 0").join(scored.select("firm_id", F.col("score").alias("own"), "category"), ["firm_id", "own"]).select("firm_id", "ocid", "category")
+    none = mine.where("own <= 0").select("firm_id", "ocid")
+    pairs = kept(pairs.union(none.join(scored.select("firm_id", "category"), "firm_id").select("firm_id", "ocid", "category")).union(none.withColumn("category", F.lit("all"))), "asked")
+    below = counts_below(keyed.unionByName(every), pairs.select("category", "ocid").distinct())
+    less = F.when(F.col("category") == "all", F.col("below"))
+    sums = pairs.join(below, ["category", "ocid"]).groupBy("firm_id", "ocid").agg(F.sum(less).alias("all_below"), F.sum(F.when(less.isNull(), F.col("below"))).alias("level_below"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    level = F.when(F.col("own") > 0, zero("equal")).otherwise(F.col("all_below") - zero("scored_below"))
-    return rows.select("firm_id", "ocid", (1 + zero("better") + level).alias("place"))
+    level = F.when(F.col("own") > 0, zero("level_below")).otherwise(F.col("all_below") - zero("level_below"))
+    return mine.join(sums, ["firm_id", "ocid"], "left").withColumn("place", 1 + F.col("better") + level)
+
+
+def places(pool: DataFrame, scores: DataFrame, positives: DataFrame) -> DataFrame:
+    """positives (firm_id, ocid) of the pool (ocid, category) with place, by score (firm_id, category, score > 0) and then ocid."""
+    keyed, scored, mine = standings(pool, scores, positives)
+    return _placed(keyed, scored, kept(mine, "mine")).select("firm_id", "ocid", "place")
 
 
 def metrics(placed: DataFrame, k: int = 10) -> DataFrame:
     """firm_id, positives, recall at k and reciprocal rank of the first positive."""
     return placed.groupBy("firm_id").agg(F.count("*").alias("positives"), (F.count(F.when(F.col("place") <= k, 1)) / F.count("*")).alias(f"recall_{k}"), (1.0 / F.min("place")).alias("reciprocal_rank"))
+
+
+def metrics_of(pool: DataFrame, scores: DataFrame, positives: DataFrame, k: int = 10) -> DataFrame:
+    """metrics() of places(), for which only some positives need a place.
+
+    A firm's positives have the order of own score and ocid, which is that of their places: its first has the reciprocal rank, and one whose
+    place is at most k is among its first k and has fewer than k notices in better categories.
+    """
+    keyed, scored, mine = standings(pool, scores, positives)
+    firm = Window.partitionBy("firm_id")
+    mine = mine.withColumns({"nth": F.row_number().over(firm.orderBy(F.desc("own"), "ocid")), "positives": F.count("*").over(firm)})
+    wanted = kept(mine.where((F.col("nth") == 1) | ((F.col("nth") <= k) & (F.col("better") < k))), "firsts")
+    placed = _placed(keyed, scored, wanted)
+    n = F.max("positives")
+    return placed.groupBy("firm_id").agg(n.alias("positives"), (F.count(F.when(F.col("place") <= k, 1)) / n).alias(f"recall_{k}"), (1.0 / F.min("place")).alias("reciprocal_rank"))

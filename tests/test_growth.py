@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from bidlake.operators import filters, scoring, shared, trades
+from bidlake.operators import filters, ranking, scoring, shared, trades
 from bidlake.plans import domain, registry
 from bidlake.streaming import events
 
@@ -75,3 +75,18 @@ def test_parts_of_joined_lines_follow_their_rows(spark, monkeypatch):
     rows = registry.lines_joined(spark, "/root/testdata/sf0.001")
     sizes = [x["count"] for x in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) >= 10 and max(sizes) < 1500 and sum(sizes) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+def test_metrics_place_few_positives(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK", 7)
+    r = random.Random(11)
+    pool = [(i * 3, r.choice("abcdefgh") if i % 9 else None) for i in range(300)]
+    scores = [(f, c, r.choice([0.5, 0.25, 0.125, 0.0])) for f in range(40) for c in "abcdefg" if f % 10 and r.random() < 0.7] + [(50, "z", 0.5)]
+    positives = sorted({(f, r.choice(pool)[0]) for f in range(41) for _ in range(1 + f)} | {(50, i) for i, _ in pool[:15]})
+    frames = [spark.createDataFrame(x, of) for x, of in ((pool, "ocid long, category string"), (scores, "firm_id int, category string, score double"), (positives, "firm_id int, ocid long"))]
+    want = ranking.metrics(ranking.places(*frames)).collect()
+    place, seen = ranking._placed, []
+    monkeypatch.setattr(ranking, "_placed", lambda keyed, scored, mine: seen.append(mine.count()) or place(keyed, scored, mine))
+    got = ranking.metrics_of(*frames).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and any(0 < x.recall_10 < 1 for x in got)
+    assert seen[0] < len(positives) / 3
