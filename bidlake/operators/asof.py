@@ -43,18 +43,20 @@ def _amount_of(c: Column) -> Column:
     return of(c)
 
 
-def _listed(rows: pd.DataFrame) -> pd.DataFrame:
+def _listed(rows: pa.Table) -> pa.Table:
     """Medians before each day of a firm whose amounts fit one list."""
-    rows = rows.sort_values("day", kind="stable")
+    rows = rows.sort_by("day")
     amounts: list[float] = []
-    days, medians = [], []
-    for day, group in rows.groupby("day", sort=True):
-        if amounts:
+    days, medians, last = [], [], None
+    for day, x in zip(rows["day"].cast(pa.int32()).to_pylist(), rows["amount"].to_pylist(), strict=True):
+        if day != last and amounts:
             days.append(day)
             medians.append((amounts[(len(amounts) - 1) // 2] + amounts[len(amounts) // 2]) / 2)
-        for x in group["amount"].dropna():
+        last = day
+        if x is not None:
             insort(amounts, x)
-    return pd.DataFrame({"firm_id": pd.Series([rows["firm_id"].iloc[0]] * len(days), dtype=object), "day": pd.Series(days, dtype=object), "median": pd.Series(medians, dtype=float)})
+    firm = rows["firm_id"].combine_chunks().take(pa.array([0] * len(days), pa.int32()))
+    return pa.table({"firm_id": firm, "day": pa.array(days, pa.int32()).cast(pa.date32()), "median": pa.array(medians, pa.float64())})
 
 
 def _descend(rows: pd.DataFrame) -> pd.DataFrame:
@@ -115,7 +117,7 @@ def histories(interactions: DataFrame) -> DataFrame:
     sizes = rows.groupBy("firm_id").agg(F.count("amount").alias("size"))
     hot = kept(sizes.where(F.col("size") > MOST_AMOUNTS).select("firm_id"), "hot")
     asked = rows.select("firm_id", "day", "amount")
-    listed = asked.join(small(hot, 64), "firm_id", "left_anti").groupBy("firm_id").applyInPandas(_listed, f"firm_id {kind}, day date, median double")
+    listed = asked.join(small(hot, 64), "firm_id", "left_anti").groupBy("firm_id").applyInArrow(_listed, f"firm_id {kind}, day date, median double")
     if hot.limit(1).count():
         heavy = small(hot, 64)
         asks = run.join(heavy, "firm_id", "left_semi").select("firm_id", "day", F.col("amounts").alias("n_before"))

@@ -3,9 +3,10 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from bidlake.operators import filters, ranking, scoring, shared, trades
+from bidlake.operators import asof, filters, ranking, scoring, shared, trades
 from bidlake.plans import domain, registry
 from bidlake.streaming import events
 
@@ -90,3 +91,17 @@ def test_metrics_place_few_positives(spark, monkeypatch):
     got = ranking.metrics_of(*frames).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and any(0 < x.recall_10 < 1 for x in got)
     assert seen[0] < len(positives) / 3
+
+
+def test_medians_of_a_firm_take_one_pass():
+    r = random.Random(3)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=r.randrange(60)) for _ in range(200)]
+    amounts = [r.choice([None, 5.0, r.uniform(1, 100)]) for _ in days]
+    rows = pa.table({"firm_id": pa.array([7] * 200, pa.int64()), "day": pa.array(days, pa.date32()), "amount": pa.array(amounts, pa.float64())})
+    want = []
+    for day in sorted(set(days)):
+        old = sorted(x for d, x in zip(days, amounts, strict=True) if d < day and x is not None)
+        want += [(7, day, (old[(len(old) - 1) // 2] + old[len(old) // 2]) / 2)] if old else []
+    got = asof._listed(rows)
+    assert list(zip(*(c.to_pylist() for c in got.columns), strict=True)) == want and got.schema.field("firm_id").type == pa.int64()
+    assert asof._listed(rows.slice(0, 1)).num_rows == 0
