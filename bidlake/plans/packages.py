@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shared import shared_dir
+from ..operators.shared import kept, shared_dir
 from ..sources import federal_csv, releases
 from .registry import query, table
 from .rules import dealt, said
@@ -20,7 +20,7 @@ KINDS = [["*CNST", "roads"], [], ["Services professionnels"]]
 
 
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, place, r): one release an order, in files by year."""
+    """(file, place, r): one release an order, in files by year; each is made and read as JSON once."""
     lines, orders, customers = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     firm = F.concat(F.lit("F"), F.col("l_suppkey").cast("string"))
     at = F.struct("l_linenumber", "l_extendedprice", firm.alias("id"), F.col("l_returnflag").alias("flag"))
@@ -43,7 +43,8 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.transform(F.filter(bids, lambda x: x["flag"] == "R"), lambda x: F.struct(x["id"].alias("id"))).alias("suppliers"))).alias("awards"),
     )
     file = F.concat(F.lit("hebdo_"), F.year("o_orderdate").cast("string"), F.lit(".json"))
-    return rows.select(file.alias("file"), key.alias("place"), F.from_json(F.to_json(release), releases.RELEASE).alias("r"))
+    # Written, as conditions on what was read would else be moved below the reading, each with a reading of its own.
+    return kept(rows.select(file.alias("file"), key.alias("place"), F.from_json(F.to_json(release), releases.RELEASE).alias("r")), "packages")
 
 
 @query(

@@ -62,7 +62,8 @@ def notices(releases: DataFrame, now: Column | None = None) -> DataFrame:
     municipal = F.trim(p["details"]["municipal"])
     default = F.when(municipal == "1", "municipal").when(municipal == "0", "provincial").otherwise("unknown")
     raw, closing = category_raw(t), blank(t["tenderPeriod"]["endDate"])
-    state = n.status(t["status"], closing.try_cast("timestamp"), now)
+    rows = rows.withColumn("state", n.status(t["status"], closing.try_cast("timestamp"), now))
+    state = F.col("state")
     given = F.coalesce(F.exists(r["tag"], lambda x: F.lower(x).contains("award") | F.lower(x).contains("contract")), F.lit(False))
     amount = t["value"]["amount"].try_cast("double")
     urls = F.filter(F.transform(t["documents"], lambda d: F.trim(d["url"])), lambda u: F.lower(u).rlike("^https?://"))

@@ -6,6 +6,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from bidlake.functions import normalize
 from bidlake.operators import asof, filters, ranking, scoring, shared, trades
 from bidlake.plans import domain, registry
 from bidlake.streaming import events
@@ -105,3 +106,16 @@ def test_medians_of_a_firm_take_one_pass():
     got = asof._listed(rows)
     assert list(zip(*(c.to_pylist() for c in got.columns), strict=True)) == want and got.schema.field("firm_id").type == pa.int64()
     assert asof._listed(rows.slice(0, 1)).num_rows == 0
+
+
+def test_packages_are_read_once_and_texts_folded_once(spark):
+    for name in ("release_notices", "release_participants"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json" not in plan and "StructsToJson" not in plan
+    rows = spark.createDataFrame([("Planifié", "Travaux", "Ville de X", "Québec, ON"), (None, None, None, None), ("Ouvert", "services", "", "tout le Canada")], "a string, b string, c string, d string")
+    at, day = F.lit("2024-01-02").cast("timestamp"), F.lit("2024-01-01").cast("timestamp")
+    none = F.lit(None).cast("string")
+    got = rows.select(normalize.status(F.col("a"), at, day), normalize.status(F.col("a"), day, at), normalize.category(F.col("b"), none, none, none, F.array(none)), normalize.buyer_type(F.col("c"), F.lit("unknown")), normalize.provinces(F.col("d")))
+    assert [tuple(r) for r in got.collect()] == [("planned", "closed", "construction", "municipal", "ON,QC"), ("unknown", "closed", "other", "unknown", None), ("open", "closed", "services", "unknown", "CA")]
+    told = rows.withColumn("said", F.concat("a", "b")).select(normalize.once(F.col("said"), lambda x: F.when(x == "p", x).otherwise(F.concat(x, x))))
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("concat(a") == 1
