@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..functions.text import fold
+from .shared import bounded_batches
 
 #: Words of links and what each is worth.
 WEIGHTS = (
@@ -176,6 +177,7 @@ def judge(pages: DataFrame, hosts: tuple[str, ...] = HOSTS, platforms=PLATFORMS)
     text = F.lower(F.coalesce("html", F.lit("")))
     kind = lambda c: F.coalesce(*(F.when(c.contains(part), F.struct(F.lit(name).alias("class"), F.lit(whose).alias("platform"))) for part, name, whose in platforms))
     path = lambda c: F.lower(F.coalesce(F.try_parse_url(c, F.lit("PATH")), F.lit("")))
+    bounded_batches(pages.sparkSession)
     rows = pages.withColumn("_links", anchors(F.col("html"), F.col("url")))
     linked = F.get(F.filter(F.transform("_links", lambda a: kind(F.lower(a["url"]))), lambda k: k.isNotNull()), 0)
     files = F.filter("_links", lambda a: path(a["url"]).rlike(rf"(?:{'|'.join(e.replace('.', '[.]') for e in EXTENSIONS)})$") & ~on_platform(a["url"], hosts))

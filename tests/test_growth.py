@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from bidlake.functions import normalize
-from bidlake.operators import asof, filters, ranking, scoring, shared, trades
+from bidlake.operators import asof, census, filters, ranking, scoring, shared, trades
 from bidlake.plans import domain, registry
 from bidlake.streaming import events
 
@@ -119,3 +119,17 @@ def test_packages_are_read_once_and_texts_folded_once(spark):
     assert [tuple(r) for r in got.collect()] == [("planned", "closed", "construction", "municipal", "ON,QC"), ("unknown", "closed", "other", "unknown", None), ("open", "closed", "services", "unknown", "CA")]
     told = rows.withColumn("said", F.concat("a", "b")).select(normalize.once(F.col("said"), lambda x: F.when(x == "p", x).otherwise(F.concat(x, x))))
     assert told._jdf.queryExecution().optimizedPlan().toString().count("concat(a") == 1
+
+
+def test_pages_are_judged_in_batches_of_bounded_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        html = '<a href="/docs/a.pdf">tender</a>' + "x" * 100_000
+        pages = spark.range(60).coalesce(1).select(F.col("id").alias("page_id"), F.lit("https://a.example").alias("url"), F.lit(html).alias("html"))
+        assert census.judge(pages).select("class").distinct().count() == 1
+        sizes = pages.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+        assert len(sizes) > 1 and sum(x.n for x in sizes) == 60
+    finally:
+        spark.conf.set(key, before)
