@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import firm_name
 from ..operators import entities, firms
-from .registry import query, table
+from ..operators.shared import kept
+from .registry import lines_described, query, table
 
 # Parts stand for firms: what they are called has five words, which many share, and a size for the number of bids.
 RAW = "p_name || ' ' || replace(p_brand, '#', ' ') || ' ' || p_type"
@@ -60,9 +61,10 @@ whole AS (SELECT * FROM comp WHERE c NOT IN (SELECT c FROM broken))"""
 
 
 def entities_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    bids = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.expr(FIRM).alias("firm_id"), F.col("l_orderkey").alias("ocid"))
-    names = bids.select("firm_id").distinct().withColumn("name", F.concat(F.lit("Firm "), (F.col("firm_id") * 7 % 977).cast("string"), F.lit(" Ltée")))
+    lines, n = lines_described(spark, sf_dir)
+    bids = kept(lines.select(F.expr(FIRM).alias("firm_id"), F.col("l_orderkey").alias("ocid")), "bids")
+    bidders = kept(bids.select("firm_id").repartition(n, "firm_id").distinct(), "bidders")
+    names = bidders.withColumn("name", F.concat(F.lit("Firm "), (F.col("firm_id") * 7 % 977).cast("string"), F.lit(" Ltée")))
     star = F.floor(F.col("firm_id") / 40)
     numbers = names.where("firm_id % 4 = 0").select("firm_id", star.alias("number")).union(names.where("firm_id % 28 = 0").select("firm_id", star + 1))
     return entities.merged(names, numbers, bids)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from bidlake.functions import normalize
-from bidlake.operators import asof, census, filters, ranking, scoring, shared, trades
+from bidlake.operators import asof, census, entities, filters, ranking, scoring, shared, trades
 from bidlake.plans import domain, registry
 from bidlake.streaming import events
 
@@ -79,6 +79,27 @@ def test_parts_of_joined_lines_follow_their_rows(spark, monkeypatch):
     assert len(sizes) >= 10 and max(sizes) < 1500 and sum(sizes) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
 
 
+def test_bids_of_entities_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "PART_ROWS", 300)
+    keep, most = entities.kept, {}
+
+    def noted(df, name):
+        if name in ("took", "firms"):
+            most[name] = df.rdd.getNumPartitions()
+        return keep(df, name)
+
+    monkeypatch.setattr(entities, "kept", noted)
+    bids = spark.range(6000).select((F.col("id") % 3000).alias("firm_id"), (F.col("id") % 1700).alias("ocid")).unionByName(spark.range(50).select(F.lit(1).cast("long").alias("firm_id"), F.lit(None).cast("long").alias("ocid")))
+    firms = spark.range(3000).select(F.col("id").alias("firm_id"), F.concat(F.lit("Firm "), (F.col("id") % 500).cast("string")).alias("name"))
+    numbers = spark.range(0, 3000, 3).select(F.col("id").alias("firm_id"), F.floor(F.col("id") / 30).cast("string").alias("number"))
+    found = [df.collect() for df in entities.merged(firms, numbers, bids)]
+    assert most["took"] >= 20 and most["firms"] >= 10
+    monkeypatch.setattr(shared, "PART_ROWS", 400_000)
+    again = [df.collect() for df in entities.merged(firms, numbers, bids)]
+    assert [sorted(map(repr, x)) for x in found] == [sorted(map(repr, x)) for x in again] and len(found[0]) == 3000
+    assert sum(x.observations for x in found[0]) == 6000
+
+
 def test_metrics_place_few_positives(spark, monkeypatch):
     monkeypatch.setattr(ranking, "BLOCK", 7)
     r = random.Random(11)
