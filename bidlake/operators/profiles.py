@@ -19,7 +19,7 @@ from pyspark.sql.functions import arrow_udf
 
 from . import features
 from .divergence import quantised
-from .shared import kept
+from .shared import kept, parts_for
 
 LEAST_BIDS, MOST_KEYS = 5, 200
 KEYS = (("region", "regions"), ("category", "categories"), ("buyer_id", "buyers"))
@@ -46,10 +46,10 @@ def unpacked(c: Column, scale: Column) -> Column:
     return of(c, scale)
 
 
-def top_keys(rows: DataFrame, key: str, most: int = MOST_KEYS) -> DataFrame:
-    """(canonical_id, key, n): each firm's most frequent values."""
+def top_keys(rows: DataFrame, key: str, parts: int, most: int = MOST_KEYS) -> DataFrame:
+    """(canonical_id, key, n): each firm's most frequent values, counted in parts as by key_counts."""
     place = F.row_number().over(Window.partitionBy("canonical_id").orderBy(F.desc("n"), key))
-    return features.key_counts(rows, key).withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+    return features.key_counts(rows, key, parts).withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
 
 def unit_means(vectors: DataFrame) -> DataFrame:
@@ -63,13 +63,14 @@ def unit_means(vectors: DataFrame) -> DataFrame:
 
 def profiles(interactions: DataFrame, names: DataFrame, vectors: DataFrame, as_of: Column, least: int = LEAST_BIDS, most_keys: int = MOST_KEYS) -> DataFrame:
     """id, name, normalized, bids, wins, first, last, regions, categories and buyers (maps of counts), features, centroid and centroid_scale."""
+    parts = parts_for(interactions)
     history = kept(features.histories(interactions, as_of).where(F.col("interactions") >= least), "histories")
     mine = features.past(interactions, as_of).join(history.select("canonical_id"), "canonical_id", "left_semi")
     shown = names.groupBy("canonical_id").agg(F.min_by(F.struct("raw_name", "normalized_name"), F.struct(-F.col("observations"), F.col("raw_name"))).alias("_name"))
     rows = history.join(shown, "canonical_id", "left")
     for key, name in KEYS:
         order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), F.col(key).cast("string").alias("key"))))
-        pairs = top_keys(mine, key, most_keys).groupBy("canonical_id").agg(F.map_from_entries(F.transform(order, lambda e: F.struct(e["key"], -e["less"]))).alias(name + "_map"))
+        pairs = top_keys(mine, key, parts, most_keys).groupBy("canonical_id").agg(F.map_from_entries(F.transform(order, lambda e: F.struct(e["key"], -e["less"]))).alias(name + "_map"))
         rows = rows.join(pairs, "canonical_id", "left")
     facts = features.firm_features(history, history, as_of).select("canonical_id", F.struct(*(F.round(c, 6).alias(c) for c in features.FIRM)).alias("features"))
     means = unit_means(vectors.where(F.col("date") < as_of).join(history.select("canonical_id"), "canonical_id", "left_semi"))

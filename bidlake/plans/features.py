@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features as f
+from ..operators.shared import kept
 from .registry import lines_joined, query, table
 
 DAY = "1999-01-01"
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each firm and order: won if any line was returned, the first line's amount and category."""
+    """One row for each firm and order, kept: won if any line was returned, the first line's amount and category."""
     raw = lines_joined(spark, sf_dir)
     at = F.struct("l_linenumber", "l_extendedprice")
-    return raw.groupBy(F.col("l_suppkey").alias("canonical_id"), F.col("l_orderkey").alias("ocid")).agg(
+    rows = raw.groupBy(F.col("l_suppkey").alias("canonical_id"), F.col("l_orderkey").alias("ocid")).agg(
         F.max((F.col("l_returnflag") == "R").cast("int")).alias("won"), F.max(F.col("o_orderdate").cast("date")).alias("date"), F.max("o_custkey").alias("buyer_id"), F.max("o_orderpriority").alias("region"),
-        F.min_by("l_extendedprice", at).alias("bid_amount"), F.min_by("p_type", at).alias("category"), F.max("o_totalprice").alias("value"), F.min_by("p_name", at).alias("title"),
+        F.min_by("l_extendedprice", at).alias("bid_amount"), F.min_by("p_type", at).alias("category"), F.max("o_totalprice").alias("value"),
     )
+    return kept(rows, "interactions")
 
 
 RAW = """i AS (SELECT l_suppkey AS firm, l_orderkey AS ocid, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS won, CAST(max(o_orderdate) AS DATE) AS day, max(o_custkey) AS buyer, max(o_orderpriority) AS region,

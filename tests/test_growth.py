@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from bidlake.functions import normalize
-from bidlake.operators import asof, census, entities, filters, ranking, scoring, shared, trades
+from bidlake.operators import asof, census, entities, features, filters, ranking, scoring, shared, trades
 from bidlake.plans import domain, registry
 from bidlake.streaming import events
 
@@ -100,6 +100,26 @@ def test_bids_of_entities_are_dealt_by_their_rows(spark, monkeypatch):
     assert sum(x.observations for x in found[0]) == 6000
 
 
+def test_counts_of_firms_are_dealt_by_their_rows(spark, monkeypatch):
+    count, parts = features.key_counts, []
+
+    def noted(*args):
+        got = count(*args)
+        parts.append(got.rdd.getNumPartitions())
+        return got
+
+    monkeypatch.setattr(features, "key_counts", noted)
+    by = {"canonical_id": "id % 500", "ocid": "id", "date": "date_add(DATE '2024-01-01', CAST(id % 100 AS INT))", "won": "id % 2", "bid_amount": "id % 77 + 0.5", "buyer_id": "id % 1700", "category": "CASE WHEN id % 3 > 0 THEN id % 40 || '' END", "region": "id % 5", "value": "id % 91 + 1.0"}
+    rows, day = spark.range(6000).selectExpr(*(f"{e} AS {c}" for c, e in by.items())), F.lit("2024-03-01").cast("date")
+    pairs = rows.where(F.col("date") >= day).select("canonical_id", "ocid", "category", "buyer_id", "region", "value")
+    run = lambda: sorted(map(repr, features.cross_features(pairs, rows, features.histories(rows, day), day).collect()))
+    want = run()
+    assert max(parts) <= 4 and len(want) == pairs.count() > 1000
+    monkeypatch.setattr(shared, "PART_ROWS", 300)
+    parts.clear()
+    assert run() == want and min(parts) >= 20
+
+
 def test_metrics_place_few_positives(spark, monkeypatch):
     monkeypatch.setattr(ranking, "BLOCK", 7)
     r = random.Random(11)
