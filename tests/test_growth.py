@@ -100,6 +100,29 @@ def test_bids_of_entities_are_dealt_by_their_rows(spark, monkeypatch):
     assert sum(x.observations for x in found[0]) == 6000
 
 
+def test_bids_of_entities_are_joined_in_parts_of_their_rows(spark, monkeypatch):
+    two, sizes = entities._two, []
+
+    def noted(rows, *args):
+        sizes.append([x["count"] for x in rows.groupBy(F.spark_partition_id()).count().collect()])
+        return two(rows, *args)
+
+    monkeypatch.setattr(entities, "_two", noted)
+    bids = spark.range(6000).select((F.col("id") % 3000).alias("firm_id"), (F.col("id") % 1700).alias("ocid"))
+    firms = spark.range(3000).select(F.col("id").alias("firm_id"), F.concat(F.lit("Firm "), (F.col("id") % 500).cast("string")).alias("name"))
+    run = lambda: [sorted(map(repr, df.collect())) for df in entities.merged(firms, firms.select("firm_id", F.lit(None).cast("string").alias("number")), bids)]
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        want = run()
+        monkeypatch.setattr(shared, "PART_ROWS", 300)
+        sizes.clear()
+        assert run() == want and len(want[0]) == 3000
+        assert len(sizes[0]) >= 15 and max(sizes[0]) < 1500 and sum(sizes[0]) == 6000
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_counts_of_firms_are_dealt_by_their_rows(spark, monkeypatch):
     count, parts = features.key_counts, []
 
