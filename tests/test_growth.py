@@ -57,6 +57,25 @@ def test_filters_by_kinds_equal_each_pair(spark, monkeypatch):
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 3000 and judged[0] < 3000
 
 
+def test_filters_by_kinds_join_lists_of_firms(spark, monkeypatch):
+    now = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    by = {"notice_id": "id", "status": "'open'", "closing_utc": "TIMESTAMP '2024-05-01'", "trade_slugs": "array('a')", "slug_sources": "map('a', 'title')", "mapping_status": "'mapped'", "construction_marked": "true", "region": "'ON'", "buyer_type": "'health'", "estimated_value": "nullif(id, 3) * 10.0D"}
+    notices = spark.range(200).selectExpr(*(f"{e} AS {c}" for c, e in by.items()))
+    firms = spark.range(60).selectExpr("id % 50 AS firm_id", "IF(id % 2 = 0, array('a'), array('b')) AS trades", "array('ontario_any') AS regions", "IF(id % 7 = 0, null, id * 20.0D) AS value_min", "IF(id % 5 = 0, null, 1500.0D) AS value_max")
+    keys = ["notice_id", "firm_id", "included", "reasons", "flags", "region_kind", "affinity"]
+    want = filters.evaluate(filters.against(notices, firms), {"a": "f", "b": "g"}, now).withColumns({c: F.array_join(c, ",") for c in ("reasons", "flags")}).select(keys).collect()
+    small, joined = filters.small, []
+    monkeypatch.setattr(filters, "LIST_FIRMS", 8, raising=False)
+    monkeypatch.setattr(filters, "PART_PAIRS", 100, raising=False)
+    monkeypatch.setattr(filters, "small", lambda df, *args: joined.append(df) or small(df, *args))
+    got = filters.evaluated_by_kinds(notices, firms, {"a": "f", "b": "g"}, now, parts=2).select(keys)
+    assert joined[-1].count() == 8  # of 60 firms of two kinds
+    assert max(len(x["_firms"]) for x in joined[-1].collect()) == 8
+    sizes = [x["count"] for x in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 1000 and sum(sizes) == 12_000
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
+
+
 def test_equal_texts_are_classified_once(spark, monkeypatch):
     rows = [("a ring", "LARGE", None, None, "s1"), ("red", None, "x", None, "s1"), ("hat", "TINY", None, None, "s2"), ("cap", "TINY", None, None, "s2")]
     rows = spark.createDataFrame([x for k, x in enumerate(rows) for _ in range(50 * (k + 1))], "title string, category_raw string, description string, category_normalized string, source string")
